@@ -116,9 +116,9 @@ def reset_flags(spark, sf):
     return W.reset_flags(kpi_events(spark, sf), SERIES, need=12).select("event_id", "kpi_is_reset")
 
 
-@query("w13_sequences", f"""WITH {KE}, x AS (SELECT event_id, cell_id, row_number() OVER ({ORD}) - 1 AS at,
+@query("w13_sequences", f"""WITH {KE}, x AS (SELECT event_id, cell_id, row_number() OVER ({ORD}) - 1 AS pos,
  sum(kpi) OVER w AS s, max(is_anomaly) OVER w AS label FROM ke WINDOW w AS {_fr('7 PRECEDING', 'CURRENT ROW')})
-SELECT event_id, cell_id, at - 7 AS start_index, {sql_f32('s')} AS total, label, 8 AS n FROM x WHERE at >= 7 AND (at - 7) % 4 = 0""")
+SELECT event_id, cell_id, pos - 7 AS start_index, {sql_f32('s')} AS total, label, 8 AS n FROM x WHERE pos >= 7 AND (pos - 7) % 4 = 0""")
 def sequences(spark, sf):
     out = W.sequences(kpi_events(spark, sf), SERIES, "is_anomaly", length=8, stride=4)
     total = F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["kpi"])

@@ -53,3 +53,13 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: dict) -> DataFram
         F.count(F.lit(1)).alias("_group_rows"), *[a.alias(n) for n, a in aggs.items()]
     )
     return attach(df, stats, keys, rows="_group_rows").drop("_group_rows")
+
+
+def lookup_join(
+    df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join a dimension: broadcast below a counted size, salted on hot keys beyond it."""
+    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(dim), list(keys), how)
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_key_rows")).join(dim, list(keys))
+    return attach(df, sized, keys, rows="_key_rows", how=how).drop("_key_rows")

@@ -23,6 +23,7 @@ def build_session(app: str = "ropeway", master: str | None = None, cores: int =
         )
     spark = (
         builder.config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
