@@ -12,7 +12,7 @@ from ropeway.plans.skew import attach
 
 # Earth radius, reach and band weighting of a relation table.
 EARTH_KM, REACH_KM, NEIGHBOURS, BAND_WEIGHT = 6371.0, 5.0, 8, 1.5
-LEVELS = 16
+FINEST_KM = 1e-4
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -56,7 +56,7 @@ def nearest_locations(
     counts = points.groupBy(*spot).agg(F.count(F.lit(1)).alias("_here"))
     locations = counts.withColumns(_xyz())
     cube = ["_level", "_cx", "_cy", "_cz"]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(math.log2(reach_km / FINEST_KM))))).alias("_level")
     leveled = locations.select("*", levels)
     leveled = leveled.select("*", *_cube(F.col("_level"), reach_km))
     dense = leveled.groupBy(*group, *cube).agg(
@@ -82,11 +82,9 @@ def nearest_locations(
         *spot, "t_lat", "t_lon",
         haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")).alias("distance_km"),
     ).where(F.col("distance_km") <= reach_km)
-    best_spots = Window.partitionBy(*spot).orderBy("distance_km", "t_lat", "t_lon")
-    # k+1 nearest spots always contain the k+1 nearest points
-    near = near.withColumn("_rn", F.rank().over(Window.partitionBy(*spot).orderBy("distance_km"))).where(
-        F.col("_rn") <= k + 1
-    ).drop("_rn") if k else near.withColumn("_rn", F.row_number().over(best_spots)).drop("_rn")
+    # the k+1 nearest spots, ties included, always contain the k+1 nearest points
+    by_distance = Window.partitionBy(*spot).orderBy("distance_km")
+    near = near.withColumn("_rn", F.rank().over(by_distance)).where(F.col("_rn") <= k + 1).drop("_rn")
     targets = kept.select(
         *group, F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("id").alias("target"),
         *[F.col(c).alias(f"t_{c}") for c in payload],
@@ -106,7 +104,7 @@ def neighbour_relations(cells: DataFrame, k: int = NEIGHBOURS, reach_km: float =
     same = nearest_locations(cells, k, half_globe, ["site", "band"], group=["site"])
     spots = cells.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
     own = cells.select(F.col("id").alias("source"), "site", "band", "lat", "lon")
-    per_spot = near.join(spots, ["lat", "lon"]).withColumn("_n", F.col("_n"))
+    per_spot = near.join(spots, ["lat", "lon"])
     site_spots = cells.groupBy("site", "lat", "lon").agg(F.count(F.lit(1)).alias("_n"))
     fields = ["source", "site", "band", "target", "t_site", "t_band", "distance_km"]
     a = attach(own, _as_lists(per_spot, ["lat", "lon"]), ["lat", "lon"], rows="_n")

@@ -70,22 +70,31 @@ def running_sums(
     descending: bool = False,
     exclusive: bool = False,
     cuts: Sequence[float] | None = None,
+    next_as: str | None = None,
 ) -> DataFrame:
-    """Add running sums of ``sums`` (output name -> input column) along ``order``."""
+    """Add running sums of ``sums`` (output name -> input column) along ``order``.
+
+    ``next_as`` adds the following order value of the group.
+    """
     last = -1 if exclusive else 0
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     cuts = cut_points(df, order) if cuts is None else cuts
     local_order = [direction(c) for c in (order, *ties)]
     if not cuts:
-        w = Window.partitionBy(*groups).orderBy(*local_order)
-        w = w.rowsBetween(Window.unboundedPreceding, last)
+        ordered = Window.partitionBy(*groups).orderBy(*local_order)
+        w = ordered.rowsBetween(Window.unboundedPreceding, last)
+        following = [F.lead(order).over(ordered).alias(next_as)] if next_as else []
         return df.select(
-            "*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(o) for o, c in sums.items()]
+            "*",
+            *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(o) for o, c in sums.items()],
+            *following,
         )
     bucketed = with_bucket(df, order, cuts)
+    first_of = F.max(order) if descending else F.min(order)
     totals = bucketed.groupBy(*groups, BUCKET).agg(
-        *[F.sum(c).alias(f"_total_{o}") for o, c in sums.items()]
+        *[F.sum(c).alias(f"_total_{o}") for o, c in sums.items()], first_of.alias("_first")
     )
+    onward = Window.partitionBy(*groups).orderBy(direction(BUCKET))
     before = (
         Window.partitionBy(*groups)
         .orderBy(direction(BUCKET))
@@ -98,12 +107,17 @@ def running_sums(
             F.coalesce(F.sum(f"_total_{o}").over(before), F.lit(0)).alias(f"_offset_{o}")
             for o in sums
         ],
+        F.lead("_first").over(onward).alias("_next_first"),
     )
     joined = bucketed.join(offsets, [*groups, BUCKET])
-    w = Window.partitionBy(*groups, BUCKET).orderBy(*local_order)
-    w = w.rowsBetween(Window.unboundedPreceding, last)
+    ordered = Window.partitionBy(*groups, BUCKET).orderBy(*local_order)
+    w = ordered.rowsBetween(Window.unboundedPreceding, last)
+    following = (
+        [F.coalesce(F.lead(order).over(ordered), "_next_first").alias(next_as)] if next_as else []
+    )
     return joined.select(
         *df.columns,
+        *following,
         *[
             (F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_offset_{o}")).alias(o)
             for o, c in sums.items()
@@ -123,6 +137,43 @@ def value_counts(
     )
 
 
+def _contribution(value: str, pos: Column) -> Column:
+    """Share of one value-count row in the interpolated order statistic at ``pos``."""
+    lo, hi, frac = F.floor(pos), F.ceil(pos), pos - F.floor(pos)
+    below, end = F.col("_below"), F.col("_below") + F.col("n")
+    has_lo, has_hi = (lo >= below) & (lo < end), (hi >= below) & (hi < end)
+    return (
+        F.when(has_lo & has_hi, F.col(value))
+        .when(has_lo, F.col(value) * (1 - frac))
+        .when(has_hi, F.col(value) * frac)
+    )
+
+
+def quantile_grid(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Many quantiles at once as rows (group, i, q)."""
+    from ropeway.plans.skew import attach
+
+    counts = value_counts(df, groups, value)
+    placed = running_sums(counts, groups, value, {"_below": "n"}, exclusive=True)
+    totals = counts.groupBy(*groups).agg(
+        F.sum("n").cast("long").alias("_total"), F.count(F.lit(1)).alias("_rows")
+    )
+    placed = attach(placed, totals, groups, rows="_rows")
+    grid = F.array(*[F.lit(float(p)) for p in probs])
+    spots = F.transform(
+        grid, lambda p, i: F.struct(i.alias("i"), (p * (F.col("_total") - 1)).alias("pos"))
+    )
+    mine = F.filter(
+        spots,
+        lambda s: (F.ceil(s["pos"]) >= F.col("_below"))
+        & (F.floor(s["pos"]) < F.col("_below") + F.col("n")),
+    )
+    hits = placed.select(*groups, value, "n", "_below", F.explode(mine).alias("s"))
+    return hits.groupBy(*groups, F.col("s.i").alias("i")).agg(
+        F.sum(_contribution(value, F.col("s.pos"))).alias("q")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],
@@ -139,16 +190,10 @@ def exact_quantiles(
         F.sum("n").cast("long").alias("_total"), F.count(F.lit(1)).alias("_rows")
     )
     placed = attach(placed, totals, groups, rows="_rows")
-    aggs = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        lo, frac = F.floor(pos), pos - F.floor(pos)
-        hi = F.ceil(pos)
-        below, end = F.col("_below"), F.col("_below") + F.col("n")
-        weight = F.when((lo >= below) & (lo < end), 1 - frac).otherwise(F.lit(0.0)) + F.when(
-            (hi >= below) & (hi < end), frac
-        ).otherwise(F.lit(0.0))
-        aggs.append(F.sum(F.when(weight > 0, F.col(value) * weight)).alias(name))
+    aggs = [
+        F.sum(_contribution(value, F.lit(float(p)) * (F.col("_total") - 1))).alias(name)
+        for name, p in probs.items()
+    ]
     if count_as:
         aggs.append(F.max("_total").alias(count_as))
     return placed.groupBy(*groups).agg(*aggs)

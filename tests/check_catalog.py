@@ -3,6 +3,7 @@
 Usage: python tests/check_catalog.py [sf_dir] [name-substring ...]
 """
 
+import logging
 import math
 import os
 import sys
@@ -77,6 +78,8 @@ def main():
     from ropeway.session import build_session
 
     spark = build_session("check", "local[8]")
+    spark.sparkContext.setLogLevel("OFF")
+    logging.disable(logging.CRITICAL)
     if os.environ.get("ROWS_PER_TASK"):
         spark.conf.set("ropeway.rowsPerTask", os.environ["ROWS_PER_TASK"])
     con = connect(sf)
@@ -89,7 +92,7 @@ def main():
         try:
             out = compare(spark, con, name, fn, sqls.get(name), sf)
         except Exception as e:
-            out = "ERROR " + str(e)[:1200]
+            out = "ERROR " + str(e)[:700]
             if os.environ.get("TRACE"):
                 traceback.print_exc()
         if not out.startswith(("ok", "rows-only")) or "TYPE" in out:
