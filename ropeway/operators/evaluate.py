@@ -25,6 +25,13 @@ def safe(num: Column, den: Column) -> Column:
     return F.coalesce(num / F.nullif(den.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation, NULL when a column is constant (``corr`` divides by zero there)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 def confusion(df: DataFrame, groups: Sequence[str], predicted: Column, label: str) -> DataFrame:
     y = F.col(label) == 1
     return df.groupBy(*groups).agg(
@@ -254,7 +261,7 @@ def correlation_baseline(df: DataFrame, features: Sequence[str], label: str, pro
     """Best correlated feature above its p95, and the majority class, as F1 baselines."""
     from ropeway.plans.prefix import exact_quantiles
 
-    corr = df.agg(*[F.coalesce(F.abs(F.corr(f, label)), F.lit(0.0)).alias(f) for f in features]).first()
+    corr = df.agg(*[F.coalesce(F.abs(correlation(f, label)), F.lit(0.0)).alias(f) for f in features]).first()
     best = max(features, key=lambda f: (round(corr[f], 12), -features.index(f)))
     cut = exact_quantiles(df, [], best, {"t": prob}).first()["t"]
     rule = threshold_metrics(df, [], best, label, cut, strict=True).select(
