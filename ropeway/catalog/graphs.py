@@ -141,7 +141,7 @@ def blast_members(spark, sf):
     return G.blast_members(hot, relations(spark, sf), cell_sites(spark, sf), "cell_id", "site")
 
 
-@query("g10_what_if", f"""WITH {KE}, {PROFILE}, {BLAST}, pr AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'power' ELSE 'tilt' END AS kind, round((kpi - 50) / 40, 2) AS d,
+@query("g10_what_if", f"""WITH {KE}, {PROFILE}, {BLAST}, pr AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'power' ELSE 'tilt' END AS kind, (kpi - 50) / 39.7::DOUBLE AS d,
  CASE WHEN event_type <> 'signup' THEN std END AS std, blast FROM ke JOIN pf ON pf.cell_id = ke.cell_id AND pf.hour = hour(ke.ts) JOIN bs ON bs.cell_id = ke.cell_id),
 x AS (SELECT *, CASE WHEN kind = 'tilt' THEN round(d * -0.8, 3) END AS c, CASE WHEN kind = 'tilt' THEN round(d * -0.5, 3) END AS h, CASE WHEN kind = 'power' THEN round(d * 0.8, 3) END AS t FROM pr)
 SELECT event_id, CASE WHEN std IS NOT NULL THEN c END AS d_cqi, CASE WHEN std IS NOT NULL THEN h END AS d_handover, CASE WHEN std IS NOT NULL THEN t END AS d_throughput,
@@ -152,7 +152,7 @@ def what_if(spark, sf):
     ke = kpi_events(spark, sf)
     prof = diurnal_profile(ke, "cell_id", "ts", "kpi").select("cell_id", "hour", "std")
     pr = ke.select("event_id", "cell_id", F.hour("ts").alias("hour"), F.when(F.col("event_type") == "click", "power").otherwise("tilt").alias("kind"),
-                   F.round((F.col("kpi") - 50) / 40, 2).alias("delta"), (F.col("event_type") != "signup").alias("known"))
+                   ((F.col("kpi") - 50) / 39.7).alias("delta"), (F.col("event_type") != "signup").alias("known"))
     pr = lookup_join(pr, prof, ["cell_id", "hour"], "inner").join(
         G.blast_sizes(relations(spark, sf), cell_sites(spark, sf), "cell_id", "site"), "cell_id")
     std = F.when(F.col("known"), F.col("std"))

@@ -228,5 +228,5 @@ def signature_distance(signatures: DataFrame, snapshot: str) -> DataFrame:
     cols = ["p10", "p25", "p50", "p75", "p90"]
     vec = F.array(*cols)
     first = signatures.agg(F.min_by(vec, F.col(snapshot))).scalar()
-    gap = F.aggregate(F.zip_with(vec, first, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    gap = sum((F.col(c) - first[i]) * (F.col(c) - first[i]) for i, c in enumerate(cols))
     return signatures.withColumn("distance", F.sqrt(gap))
