@@ -118,8 +118,8 @@ def arbitration(spark, sf):
 
 
 @query("r8_compatible_releases", """WITH c AS (SELECT p_partkey, (1 + p_size % 3) || '.' || p_partkey % 8 || '.' || p_size || CASE WHEN p_partkey % 11 = 0 THEN '-rc.1' WHEN p_partkey % 13 = 0 THEN '.bad' ELSE '' END AS version, 1 + p_size % 3 AS ma, p_partkey % 8 AS mi, p_size AS pa,
- p_type = 'PROMO' AS blocked, p_brand = 'Brand#3' AS listed, p_partkey % 5 = 0 AS cross, p_partkey % 6 = 0 AS skip FROM part WHERE NOT (p_partkey % 13 = 0 AND p_partkey % 11 <> 0))
-SELECT p_partkey, version FROM c WHERE NOT blocked AND NOT listed AND (ma, mi, pa) > (2, 3, 10) AND CASE WHEN ma = 2 THEN mi - 3 <= 1 OR skip ELSE cross END""")
+ p_type = 'PROMO' AS blocked, p_brand = 'Brand#3' AS listed, p_partkey % 5 = 0 AS crs, p_partkey % 6 = 0 AS skp FROM part WHERE NOT (p_partkey % 13 = 0 AND p_partkey % 11 <> 0))
+SELECT p_partkey, version FROM c WHERE NOT blocked AND NOT listed AND (ma, mi, pa) > (2, 3, 10) AND CASE WHEN ma = 2 THEN mi - 3 <= 1 OR skp ELSE crs END""")
 def compatible_releases(spark, sf):
     k = F.col("p_partkey")
     tail = F.when(k % 11 == 0, "-rc.1").when(k % 13 == 0, ".bad").otherwise("")

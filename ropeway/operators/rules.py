@@ -330,7 +330,7 @@ def breaker_timeline(calls: DataFrame, endpoint: str, time: str, tie: str, ok: s
               "state_after string, _end string")
     names = {"C": "closed", "O": "open", "H": "half_open"}
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_at", tie], kind="stable")
         machine = Breaker(pdf["_start"].iloc[0])
         before, tried, after = [], [], []
