@@ -36,8 +36,8 @@ def latest_features(spark: SparkSession, path: str, entity: str = "cell_id", tim
 def log_predictions(df: DataFrame, path: str, time: str) -> None:
     """Append-only log by date and hour; files are never rewritten."""
     placed = df.withColumns({"date": F.to_date(time), "hour": F.hour(time)})
-    placed.repartition("date", "hour", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("append").partitionBy(
-        "date", "hour").parquet(path)
+    # rebalancing merges small hours and splits hot ones by size
+    placed.hint("rebalance", "date", "hour").write.mode("append").partitionBy("date", "hour").parquet(path)
 
 
 def recent_predictions(spark: SparkSession, path: str, time: str, tie: str, n: int) -> DataFrame:
