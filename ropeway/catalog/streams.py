@@ -78,7 +78,6 @@ def payload_fields(spark, sf):
     f"{sql_f32(f'avg(kpi) OVER {_fr(f'{w - 1} PRECEDING', 'CURRENT ROW')}')} AS mean_{l}, {sql_f32(f'round(coalesce(stddev_samp(kpi) OVER {_fr(f'{w - 1} PRECEDING', 'CURRENT ROW')}, 0), 6)')} AS std_{l}"
     for l, w in (("4h", 16), ("24h", 96))) + f", {sql_f32(f'coalesce(kpi - lag(kpi) OVER ({ORD}), 0)')} AS delta_1 FROM ke")
 def rolling_state(spark, sf):
-    stateful.use_rocksdb(spark)
     out = drained(spark, stateful.rolling_stream(event_stream(spark, sf), "cell_id", "ts", "event_id", "kpi"), "x5")
     return out.select("event_id", "cell_id", *[f32(F.col(c)).alias(c) for c in ("mean_4h", "mean_24h", "delta_1")],
                       *[f32(F.round(c, 6)).alias(c) for c in ("std_4h", "std_24h")])
@@ -102,7 +101,6 @@ def deduplicated(spark, sf):
 
 @query("x8_reconciliation", "SELECT event_id, 0.0::DOUBLE AS delta FROM events WHERE FALSE")
 def reconciliation(spark, sf):
-    stateful.use_rocksdb(spark)
     online = drained(spark, stateful.rolling_stream(event_stream(spark, sf), "cell_id", "ts", "event_id", "kpi"), "x8")
     offline = W.buffer_features(kpi_events(spark, sf), SERIES, "kpi")
     out = skew_check(offline.select("event_id", F.col("kpi_mean_24h").alias("f")), online.select("event_id", F.col("mean_24h").alias("f")), ["event_id"], "f")
@@ -145,7 +143,6 @@ def alarm_stream(spark, sf):
 
 @query("x13_breaker_state")
 def breaker_state(spark, sf):
-    stateful.use_rocksdb(spark)
     s = event_stream(spark, sf).withColumn("ok", (F.col("event_type") != "error") & (F.col("kpi") <= 500))
     return drained(spark, stateful.breaker_stream(s.select("cluster_id", "ts", "event_id", "ok"), "cluster_id", "ts", "event_id", "ok"), "x13")
 

@@ -11,83 +11,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ropeway.operators.rules import Breaker
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NAMES = {"C": "closed", "O": "open", "H": "half_open"}
+LONG, SHORT = 96, 16
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed processors need the RocksDB state store."""
-    spark.conf.set(PROVIDER, ROCKSDB)
+def rolling_stream(stream: DataFrame, entity: str, time: str, tie: str, kpi: str, ttl_hours: int = 48,
+                   delay: str = "1 hour") -> DataFrame:
+    """Mean and deviation of the last 16 and 96 readings and the last change.
 
+    The buffer of an entity expires in event time, twice the longest window after
+    its last reading.  (A processing-time timeout would keep a drain from ending.)
+    """
+    names = [entity, tie, "mean_4h", "std_4h", "mean_24h", "std_24h", "delta_1"]
+    schema = f"{entity} bigint, {tie} bigint, " + ", ".join(f"{n} double" for n in names[2:])
 
-class RollingFeatures(StatefulProcessor):
-    """Mean and deviation of the last 16 and 96 readings and the last change."""
-
-    def __init__(self, entity: str, time: str, tie: str, kpi: str, ttl_ms: int):
-        self.entity, self.time, self.tie, self.kpi, self.ttl_ms = entity, time, tie, kpi, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "v double", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values([self.time, self.tie], kind="stable")
-        held = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values([time, tie], kind="stable")
+        held = list(state.get[0]) if state.exists else []
         out = []
-        for at, v in zip(pdf[self.tie], pdf[self.kpi]):
+        for at, v in zip(pdf[tie], pdf[kpi]):
             v = None if v is None or np.isnan(v) else float(v)
             prev = held[-1] if held else None
-            held = [*held, v][-96:]
+            held = [*held, v][-LONG:]
             row = [key[0], at]
-            for w in (16, 96):
+            for w in (SHORT, LONG):
                 seen = np.array([x for x in held[-w:] if x is not None])
                 row += [float(seen.mean()) if len(seen) else 0.0, float(seen.std(ddof=1)) if len(seen) > 1 else 0.0]
             row.append(v - prev if v is not None and prev is not None else 0.0)
             out.append(row)
-        self.recent.put([(x,) for x in held])
-        yield pd.DataFrame(out, columns=[self.entity, self.tie, "mean_4h", "std_4h", "mean_24h", "std_24h", "delta_1"])
+        state.update((held,))
+        expires = int(pdf[time].iloc[-1].timestamp() * 1000) + ttl_hours * 3_600_000
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
 
-    def close(self) -> None:
-        pass
+    return stream.withWatermark(time, delay).groupBy(entity).applyInPandasWithState(
+        step, schema, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-class BreakerState(StatefulProcessor):
+def breaker_stream(stream: DataFrame, entity: str, time: str, tie: str, ok: str) -> DataFrame:
     """The batch breaker machine with its record in the state store."""
+    types = dict(stream.dtypes)
+    names = [entity, tie, "state_before", "tried", "state_after"]
+    schema = f"{entity} {types[entity]}, {tie} {types[tie]}, state_before string, tried int, state_after string"
 
-    def __init__(self, entity: str, time: str, tie: str, ok: str):
-        self.entity, self.time, self.tie, self.ok = entity, time, tie, ok
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", "t string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values([self.time, self.tie], kind="stable")
-        machine = Breaker(self.record.get()[0] if self.record.exists() else None)
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values([time, tie], kind="stable")
+        machine = Breaker(state.get[0] if state.exists else None)
         out = []
-        for at, tie, good in zip(pdf[self.time], pdf[self.tie], pdf[self.ok]):
+        for at, mark, good in zip(pdf[time], pdf[tie], pdf[ok]):
             seen, used = machine.call(at.timestamp(), bool(good))
-            out.append([key[0], tie, NAMES[seen], int(used), NAMES[machine.state]])
-        self.record.update((machine.dump(),))
-        yield pd.DataFrame(out, columns=[self.entity, self.tie, "state_before", "tried", "state_after"])
+            out.append([key[0], mark, NAMES[seen], int(used), NAMES[machine.state]])
+        state.update((machine.dump(),))
+        yield pd.DataFrame(out, columns=names)
 
-    def close(self) -> None:
-        pass
-
-
-def rolling_stream(stream: DataFrame, entity: str, time: str, tie: str, kpi: str, ttl_hours: int = 48) -> DataFrame:
-    """Serving features per reading; state lives twice the longest window."""
-    schema = f"{entity} bigint, {tie} bigint, mean_4h double, std_4h double, mean_24h double, std_24h double, delta_1 double"
-    return stream.groupBy(entity).transformWithStateInPandas(
-        RollingFeatures(entity, time, tie, kpi, ttl_hours * 3_600_000), schema, "Append", "ProcessingTime")
-
-
-def breaker_stream(stream: DataFrame, entity: str, time: str, tie: str, ok: str) -> DataFrame:
-    types = dict(stream.dtypes)
-    schema = f"{entity} {types[entity]}, {tie} {types[tie]}, state_before string, tried int, state_after string"
-    return stream.groupBy(entity).transformWithStateInPandas(
-        BreakerState(entity, time, tie, ok), schema, "Append", "None")
+    return stream.groupBy(entity).applyInPandasWithState(
+        step, schema, "record string", "append", GroupStateTimeout.NoTimeout)

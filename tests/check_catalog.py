@@ -78,7 +78,7 @@ def main():
     from ropeway.session import build_session
 
     spark = build_session("check", "local[8]")
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel(os.environ.get("LOG", "OFF"))
     logging.disable(logging.CRITICAL)
     if os.environ.get("ROWS_PER_TASK"):
         spark.conf.set("ropeway.rowsPerTask", os.environ["ROWS_PER_TASK"])
