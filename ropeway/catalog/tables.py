@@ -109,8 +109,9 @@ def latest_push(spark, sf):
 def recent_predictions(spark, sf):
     path = scratch_path(spark, "predictions")
     df = table(spark, sf, "events").select("event_id", "ts", "value")
-    sinks.log_predictions(df.where("event_id % 2 = 0"), path, "ts")
-    sinks.log_predictions(df.where("event_id % 2 = 1"), path, "ts")
+    half = F.lit("2024-01-16").cast("timestamp")
+    sinks.log_predictions(df.where(F.col("ts") < half), path, "ts")
+    sinks.log_predictions(df.where(F.col("ts") >= half), path, "ts")
     return sinks.recent_predictions(spark, path, "ts", "event_id", 100).select("event_id", "value")
 
 
