@@ -18,8 +18,8 @@ def leave_one_out_z(spark, sf):
     return P.leave_one_out_z(kpi_events(spark, sf), PEER, "kpi").select("event_id", r6(F.col("peer_z")).alias("peer_z"))
 
 
-@query("w7_inclusive_z", f"""WITH {KE} SELECT event_id, {sql_r6('''coalesce(least(greatest((kpi - avg(kpi) OVER w) /
- nullif(stddev_samp(kpi) OVER w, 0), -5.0), 5.0), 0)''')} AS peer_z FROM ke WINDOW w AS (PARTITION BY day, cluster_id)""")
+@query("w7_inclusive_z", f"""WITH {KE}, x AS (SELECT event_id, kpi - avg(kpi) OVER w AS d, stddev_samp(kpi) OVER w AS s FROM ke WINDOW w AS (PARTITION BY day, cluster_id))
+SELECT event_id, {sql_r6('CASE WHEN s > 0 THEN least(greatest(d / s, -5.0), 5.0) ELSE 0 END')} AS peer_z FROM x""")
 def inclusive_z(spark, sf):
     return P.inclusive_z(kpi_events(spark, sf), PEER, "kpi").select("event_id", r6(F.col("peer_z")).alias("peer_z"))
 

@@ -31,23 +31,23 @@ def as_number(column: Column, dtype: str) -> Column:
     return column.cast("double")
 
 
-def cut_points(df: DataFrame, order: str) -> list[float]:
-    """Bucket borders; empty when the whole frame fits one task."""
+def cut_points(df: DataFrame, order: str, source: DataFrame | None = None) -> list[float]:
+    """Bucket borders; empty when the whole frame fits one task.
+
+    ``source`` is a cheaper frame with at least as many rows; when it is small
+    enough, ``df`` itself is not evaluated.
+    """
     limit = rows_per_task(df.sparkSession)
-    key = as_number(F.col(order), dict(df.dtypes)[order])
-    grid = [i / 1024 for i in range(1, 1024)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(key, grid, 20000).alias("q"),
-    ).first()
-    if row["n"] <= limit or not row["q"]:
+    if source is not None and source.count() <= limit:
         return []
-    if row["n"] > limit * 1024:
-        grid = [i / MAX_CUTS for i in range(1, MAX_CUTS)]
-        fine = df.agg(F.percentile_approx(key, grid, 80000).alias("q")).first()["q"]
-        return sorted(set(fine))
-    step = max(1, math.floor(1024 * limit / row["n"]))
-    return sorted(set(row["q"][step - 1 :: step]))
+    n = df.count()
+    if n <= limit:
+        return []
+    key = as_number(F.col(order), dict(df.dtypes)[order])
+    parts = min(MAX_CUTS, math.ceil(n / limit))
+    grid = [i / parts for i in range(1, parts)]
+    row = df.agg(F.percentile_approx(key, grid, 20 * MAX_CUTS).alias("q")).first()
+    return sorted(set(row["q"] or []))
 
 
 def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], name: str = BUCKET) -> DataFrame:
@@ -149,16 +149,24 @@ def _contribution(value: str, pos: Column) -> Column:
     )
 
 
-def quantile_grid(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Many quantiles at once as rows (group, i, q)."""
+def _placed_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Value counts with the rows below each value and the group total."""
     from ropeway.plans.skew import attach
 
     counts = value_counts(df, groups, value)
-    placed = running_sums(counts, groups, value, {"_below": "n"}, exclusive=True)
+    cuts = cut_points(counts, value, source=df)
+    placed = running_sums(counts, groups, value, {"_below": "n"}, exclusive=True, cuts=cuts)
+    if not cuts:
+        return placed.withColumn("_total", F.sum("n").over(Window.partitionBy(*groups)))
     totals = counts.groupBy(*groups).agg(
         F.sum("n").cast("long").alias("_total"), F.count(F.lit(1)).alias("_rows")
     )
-    placed = attach(placed, totals, groups, rows="_rows")
+    return attach(placed, totals, groups, rows="_rows").drop("_rows")
+
+
+def quantile_grid(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Many quantiles at once as rows (group, i, q)."""
+    placed = _placed_counts(df, groups, value)
     grid = F.array(*[F.lit(float(p)) for p in probs])
     spots = F.transform(
         grid, lambda p, i: F.struct(i.alias("i"), (p * (F.col("_total") - 1)).alias("pos"))
@@ -182,14 +190,7 @@ def exact_quantiles(
     count_as: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group from ordered value counts."""
-    from ropeway.plans.skew import attach
-
-    counts = value_counts(df, groups, value)
-    placed = running_sums(counts, groups, value, {"_below": "n"}, exclusive=True)
-    totals = counts.groupBy(*groups).agg(
-        F.sum("n").cast("long").alias("_total"), F.count(F.lit(1)).alias("_rows")
-    )
-    placed = attach(placed, totals, groups, rows="_rows")
+    placed = _placed_counts(df, groups, value)
     aggs = [
         F.sum(_contribution(value, F.lit(float(p)) * (F.col("_total") - 1))).alias(name)
         for name, p in probs.items()
@@ -201,12 +202,6 @@ def exact_quantiles(
 
 def average_rank(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """(group, value) -> mean rank of ties (from 1), rows below, rows equal, group size."""
-    from ropeway.plans.skew import attach
-
-    counts = value_counts(df, groups, value)
-    placed = running_sums(counts, groups, value, {"below": "n"}, exclusive=True)
-    totals = counts.groupBy(*groups).agg(
-        F.sum("n").cast("long").alias("total"), F.count(F.lit(1)).alias("_rows")
-    )
-    placed = attach(placed, totals, groups, rows="_rows")
-    return placed.withColumn("avg_rank", F.col("below") + (F.col("n") + 1) / 2).drop("_rows")
+    placed = _placed_counts(df, groups, value)
+    rank = F.col("_below") + (F.col("n") + 1) / 2
+    return placed.withColumn("avg_rank", rank).withColumnsRenamed({"_below": "below", "_total": "total"})

@@ -35,7 +35,7 @@ def build_session(app: str = "ropeway", master: str | None = None, cores: int =
 
 def rows_per_task(spark: SparkSession) -> int:
     """Rows one task may sort for one key before the key is split."""
-    return int(spark.conf.get(ROWS_PER_TASK, "1000000"))
+    return int(spark.conf.get(ROWS_PER_TASK, "2000000"))
 
 
 def shared_dir(spark: SparkSession) -> str:
