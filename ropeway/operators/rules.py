@@ -308,7 +308,7 @@ class Breaker:
                 if self.wins >= SUCCESSES:
                     self.state = "C"
             return seen, True
-        self.fails, self.failed_at = self.fails + 1, at
+        self.fails, self.failed_at = self.fails + 1, float(at)
         full = len(self.results) == RESULTS
         if self.fails >= FAILURES or (full and self.results.count(False) / RESULTS >= ERROR_RATE):
             self.state = "O"

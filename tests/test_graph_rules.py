@@ -71,7 +71,7 @@ def brute_locks(props, seconds):
 @pytest.mark.parametrize("rows_per_task", ["2000000", "8"])
 def test_locks_equal_sequential_registry(spark, rows_per_task):
     rng = random.Random(6)
-    props = [(T0 + timedelta(seconds=rng.randint(0, 3000)), a, sorted({rng.randint(0, 5) if rng.random() < 0.6 else 0 for _ in range(2)})) for a in range(45)]
+    props = [(T0 + timedelta(seconds=rng.randint(0, 1500)), a, sorted({rng.randint(0, 5) if rng.random() < 0.6 else 0 for _ in range(2)})) for a in range(24)]
     df = spark.createDataFrame([(a, c, t) for t, a, cs in props for c in cs], "a long, c long, ts timestamp")
     spark.conf.set(ROWS_PER_TASK, rows_per_task)
     try:
