@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ropeway.operators.evaluate import areas, confusion, correlation, safe, score_counts
 from ropeway.plans.prefix import exact_quantiles
+from ropeway.plans.skew import group_join
 
 PROFILE_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 # Unit cost per inference tier in USD; the token tier is per 1,000 tokens.
@@ -28,7 +29,7 @@ def tumbling(df: DataFrame, keys: Sequence[str], time: str, kpi: str, critical:
     placed = df.withColumn("window_start", window["start"])
     base = placed.groupBy("window_start", *keys).agg(*aggs)
     p95 = exact_quantiles(placed, ["window_start", *keys], kpi, {"p95": 0.95})
-    return base.join(p95, ["window_start", *keys], "left")
+    return group_join(base, p95, ["window_start", *keys], "left")
 
 
 def diurnal_profile(df: DataFrame, entity: str, time: str, kpi: str) -> DataFrame:
@@ -36,11 +37,12 @@ def diurnal_profile(df: DataFrame, entity: str, time: str, kpi: str) -> DataFram
     hourly = df.withColumn("hour", F.hour(time))
     med = exact_quantiles(hourly, [entity, "hour"], kpi, {"median": 0.5})
     std = hourly.groupBy(entity, "hour").agg(F.coalesce(F.stddev_samp(kpi), F.lit(0.0)).alias("std"))
-    seen = std.join(med, [entity, "hour"])
+    seen = group_join(std, med, [entity, "hour"])
     # at most 24 rows per entity from here on
     spine = seen.select(entity).distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     typical = seen.groupBy(entity).agg(F.median("median").alias("_m"), F.median("std").alias("_s"))
-    return spine.join(seen, [entity, "hour"], "left").join(typical, entity).select(
+    filled = group_join(group_join(spine, seen, [entity, "hour"], "left"), typical, [entity])
+    return filled.select(
         entity, "hour", F.coalesce("median", "_m").alias("median"), F.coalesce("std", "_s").alias("std"))
 
 
@@ -96,7 +98,7 @@ def entity_errors(df: DataFrame, entity: str, score: str, label: str, threshold:
     mean = df.groupBy(entity).agg(F.avg(score).alias("mean_score"))
     auc = areas(score_counts(df, [entity], score, label), [entity], score).select(entity, "roc_auc")
     far, miss = safe(F.col("fp"), F.col("fp") + F.col("tn")), safe(F.col("fn"), F.col("fn") + F.col("tp"))
-    return base.join(mean, entity).join(auc, entity, "left").withColumns({
+    return group_join(group_join(base, mean, [entity]), auc, [entity], "left").withColumns({
         "false_alarm_rate": far, "miss_rate": miss,
         "high_far": (far > 0.10).cast("int"), "high_miss": (miss > 0.30).cast("int")})
 
@@ -123,7 +125,7 @@ def serving_metrics(df: DataFrame, keys: Sequence[str], latency: str, score: str
     base = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(error).alias("errors"),
         F.count_if(fallback).alias("fallbacks"), F.avg(score).alias("mean_score"))
-    return base.join(exact_quantiles(df, keys, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), list(keys))
+    return group_join(base, exact_quantiles(df, keys, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), keys)
 
 
 def inference_cost(df: DataFrame, tier: str, samples: str, tokens: str, wall_ms: str) -> DataFrame:

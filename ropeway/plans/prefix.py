@@ -16,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ropeway.plans.skew import attach, group_join
 from ropeway.session import rows_per_task
 
 MAX_CUTS = 4096
@@ -109,7 +110,7 @@ def running_sums(
         ],
         F.lead("_first").over(onward).alias("_next_first"),
     )
-    joined = bucketed.join(offsets, [*groups, BUCKET])
+    joined = group_join(bucketed, offsets, [*groups, BUCKET])
     ordered = Window.partitionBy(*groups, BUCKET).orderBy(*local_order)
     w = ordered.rowsBetween(Window.unboundedPreceding, last)
     following = (
@@ -151,8 +152,6 @@ def _contribution(value: str, pos: Column) -> Column:
 
 def _placed_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Value counts with the rows below each value and the group total."""
-    from ropeway.plans.skew import attach
-
     counts = value_counts(df, groups, value)
     cuts = cut_points(counts, value, source=df)
     placed = running_sums(counts, groups, value, {"_below": "n"}, exclusive=True, cuts=cuts)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ropeway.plans.prefix import BUCKET, cut_points, with_bucket
+from ropeway.plans.skew import group_join
 from ropeway.session import rows_per_task
 
 SEGMENT, HALO = "_segment", "_halo"
@@ -36,7 +37,7 @@ def split(df: DataFrame, entity: Sequence[str], time: str, halo_rows: int = 0,
     hot = per_entity.where(F.col("_rows") > limit)
     if hot.count() == 0:
         return Split(df, entity, False)
-    hot_rows = df.select(*entity, time).join(hot.select(*entity), entity, "left_semi")
+    hot_rows = group_join(df.select(*entity, time), hot.select(*entity), entity, "left_semi")
     cuts = cut_points(hot_rows, time)
     buckets = (
         with_bucket(hot_rows, time, cuts).groupBy(*entity, BUCKET)
@@ -57,7 +58,7 @@ def split(df: DataFrame, entity: Sequence[str], time: str, halo_rows: int = 0,
     per_entity_bounds = bounds.groupBy(*entity).agg(
         F.collect_list(F.struct(SEGMENT, "_first", "_end")).alias("_bounds")
     )
-    placed = placed.join(per_entity_bounds, entity)
+    placed = group_join(placed, per_entity_bounds, entity)
     start, end = F.col("_start"), F.col("_start") + F.col("_rows")
     reached = F.filter(
         "_bounds",
@@ -67,7 +68,7 @@ def split(df: DataFrame, entity: Sequence[str], time: str, halo_rows: int = 0,
     routes = placed.select(
         *entity, BUCKET, SEGMENT, F.transform(reached, lambda b: b[SEGMENT]).alias("_reach")
     )
-    routed = with_bucket(df, time, cuts).join(routes, [*entity, BUCKET], "left")
+    routed = group_join(with_bucket(df, time, cuts), routes, [*entity, BUCKET], "left")
     home = F.array(F.struct(F.coalesce(SEGMENT, F.lit(0)).alias("s"), F.lit(False).alias("h")))
     extra = F.transform(
         F.coalesce("_reach", F.array().cast("array<int>")),
@@ -125,7 +126,7 @@ def last_known(
         *entity, SEGMENT,
         *[F.last(o, ignorenulls=True).over(before).alias(f"_carry_{o}") for o in columns],
     )
-    joined = local.join(carried, [*entity, SEGMENT], "left")
+    joined = group_join(local, carried, [*entity, SEGMENT], "left")
     return joined.select(
         *df.columns, *[F.coalesce(o, f"_carry_{o}").alias(o) for o in columns]
     )

@@ -12,6 +12,20 @@ from ropeway.session import rows_per_task
 BROADCAST_ROWS = 200_000
 
 
+def group_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False
+) -> DataFrame:
+    """Join on group keys where NULL is a group like any other."""
+    other = right.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys]
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = left.join(F.broadcast(other) if small else other, same, how)
+    return out.drop(*[f"_key_{k}" for k in keys])
+
+
 def attach(
     df: DataFrame,
     stats: DataFrame,
@@ -33,18 +47,17 @@ def attach(
     )
     n_hot = hot.count()
     if n_hot == 0:
-        return df.join(stats, list(keys), how)
-    marker = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        return group_join(df, stats, keys, how)
     payload = [c for c in df.columns if c not in keys]
     spread = F.xxhash64(*payload) if payload else F.monotonically_increasing_id()
-    salted = df.join(marker, list(keys), "left").withColumn(
+    salted = group_join(df, hot, keys, "left", small=n_hot <= BROADCAST_ROWS).withColumn(
         "_salt", F.coalesce(F.pmod(spread, F.col("_salts")), F.lit(0)).cast("int")
     )
     copies = stats.withColumn(
         "_salt",
         F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col(rows), F.lit(1)) / limit).cast("int") - 1)),
     )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt", "_salts")
+    return group_join(salted, copies, [*keys, "_salt"], how).drop("_salt", "_salts")
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: dict) -> DataFrame:

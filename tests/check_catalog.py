@@ -9,6 +9,7 @@ import os
 import sys
 import time
 import traceback
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 
@@ -85,12 +86,12 @@ def main():
     con = connect(sf)
     sqls = entry.oracle_sql()
     bad = []
-    for name, fn in entry.queries().items():
-        if wanted and not any(w in name for w in wanted):
-            continue
+
+    def one(item):
+        name, fn = item
         t = time.time()
         try:
-            out = compare(spark, con, name, fn, sqls.get(name), sf)
+            out = compare(spark, con.cursor(), name, fn, sqls.get(name), sf)
         except Exception as e:
             out = "ERROR " + str(e)[:700]
             if os.environ.get("TRACE"):
@@ -98,6 +99,10 @@ def main():
         if not out.startswith(("ok", "rows-only")) or "TYPE" in out:
             bad.append(name)
         print(f"{name:36s} {time.time() - t:6.2f}s {out}", flush=True)
+
+    chosen = [(n, f) for n, f in entry.queries().items() if not wanted or any(w in n for w in wanted)]
+    with ThreadPoolExecutor(int(os.environ.get("THREADS", "1"))) as pool:
+        list(pool.map(one, chosen))
     print("BAD", bad)
 
 

@@ -133,3 +133,14 @@ def test_salted_join_keeps_every_row(tiny_tasks):
     stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("s"))
     out = attach(df, stats, ["k"], rows="n")
     assert out.count() == 300 and out.select("i").distinct().count() == 300
+
+
+def test_null_keys_stay_a_group(spark):
+    rows = [(None if i % 2 else i % 4, i, T0 + timedelta(minutes=i), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "cell_id long, i long, ts timestamp, kpi double")
+    both_paths(spark, lambda: W.row_index(df, SPEC).select("i", "row_index"))
+    both_paths(spark, lambda: W.rolling_statistics(df, SPEC).select("i", "kpi_mean_1h"))
+    both_paths(spark, lambda: W.forward_fill(df, SPEC, {"kpi": F.lit(0.0)}).select("i", "kpi"))
+    from ropeway.plans.skew import with_group_stats
+    out = both_paths(spark, lambda: with_group_stats(df, ["cell_id"], {"s": F.sum("kpi")}).select("i", "s"))
+    assert len(out) == 40
