@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ropeway.catalog.base import KE, kpi_events, query, r6, sql_f32, sql_r6, table
+from ropeway.catalog.drift import PSI, _dist
 from ropeway.catalog.tables import _AL, alarm_payloads
 from ropeway.catalog.windows import ORD, SERIES, _fr
 from ropeway.functions.scalar import f32
@@ -83,14 +84,20 @@ def rolling_state(spark, sf):
                       *[f32(F.round(c, 6)).alias(c) for c in ("std_4h", "std_24h")])
 
 
-@query("x6_drift_monitor")
+_X6 = """lg AS (SELECT 'kpi' AS feature, 'ref' AS side, value FROM events WHERE ts < TIMESTAMP '2024-01-16' UNION ALL
+ SELECT 'kpi', 'cur', value FROM (SELECT value FROM events WHERE ts >= TIMESTAMP '2024-01-16' ORDER BY ts DESC, event_id DESC LIMIT 5000))"""
+
+
+@query("x6_drift_monitor", f"""WITH {_X6}, {_dist(['feature'])}, {PSI} SELECT feature, {sql_r6('psi')} AS psi, {sql_r6('distance / greatest(ref_std, 1e-6)')} AS wasserstein, CAST(n_cur AS BIGINT) AS n_cur,
+ CASE WHEN psi < 0.1 THEN 'OK' WHEN psi < 0.25 THEN 'YELLOW' ELSE 'RED' END AS psi_status FROM ds JOIN st USING (feature) JOIN ps USING (feature)""")
 def drift_monitor(spark, sf):
     base = scratch_path(spark, "x6")
     ref = kpi_events(spark, sf).where(F.col("ts") < "2024-01-16").select(F.lit("kpi").alias("feature"), F.col("kpi").alias("value"))
     s = event_stream(spark, sf).where(F.col("ts") >= "2024-01-16").select(F.lit("kpi").alias("feature"), F.col("kpi").alias("value"), "ts", "event_id")
     write = jobs.monitor_drift(ref, f"{base}/state", f"{base}/reports", "ts", "event_id")
     jobs.each_batch(s, write, f"{base}/cp").awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/reports")
+    out = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/reports")
+    return out.select("feature", r6(F.col("psi")).alias("psi"), r6(F.col("wasserstein")).alias("wasserstein"), "n_cur", "psi_status")
 
 
 @query("x7_deduplicated", "SELECT event_id FROM events")
