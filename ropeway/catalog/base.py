@@ -26,6 +26,9 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        # the tables hold naive UTC times
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
     naive = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df

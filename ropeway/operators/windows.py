@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +25,21 @@ def _frame(keys: Sequence[str], spec: KpiSpec, start: int, end: int):
     return Window.partitionBy(*keys).orderBy(*_order(spec)).rowsBetween(start, end)
 
 
-def rolling_statistics(df: DataFrame, spec: KpiSpec) -> DataFrame:
+Build = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def in_one_pass(df: DataFrame, spec: KpiSpec, steps: Sequence[tuple[int, Build]]) -> DataFrame:
+    """Several bounded-frame steps (rows reached back, builder) over one partitioning."""
+
+    def build(frame, keys):
+        for _, step in steps:
+            frame = step(frame, keys)
+        return frame
+
+    return windowed(df, spec.entity, spec.time, max(reach for reach, _ in steps), build)
+
+
+def rolling_statistics_step(spec: KpiSpec) -> tuple[int, Build]:
     """Mean, std, max and min of the previous w rows, half a window required."""
 
     def build(frame, keys):
@@ -42,7 +56,11 @@ def rolling_statistics(df: DataFrame, spec: KpiSpec) -> DataFrame:
                 ]
         return frame.select("*", *cols)
 
-    return windowed(df, spec.entity, spec.time, max(spec.windows.values()), build)
+    return max(spec.windows.values()), build
+
+
+def rolling_statistics(df: DataFrame, spec: KpiSpec) -> DataFrame:
+    return in_one_pass(df, spec, [rolling_statistics_step(spec)])
 
 
 def rolling_features(df: DataFrame, spec: KpiSpec) -> DataFrame:
@@ -68,7 +86,7 @@ def rolling_features(df: DataFrame, spec: KpiSpec) -> DataFrame:
     return windowed(df, spec.entity, spec.time, max(spec.windows.values()), build)
 
 
-def lag_deltas(df: DataFrame, spec: KpiSpec, signal: Sequence[str] = ()) -> DataFrame:
+def lag_deltas_step(spec: KpiSpec, signal: Sequence[str] = ()) -> tuple[int, Build]:
     """Lag and delta; a counter reset voids the delta except on signal-strength KPIs."""
 
     def build(frame, keys):
@@ -85,7 +103,11 @@ def lag_deltas(df: DataFrame, spec: KpiSpec, signal: Sequence[str] = ()) -> Data
                 cols += [prev.alias(f"{k}_lag_{n}"), delta.alias(f"{k}_delta_{n}")]
         return frame.select("*", *cols)
 
-    return windowed(df, spec.entity, spec.time, max(spec.lags), build)
+    return max(spec.lags), build
+
+
+def lag_deltas(df: DataFrame, spec: KpiSpec, signal: Sequence[str] = ()) -> DataFrame:
+    return in_one_pass(df, spec, [lag_deltas_step(spec, signal)])
 
 
 def change_features(df: DataFrame, spec: KpiSpec) -> DataFrame:
@@ -114,7 +136,7 @@ def change_features(df: DataFrame, spec: KpiSpec) -> DataFrame:
     return windowed(df, spec.entity, spec.time, max(lags), build)
 
 
-def rolling_z(df: DataFrame, spec: KpiSpec, window: int = 96) -> DataFrame:
+def rolling_z_step(spec: KpiSpec, window: int = 96) -> tuple[int, Build]:
     """Z-score against the previous window, a quarter of it required, clipped, NULL -> 0."""
 
     def build(frame, keys):
@@ -127,7 +149,11 @@ def rolling_z(df: DataFrame, spec: KpiSpec, window: int = 96) -> DataFrame:
             cols.append(F.coalesce(clip(z, -spec.clip, spec.clip), F.lit(0.0)).alias(f"{k}_z"))
         return frame.select("*", *cols)
 
-    return windowed(df, spec.entity, spec.time, window, build)
+    return window, build
+
+
+def rolling_z(df: DataFrame, spec: KpiSpec, window: int = 96) -> DataFrame:
+    return in_one_pass(df, spec, [rolling_z_step(spec, window)])
 
 
 def row_index(df: DataFrame, spec: KpiSpec, name: str = "row_index") -> DataFrame:

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 
 from ropeway.functions.timefeat import counter_time_features
 from ropeway.operators.peers import leave_one_out_z
-from ropeway.operators.windows import lag_deltas, rolling_statistics, rolling_z
+from ropeway.operators.windows import in_one_pass, lag_deltas_step, rolling_statistics_step, rolling_z_step
 from ropeway.spec import KpiSpec
 
 
 def feature_table(df: DataFrame, spec: KpiSpec, peer_group: list[str]) -> DataFrame:
     """Counter table plus its features; window stages share one partitioning by entity."""
     kpi = spec.kpis[0]
-    out = rolling_statistics(df, spec)
-    out = lag_deltas(out, spec)
-    out = rolling_z(out, spec)
+    out = in_one_pass(df, spec, [rolling_statistics_step(spec), lag_deltas_step(spec), rolling_z_step(spec)])
     out = leave_one_out_z(out, peer_group, kpi)
     return out.withColumns(counter_time_features(F.col(spec.time)))
 

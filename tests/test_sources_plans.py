@@ -81,3 +81,15 @@ def test_scan_reads_only_needed_columns(spark):
 def test_no_local_checkpoints_in_the_library():
     hit = subprocess.run(["grep", "-rn", "localCheckpoint\\|crossJoin", "ropeway"], cwd=entry.os.path.dirname(entry.__file__), capture_output=True)
     assert hit.stdout == b""
+
+
+def test_breaker_stream_equals_batch(spark):
+    batch, stream = (entry.queries()[n](spark, SF) for n in ("r9_breaker_timeline", "x13_breaker_state"))
+    cols = ["cluster_id", "event_id", "state_before", "tried", "state_after"]
+    assert sorted(map(tuple, batch.select(*cols).collect())) == sorted(map(tuple, stream.select(*cols).collect()))
+
+
+def test_feature_lineage_shuffles_once_per_partitioning(spark):
+    """Rolling, lag and z windows share one exchange by entity."""
+    text = plan(entry.entry(spark))
+    assert text.count("hashpartitioning(cell_id") == 1
