@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ropeway.operators.aggregates import tumbling
 from ropeway.operators.drift import feature_report
@@ -26,16 +26,33 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, offsets_per_trig
     )
 
 
+def _start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Start with at most two state partitions per core.
+
+    A stateful query keeps the partition count of its first start and opens one
+    store per partition and batch, so the session's batch setting is only a ceiling.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
 def append_table(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     writer = stream.writeStream.outputMode("append").format("parquet")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
+    return _start(writer, stream.sparkSession)
 
 
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
                once: bool = True) -> StreamingQuery:
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
+    return _start(writer, stream.sparkSession)
 
 
 def window_features(stream: DataFrame, keys: Sequence[str], time: str, kpi: str, critical: Column, success: Column,
