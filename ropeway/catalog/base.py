@@ -76,26 +76,6 @@ KG = KE + """, kg AS (SELECT event_id, cell_id, ts, CASE WHEN event_id % 7 <> 0
   is_anomaly, cluster_id, day, event_type FROM ke)"""
 
 
-def kpi_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as counters: one row per supplier and ship day."""
-    return (
-        table(spark, sf, "lineitem")
-        .groupBy(F.col("l_suppkey").alias("cell_id"), F.col("l_shipdate").alias("ts"))
-        .agg(
-            F.sum("l_quantity").alias("qty"),
-            F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
-            F.avg("l_discount").alias("disc"),
-            F.avg("l_tax").alias("tax"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
-
-
-KL = """kl AS (SELECT l_suppkey AS cell_id, l_shipdate AS ts, sum(l_quantity) AS qty,
-  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, avg(l_discount) AS disc,
-  avg(l_tax) AS tax, count(*) AS n FROM lineitem GROUP BY 1, 2)"""
-
-
 def scored_events(spark: SparkSession, sf: str) -> DataFrame:
     """Three derived detector scores, all in 0-1, with the anomaly label."""
     ke = kpi_events(spark, sf)

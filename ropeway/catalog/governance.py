@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ropeway.catalog.base import KE, NRT, SC, kpi_events, query, r6, relations, scored_events, sql_f32, sql_r6, table
+from ropeway.catalog.base import KE, NRT, SC, kpi_events, query, r6, relations, scored_events, sql_r6, table
 from ropeway.operators import graph as G, rules as R
 
 _CARD = """cd AS (SELECT s_suppkey AS model, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN 'svc-bot' ELSE s_name END AS approved_by, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal / 10000 END AS achieved_auc,

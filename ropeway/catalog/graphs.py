@@ -184,6 +184,16 @@ def topology_signature(spark, sf):
                       f32(F.round("distance", 6)).alias("distance"))
 
 
+@query("f14_topology_alarm", f"""WITH {_SIG}, f AS (SELECT * FROM sg WHERE snap = (SELECT min(snap) FROM sg)),
+d AS (SELECT sg.snap, sqrt(power(sg.p10 - f.p10, 2) + power(sg.p25 - f.p25, 2) + power(sg.p50 - f.p50, 2) + power(sg.p75 - f.p75, 2) + power(sg.p90 - f.p90, 2)) AS x FROM sg, f),
+c AS (SELECT snap, sum(x - 0.5) OVER (ORDER BY snap) AS c FROM d), s AS (SELECT snap, c - least(min(c) OVER (ORDER BY snap), 0) AS s FROM c)
+SELECT snap, CAST(max(CAST(s > 3 AS INTEGER)) OVER (ORDER BY snap) AS INTEGER) AS alarm FROM s""")
+def topology_alarm(spark, sf):
+    sig = G.topology_signature(_snapshots(spark, sf), "snap", "a", "b", F.floor(F.col("id") / 10))
+    far = G.signature_distance(sig, "snap").withColumn("view", F.lit("network"))
+    return cusum_flag(far, ["view"], "snap", "distance").select("snap", "alarm")
+
+
 @query("k1_pseudonym", f"""SELECT c_custkey, sha256(unhex('{{outer}}') || unhex(sha256(unhex('{{inner}}') || encode(CAST(c_custkey AS VARCHAR))))) AS token FROM customer""".format(
     **dict(zip(("inner", "outer"), (b.hex() for b in K.padded_keys(b"network-secret"))))))
 def pseudonym(spark, sf):

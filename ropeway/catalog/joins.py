@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ropeway.catalog.base import KE, KL, NRT, gappy_events, kpi_events, kpi_lines, query, r6, relations, sql_f32, sql_r6, table
+from ropeway.catalog.base import KE, gappy_events, kpi_events, query, r6, sql_f32, sql_r6, table
 from ropeway.functions.scalar import f32
 from ropeway.operators import geo, joins as J, peers as P
 from ropeway.plans.skew import with_group_stats

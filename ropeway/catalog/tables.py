@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ropeway.catalog.aggregates import PROFILE
 from ropeway.catalog.base import KE, kpi_events, query, r6, sql_f32, sql_r6, table
 from ropeway.catalog.joins import FLAGS, confirmed_flags
 from ropeway.functions.scalar import f32

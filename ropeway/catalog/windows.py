@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ropeway.catalog.base import KE, KG, SC, gappy_events, kpi_events, query, r6, scored_events, sql_f32, sql_r6, table
+from ropeway.catalog.base import KE, KG, gappy_events, kpi_events, query, r6, sql_f32, sql_r6, table
 from ropeway.functions.scalar import f32
 from ropeway.operators import windows as W
 from ropeway.spec import COUNTER_WINDOWS, INVENTORY_MIN_PERIODS, INVENTORY_WINDOWS, KpiSpec

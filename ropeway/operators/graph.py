@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ropeway.operators.sets import symmetrise
 from ropeway.plans.prefix import running_sums
-from ropeway.plans.skew import attach, lookup_join, with_group_stats
+from ropeway.plans.skew import lookup_join, with_group_stats
 from ropeway.session import durable
 
 # What-if sensitivities (tilt on CQI and handover points, power on throughput).

@@ -89,7 +89,7 @@ def next_within(
 def with_labels(df: DataFrame, labels: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Left join one label row per key; an unlabelled row counts as 0."""
     unique = labels.groupBy(*keys).agg(F.max(label).alias(label))
-    return df.join(unique, list(keys), "left").withColumn(label, F.coalesce(label, F.lit(0)))
+    return lookup_join(df, unique, keys).withColumn(label, F.coalesce(label, F.lit(0)))
 
 
 def with_truth(predictions: DataFrame, truth: DataFrame, key: str = "prediction_id") -> DataFrame:
@@ -98,7 +98,7 @@ def with_truth(predictions: DataFrame, truth: DataFrame, key: str = "prediction_
 
 
 def orphans(df: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    return df.join(reference.select(key).distinct(), key, "left_anti")
+    return lookup_join(df, reference.select(key).distinct(), [key], "left_anti")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,7 +106,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def members(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
+    return lookup_join(df, wanted.select(*keys).distinct(), keys, "left_semi")
 
 
 def label_rows(df: DataFrame, flagged: Column, source: str, confidence: float) -> DataFrame:
@@ -126,7 +126,7 @@ def resolve_endpoints(calls: DataFrame, nodes: DataFrame, key: str, ends: Sequen
     """Keep the calls whose ends are all known nodes."""
     out = calls
     for end in ends:
-        out = out.join(nodes.select(F.col(key).alias(end)).distinct(), end, "left_semi")
+        out = lookup_join(out, nodes.select(F.col(key).alias(end)).distinct(), [end], "left_semi")
     return out
 
 

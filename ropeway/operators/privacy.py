@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ropeway.plans.prefix import running_sums
+from ropeway.plans.skew import lookup_join
 
 BLOCK = 64
 
@@ -53,7 +54,7 @@ def query_rate(df: DataFrame, entity: Sequence[str], time: str, tie: str, second
 
 
 def erase(df: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
-    return df.join(tokens.select(key).distinct(), key, "left_anti")
+    return lookup_join(df, tokens.select(key).distinct(), [key], "left_anti")
 
 
 def erasure_audit(stores: dict[str, DataFrame], tokens: DataFrame, key: str) -> DataFrame:
@@ -61,6 +62,6 @@ def erasure_audit(stores: dict[str, DataFrame], tokens: DataFrame, key: str) ->
     out = None
     gone = tokens.select(key).distinct()
     for name, df in stores.items():
-        part = df.join(gone, key, "left_semi").agg(F.count(F.lit(1)).alias("removed")).withColumn("store", F.lit(name))
+        part = lookup_join(df, gone, [key], "left_semi").agg(F.count(F.lit(1)).alias("removed")).withColumn("store", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

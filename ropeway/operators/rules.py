@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ropeway.plans.segments import SEGMENT, last_known, split
-from ropeway.plans.skew import attach
+from ropeway.plans.skew import attach, lookup_join
 from ropeway.session import durable
 
 # Action kinds, levels, limits and latency budgets.
@@ -227,7 +227,7 @@ def valid_namespace(name: Column) -> Column:
 
 
 def denied_reads(reads: DataFrame, grants: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return reads.join(grants.select(*keys).distinct(), list(keys), "left_anti")
+    return lookup_join(reads, grants.select(*keys).distinct(), keys, "left_anti")
 
 
 # Lowest autonomy level per tool type.

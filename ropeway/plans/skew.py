@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ropeway.session import rows_per_task
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS_KEY, BROADCAST_ROWS = "ropeway.broadcastRows", 200_000
+
+
+def broadcast_rows(spark: SparkSession) -> int:
+    """Largest counted side that may be broadcast."""
+    return int(spark.conf.get(BROADCAST_ROWS_KEY, str(BROADCAST_ROWS)))
 
 
 def group_join(
@@ -50,7 +55,7 @@ def attach(
         return group_join(df, stats, keys, how)
     payload = [c for c in df.columns if c not in keys]
     spread = F.xxhash64(*payload) if payload else F.monotonically_increasing_id()
-    salted = group_join(df, hot, keys, "left", small=n_hot <= BROADCAST_ROWS).withColumn(
+    salted = group_join(df, hot, keys, "left", small=n_hot <= broadcast_rows(df.sparkSession)).withColumn(
         "_salt", F.coalesce(F.pmod(spread, F.col("_salts")), F.lit(0)).cast("int")
     )
     copies = stats.withColumn(
@@ -72,7 +77,8 @@ def lookup_join(
     df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
     """Join a dimension: broadcast below a counted size, salted on hot keys beyond it."""
-    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    most = broadcast_rows(df.sparkSession)
+    if dim.limit(most + 1).count() <= most:
         return df.join(F.broadcast(dim), list(keys), how)
     sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_key_rows")).join(dim, list(keys))
     return attach(df, sized, keys, rows="_key_rows", how=how).drop("_key_rows")

@@ -144,3 +144,19 @@ def test_null_keys_stay_a_group(spark):
     from ropeway.plans.skew import with_group_stats
     out = both_paths(spark, lambda: with_group_stats(df, ["cell_id"], {"s": F.sum("kpi")}).select("i", "s"))
     assert len(out) == 40
+
+
+@pytest.mark.parametrize("rows", ["200000", "2"])
+def test_lookups_broadcast_or_salted_agree(tiny_tasks, rows):
+    """Semi, anti, inner and left lookups on a key that holds most rows."""
+    from ropeway.plans.skew import BROADCAST_ROWS_KEY, lookup_join
+
+    df = tiny_tasks.createDataFrame([(0 if i % 3 else (None if i % 6 else i), i) for i in range(120)], "k long, i long")
+    dim = tiny_tasks.createDataFrame([(k, k * 10) for k in (0, 6, 12, 18)], "k long, v long")
+    tiny_tasks.conf.set(BROADCAST_ROWS_KEY, rows)
+    try:
+        n = {how: lookup_join(df, dim, ["k"], how).count() for how in ("left_semi", "left_anti", "inner", "left")}
+    finally:
+        tiny_tasks.conf.unset(BROADCAST_ROWS_KEY)
+    hit = df.where("k IN (0, 6, 12, 18)").count()
+    assert n == {"left_semi": hit, "left_anti": 120 - hit, "inner": hit, "left": 120}
