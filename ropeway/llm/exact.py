@@ -77,7 +77,9 @@ def decide(index: DigestIndex, rows: DataFrame) -> DataFrame:
     group, one of these equal rows stays.
     """
     groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size")).join(index.rows(), "digest")
-    named = rows.join(groups, "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # read from a table both sides of the join are bare exchanges, whose hot partitions can be split
+    groups = stored(groups, "digest-groups")
+    named = rows.join(groups.hint("merge"), "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if not repeats(rows):
         return named
     order = Window.partitionBy("digest").orderBy("doc_id")
