@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 from functools import lru_cache
@@ -177,15 +178,21 @@ def lattice(path: str = VOCABULARY) -> Lattice:
 def fit(labelled: DataFrame, path: str = VOCABULARY, docs: int = FIT_DOCS, rounds: int = ROUNDS) -> dict:
     """Piece probabilities of every language in ``labelled`` (doc_id, text, lang).
 
-    A language is fitted on its ``docs`` documents with the smallest id hashes.  Their
+    A language is fitted on its ``docs`` documents with the smallest id hashes (at
+    times a few less, where hashes lie unevenly).  Their
     distinct words and counts stay distributed; each round computes expected piece
     counts by forward and backward sums in tasks and adds them up.  What reaches the
     driver is one number per piece and language.  Words over SHORT characters take no
     part in fitting.  Returns {"langs": [...], "table": pieces + 1 rows by language}.
     """
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs)
+    # of each language only hashes that can be among the smallest reach its window, however many tasks read it
+    enough = docs + 10 * math.sqrt(docs) + 20
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    near = usable.select("doc_id", "lang", place.alias("_place")).join(counts, "lang").where(F.col("_place") * F.col("_rows") < enough)
+    first = Window.partitionBy("lang").orderBy("_place", "doc_id")
+    chosen = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs)
     chosen = chosen.select("doc_id", F.col("lang").alias("_lang")).distinct()
     few = chosen.count() <= FEW  # the bound on what is broadcast: some numbers and names a row
     own = usable.join(F.broadcast(chosen) if few else chosen, (usable["doc_id"] == chosen["doc_id"]) & (usable["lang"] == chosen["_lang"]), "left_semi")

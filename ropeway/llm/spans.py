@@ -184,7 +184,7 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_cuts"))
     joined = pack(docs, _key=F.col("doc_id").cast("bigint")).join(cuts, F.col("_key") == F.col("_id"), "left")
     cut = F.pandas_udf(_cut, "string")(F.col("_row.text"), F.col("_cuts"))
-    return joined.select(*[cut.alias(c) if c == "text" else F.col("_row")[c] for c in docs.columns])
+    return joined.select(*[(cut if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 @query(

@@ -24,8 +24,9 @@ STEP = 1 << 16
 #: Rows that the reader hands on at once.
 ROWS_OUT = 256
 
-# The version line, a record's end and the profile of identical payloads.
+# The version line, a record's end, mandatory fields and the profile of identical payloads.
 VERSION, END = b"WARC/1.0\r\n", b"\r\n\r\n"
+NEEDED = {"warc-record-id", "warc-type", "warc-date", "content-length"}
 IDENTICAL = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 #: An empty gzip member; its last byte is zero and stands for the text writer's separator.
@@ -125,6 +126,8 @@ def parse_record(data, at: int) -> tuple[dict, int]:
         if not colon:
             raise Damaged("header line without colon")
         fields[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if not NEEDED <= fields.keys():
+        raise Damaged("header lacks a mandatory field")
     if head[0] not in (b"WARC/1.0", b"WARC/1.1") or not fields.get("content-length", "").isdecimal():
         raise Damaged("version or length unreadable")
     start = stop + len(END)
