@@ -6,6 +6,7 @@ from ropeway.catalog.base import KE, NRT, SC, kpi_events, query, r6, relations,
 from ropeway.catalog.evaluation import CASCADE, RATES, _cascade
 from ropeway.catalog.joins import CDR, call_records
 from ropeway.functions.scalar import f32
+from ropeway.session import scratch_path
 from ropeway.operators import aggregates as A, scaling as M, sets as U, splits as T
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -158,12 +159,19 @@ def k_anonymity(spark, sf):
     return out.withColumn("mean_price", f32(F.col("mean_price")))
 
 
+def _secret(spark):
+    """The noise secret as a protected one-row table holds it."""
+    path = scratch_path(spark, "secret")
+    spark.createDataFrame([("s3cret",)], "secret string").write.parquet(path)
+    return spark.read.schema("secret string").parquet(path)
+
+
 @query("a16_laplace_noise", f"""WITH g AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1),
 u AS (SELECT nation, n, (CAST('0x' || substr(sha256('s3cret|' || nation), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE - 0.5::DOUBLE AS u FROM g)
 SELECT nation, n, {sql_r6('n - sign(u) * (1.0 / 0.5) * ln(1 - 2 * abs(u))')} AS noisy, 0.5::DOUBLE AS epsilon FROM u""")
 def laplace_noise(spark, sf):
     g = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
-    return A.laplace_noise(g, "nation", "n", 0.5, 1.0, "s3cret").withColumn("noisy", r6(F.col("noisy")))
+    return A.laplace_noise(g, "nation", "n", 0.5, 1.0, _secret(spark)).withColumn("noisy", r6(F.col("noisy")))
 
 
 @query("a16_budget_ledger", f"""SELECT o_orderpriority AS view, CAST(year(o_orderdate) AS VARCHAR) || 'Q' || quarter(o_orderdate) AS quarter, {sql_f32('count(*) * 0.01')} AS spent,
@@ -192,7 +200,8 @@ def node_features(spark, sf):
     return A.node_features(df, "nation", {"balance": 0.0, "s_name": "unknown"})
 
 
-@query("a19_fingerprint", """SELECT bit_xor(CAST('0x' || substr(sha256(l_orderkey || '|' || l_partkey || '|' || l_linenumber || '|' || l_returnflag), 1, 15) AS BIGINT)) AS hash, count(*) AS rows FROM lineitem""")
+@query("a19_fingerprint", """SELECT bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS hash, CAST(sum(CAST('0x' || substr(h, 16, 8) AS BIGINT)) % 4294967296 AS BIGINT) AS total, count(*) AS rows
+ FROM (SELECT sha256(l_orderkey || '|' || l_partkey || '|' || l_linenumber || '|' || l_returnflag) AS h FROM lineitem)""")
 def fingerprint(spark, sf):
     return A.fingerprint(table(spark, sf, "lineitem"), [F.col(c) for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")])
 
@@ -327,11 +336,11 @@ def id_difference(spark, sf):
     return U.difference(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), o)
 
 
-@query("u3_shared_sets", """WITH s AS (SELECT l_suppkey, list(DISTINCT p_type ORDER BY p_type) AS w FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 48 GROUP BY 1)
+@query("u3_shared_sets", """WITH s AS (SELECT l_suppkey, list(DISTINCT p_type ORDER BY p_type) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT l_suppkey, array_to_string(list_filter(w, lambda x: x IN ('ECONOMY', 'LARGE', 'PROMO')), ',') AS shared, CAST(len(list_filter(w, lambda x: x IN ('ECONOMY', 'LARGE', 'PROMO'))) > 0 AS INTEGER) AS overlaps FROM s""")
 def shared_sets(spark, sf):
     # a supplier's set of part types is bounded by the catalogue of types
-    s = table(spark, sf, "lineitem").where("l_quantity >= 48").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("p_type").alias("w"))
+    s = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("p_type").alias("w"))
     return U.shared(s, "w", F.array(*[F.lit(x) for x in ("ECONOMY", "LARGE", "PROMO")])).select("l_suppkey", F.concat_ws(",", "shared").alias("shared"), "overlaps")
 
 

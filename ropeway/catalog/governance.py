@@ -27,15 +27,15 @@ def promotion_issues(spark, sf):
     return cards(spark, sf).select("model", F.concat_ws(";", R.promotion_issues()).alias("issues"))
 
 
-_WR = """wr AS (SELECT DISTINCT l_suppkey AS model, l_partkey AS parameter, CASE WHEN l_linestatus = 'O' THEN 'up' ELSE 'down' END AS direction FROM lineitem WHERE l_quantity > 49),
-kp AS (SELECT DISTINCT l_suppkey AS model, p_brand || p_type || p_size AS kpi FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
+_WR = """wr AS (SELECT DISTINCT l_suppkey AS model, l_partkey AS parameter, CASE WHEN l_linestatus = 'O' THEN 'up' ELSE 'down' END AS direction FROM lineitem),
+kp AS (SELECT DISTINCT l_suppkey AS model, p_brand || p_type || p_size AS kpi FROM lineitem JOIN part ON l_partkey = p_partkey),
 bl AS (SELECT a.model, count(DISTINCT a.parameter) AS conflicts FROM wr a JOIN wr b ON a.parameter = b.parameter AND a.model <> b.model AND a.direction <> b.direction GROUP BY 1),
 sh AS (SELECT a.model, count(DISTINCT a.kpi) AS shared_kpis FROM kp a JOIN kp b ON a.kpi = b.kpi AND a.model <> b.model GROUP BY 1),
 wc AS (SELECT model, coalesce(conflicts, 0) AS conflicts, coalesce(shared_kpis, 0) AS shared_kpis FROM (SELECT DISTINCT model FROM kp) LEFT JOIN bl USING (model) LEFT JOIN sh USING (model))"""
 
 
 def _conflicts(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity > 49")
+    li = table(spark, sf, "lineitem")
     writes = li.select(F.col("l_suppkey").alias("model"), F.col("l_partkey").alias("parameter"),
                        F.when(F.col("l_linestatus") == "O", "up").otherwise("down").alias("direction"))
     kpis = li.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
@@ -48,12 +48,11 @@ def write_conflicts(spark, sf):
     return _conflicts(spark, sf)
 
 
-@query("r2_promotion_policy", f"""WITH {_CARD}, {_WR}, x AS (SELECT cd.*, coalesce(conflicts, 0) > 8 AS bad, n_sources > 0 AS complete, coalesce(achieved_auc >= target_auc AND achieved_f1 >= target_f1, FALSE) AS good FROM cd LEFT JOIN wc USING (model))
+@query("r2_promotion_policy", f"""WITH {_CARD}, {_WR}, x AS (SELECT cd.*, coalesce(conflicts, 0) > 0 AS bad, n_sources > 0 AS complete, coalesce(achieved_auc >= target_auc AND achieved_f1 >= target_f1, FALSE) AS good FROM cd LEFT JOIN wc USING (model))
 SELECT model, CAST(complete AND good AND NOT bad AND (risk = 'limited_risk' OR (approved_by IS NOT NULL AND oversight)) AND approved_by IS NOT NULL AND NOT starts_with(approved_by, 'svc-') AS INTEGER) AS allow,
  concat_ws(';', CASE WHEN NOT complete THEN 'card incomplete' END, CASE WHEN NOT good THEN 'below target' END, CASE WHEN bad THEN 'write-set conflict' END, CASE WHEN risk = 'high_risk' AND approved_by IS NULL THEN 'high risk needs approval' END) AS violations FROM x""")
 def promotion_policy(spark, sf):
-    n = F.when(F.coalesce("conflicts", F.lit(0)) > 8, F.col("conflicts")).otherwise(0)
-    df = cards(spark, sf).join(_conflicts(spark, sf).select("model", "conflicts"), "model", "left").withColumn("conflicts", n)
+    df = cards(spark, sf).join(_conflicts(spark, sf).select("model", "conflicts"), "model", "left").na.fill(0, ["conflicts"])
     p = R.promotion_policy()
     return df.select("model", F.coalesce(p["allow"], F.lit(0)).alias("allow"), F.concat_ws(";", p["violations"]).alias("violations"))
 
@@ -100,21 +99,19 @@ def lock_decisions(spark, sf):
     return R.lock_decisions(p, "id", "cell", "ts", seconds=300)
 
 
-_ARB = KE + f", {NRT}, rc AS (SELECT source AS cell_id, source AS near FROM cells UNION SELECT source, target FROM nrt UNION SELECT target, source FROM nrt)" + """,
-ap AS (SELECT event_id AS id, cell_id, ts, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS w, CAST(event_type = 'error' AS INTEGER) AS safety, CAST(round(least(kpi / 100, 1.0) * 100) AS INTEGER) AS c FROM ke)"""
+_ARB = KE + f", {NRT}, hop AS (SELECT source, target FROM nrt UNION SELECT target, source FROM nrt), rc AS (SELECT source AS cell_id, source AS near FROM cells UNION SELECT source, target FROM hop UNION SELECT a.source, b.target FROM hop a JOIN hop b ON a.target = b.source)" + """,
+ap AS (SELECT event_id AS id, cell_id, ts, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS w, CAST(event_type = 'error' AS INTEGER) AS safety, CAST(round(least(kpi / 400, 1.0) * 1e9) AS BIGINT) AS c FROM ke)"""
 
 
-@query("r7_arbitration", f"""WITH {_ARB}, x AS (SELECT p.id, count(q.id) AS n, max(CAST(q.safety > p.safety OR (q.safety = p.safety AND (q.c > p.c + 5 OR (abs(q.c - p.c) <= 5 AND q.ts > p.ts))) AS INTEGER)) AS beaten,
- max(CAST(q.id <> p.id AND q.safety = p.safety AND abs(q.c - p.c) BETWEEN 1 AND 5 AND q.ts = p.ts AS INTEGER)) AS tied FROM ap p JOIN rc USING (cell_id) JOIN ap q ON q.cell_id = rc.near AND q.w = p.w GROUP BY 1)
+@query("r7_arbitration", f"""WITH {_ARB}, x AS (SELECT p.id, count(q.id) AS n, max(CAST(q.safety > p.safety OR (q.safety = p.safety AND (q.c > p.c + 50000000 OR (abs(q.c - p.c) <= 50000000 AND q.ts > p.ts))) AS INTEGER)) AS beaten,
+ max(CAST(q.id <> p.id AND q.safety = p.safety AND abs(q.c - p.c) <= 50000000 AND q.ts = p.ts AS INTEGER)) AS tied FROM ap p JOIN rc USING (cell_id) JOIN ap q ON q.cell_id = rc.near AND q.w = p.w GROUP BY 1)
 SELECT id, CASE WHEN n <= 1 THEN 'unopposed' WHEN beaten = 1 THEN 'suspended' WHEN tied = 1 THEN 'escalate' ELSE 'proceed' END AS verdict FROM x""")
 def arbitration(spark, sf):
     p = kpi_events(spark, sf).select(
         F.col("event_id").alias("id"), "cell_id", "ts", F.floor(F.unix_timestamp("ts") / 21600).alias("w"),
-        F.col("is_anomaly").alias("safety"), F.round(F.least(F.col("kpi") / 100, F.lit(1.0)), 2).alias("confidence"))
-    near = relations(spark, sf).select(F.col("source").alias("cell_id"), F.col("target").alias("near"))
-    own = p.select("cell_id", F.col("cell_id").alias("near"))
-    reach = near.union(near.select("near", "cell_id")).union(own).distinct()
-    return R.arbitration(p, reach, "w", "cell_id").select("id", "verdict")
+        F.col("is_anomaly").alias("safety"), F.least(F.col("kpi") / 400, F.lit(1.0)).alias("confidence"))
+    reach = R.two_hop_reach(relations(spark, sf), "source", "target", p.select("cell_id").distinct())
+    return R.arbitration(p, reach.toDF("cell_id", "near"), "w", "cell_id").select("id", "verdict")
 
 
 @query("r8_compatible_releases", """WITH c AS (SELECT p_partkey, (1 + p_size % 3) || '.' || p_partkey % 8 || '.' || p_size || CASE WHEN p_partkey % 11 = 0 THEN '-rc.1' WHEN p_partkey % 13 = 0 THEN '.bad' ELSE '' END AS version, 1 + p_size % 3 AS ma, p_partkey % 8 AS mi, p_size AS pa,

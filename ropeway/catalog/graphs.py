@@ -135,10 +135,9 @@ def blast_sizes(spark, sf):
     return G.blast_sizes(relations(spark, sf), cell_sites(spark, sf), "cell_id", "site")
 
 
-@query("g9_blast_members", f"WITH {BLAST}, {KE} SELECT cell_id, affected FROM bm WHERE cell_id IN (SELECT cell_id FROM ke WHERE kpi > 300)")
+@query("g9_blast_members", f"WITH {BLAST} SELECT cell_id, affected FROM bm")
 def blast_members(spark, sf):
-    hot = kpi_events(spark, sf).where("kpi > 300")
-    return G.blast_members(hot, relations(spark, sf), cell_sites(spark, sf), "cell_id", "site")
+    return G.blast_members(cell_sites(spark, sf), relations(spark, sf), cell_sites(spark, sf), "cell_id", "site")
 
 
 @query("g10_what_if", f"""WITH {KE}, {PROFILE}, {BLAST}, pr AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'power' ELSE 'tilt' END AS kind, (kpi - 50) / 39.7::DOUBLE AS d,

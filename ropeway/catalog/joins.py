@@ -198,21 +198,21 @@ def resolve_endpoints(spark, sf):
     return out.groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j13_valid_topology", f"""WITH {KE}, sn AS (SELECT cluster_id, min(ts) AS ts, count(DISTINCT cell_id) AS cells FROM ke WHERE event_id % 2 = 0 GROUP BY cluster_id, dayofyear(ts) // 5)
+@query("j13_valid_topology", f"""WITH {KE}, sn AS (SELECT cluster_id, min(ts) AS ts, count(DISTINCT cell_id) AS cells FROM ke GROUP BY cluster_id, dayofyear(ts) // 5)
 SELECT event_id, sn.cells AS cells FROM ke ASOF LEFT JOIN sn ON ke.cluster_id = sn.cluster_id AND ke.ts >= sn.ts""")
 def valid_topology(spark, sf):
     ke = kpi_events(spark, sf)
-    snaps = ke.where("event_id % 2 = 0").groupBy("cluster_id", F.floor(F.dayofyear("ts") / 5).alias("p")).agg(
+    snaps = ke.groupBy("cluster_id", F.floor(F.dayofyear("ts") / 5).alias("p")).agg(
         F.min("ts").alias("ts"), F.countDistinct("cell_id").alias("cells"))
     return J.as_of(ke.select("event_id", "cluster_id", "ts"), snaps, ["cluster_id"], "ts", ["cells"]).select("event_id", "cells")
 
 
-@query("j14_skew_check", f"""WITH {KE}, a AS (SELECT cell_id, day, avg(kpi) AS offline FROM ke WHERE event_id % 50 <> 0 GROUP BY 1, 2),
-b AS (SELECT cell_id, day, avg(kpi + CASE WHEN event_id % 90 = 0 THEN 0.5 ELSE 0 END) AS online FROM ke WHERE event_id % 50 <> 0 AND cell_id % 40 <> 7 GROUP BY 1, 2)
+@query("j14_skew_check", f"""WITH {KE}, a AS (SELECT cell_id, day, avg(kpi) AS offline FROM ke GROUP BY 1, 2),
+b AS (SELECT cell_id, day, avg(kpi + CASE WHEN event_id % 90 = 0 THEN 0.5 ELSE 0 END) AS online FROM ke WHERE cell_id % 40 <> 7 GROUP BY 1, 2)
 SELECT cell_id, CAST(day AS VARCHAR) AS day, {sql_f32('offline')} AS offline, {sql_f32('online')} AS online, {sql_r6('abs(offline - online)')} AS delta
 FROM a FULL JOIN b USING (cell_id, day) WHERE offline IS NULL OR online IS NULL OR abs(offline - online) > 0.001""")
 def skew_check(spark, sf):
-    ke = kpi_events(spark, sf).where("event_id % 50 <> 0")
+    ke = kpi_events(spark, sf)
     late = F.when(F.col("event_id") % 90 == 0, 0.5).otherwise(0.0)
     a = ke.groupBy("cell_id", "day").agg(F.avg("kpi").alias("kpi"))
     b = ke.where("cell_id % 40 <> 7").groupBy("cell_id", "day").agg(F.avg(F.col("kpi") + late).alias("kpi"))

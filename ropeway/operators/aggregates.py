@@ -161,9 +161,12 @@ def k_anonymous(df: DataFrame, keys: Sequence[str], subject: str, aggs: dict[str
                       *[F.when(shown, F.col(n)).alias(n) for n in aggs], F.lit(k).alias("k"))
 
 
-def laplace_noise(df: DataFrame, key: str, value: str, epsilon: float, sensitivity: float, secret: str) -> DataFrame:
-    """Noise from a keyed hash, so a retried task publishes the same number."""
-    digest = F.sha2(F.concat_ws("|", F.lit(secret), F.col(key).cast("string")), 256)
+def laplace_noise(df: DataFrame, key: str, value: str, epsilon: float, sensitivity: float, secrets: DataFrame) -> DataFrame:
+    """Noise from a keyed hash, so a retried task publishes the same number.
+
+    ``secrets`` is a protected one-row table (secret); read as a scalar, never a plan literal.
+    """
+    digest = F.sha2(F.concat_ws("|", secrets.select("secret").scalar(), F.col(key).cast("string")), 256)
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(16**13) - 0.5
     noise = -F.signum(u) * (sensitivity / epsilon) * F.log(1 - 2 * F.abs(u))
     return df.withColumn("noisy", F.col(value) + noise).withColumn("epsilon", F.lit(float(epsilon)))
@@ -192,10 +195,12 @@ def node_features(cells: DataFrame, parent: str, attributes: dict[str, object])
 
 
 def fingerprint(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    """Order-independent lineage hash of the whole table."""
+    """Order-independent lineage hash: an XOR, which pairs of equal rows cancel, and a sum modulo 2^32, which they do not."""
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns])
-    prefix = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
-    return df.agg(F.bit_xor(prefix).alias("hash"), F.count(F.lit(1)).alias("rows"))
+    digest = F.sha2(text, 256)
+    part = lambda start, n: F.conv(F.substring(digest, start, n), 16, 10).cast("long")
+    total = F.sum(part(16, 8).cast("decimal(38,0)")) % F.lit(2**32)
+    return df.agg(F.bit_xor(part(1, 15)).alias("hash"), total.cast("long").alias("total"), F.count(F.lit(1)).alias("rows"))
 
 
 def metric_summary(metrics: DataFrame, gates: Sequence[tuple[str, float]]) -> DataFrame:

@@ -189,12 +189,26 @@ def _poisson_tables(limit: int) -> Column:
     return F.array(*rows)
 
 
+def _poisson(n: Column, u: Column) -> Column:
+    """Poisson(n) at the uniform ``u`` for n above 30: the distribution summed from ten deviations below the mean."""
+    low = F.greatest(F.floor(n - 10 * F.sqrt(n)), F.lit(0).cast("bigint"))
+    high = F.ceil(n + 10 * F.sqrt(n))
+    at = F.greatest(low.cast("double"), F.lit(1.0))
+    log_factorial = at * F.log(at) - at + 0.5 * F.log(2 * math.pi * at) + 1 / (12 * at) - 1 / (360 * at * at * at)
+    exact = F.log(F.factorial(F.least(low, F.lit(20).cast("bigint")).cast("int")))
+    first = F.exp(low * F.log(n) - n - F.when(low <= 20, exact).otherwise(log_factorial))
+    start = F.struct(first.alias("p"), F.lit(0.0).alias("below"), low.alias("k"))
+    return F.aggregate(F.sequence(low, high), start, lambda s, k: F.struct(
+        (s["p"] * n / (k + 1)).alias("p"), (s["below"] + s["p"]).alias("below"),
+        F.when(s["below"] + s["p"] < u, k + 1).otherwise(s["k"]).alias("k")), lambda s: s["k"])
+
+
 def bootstrap_areas(counts: DataFrame, score: str, replicates: int = 1000, level: float = 0.95,
                     seed: int = 42, stratified: bool = True) -> DataFrame:
     """Percentile interval of both areas from Poisson-weighted score counts.
 
     A score held by n rows weighs Poisson(n) in a replicate, which is the sum of n
-    Poisson(1) row weights; beyond 30 rows the normal limit is used.  Seeds are
+    Poisson(1) row weights, drawn by inverting its distribution at any n.  Seeds are
     hashes of (score, class, replicate), so a recomputed task draws the same weights.
     ``counts`` is one row per distinct (rounded) score.
     """
@@ -208,10 +222,8 @@ def bootstrap_areas(counts: DataFrame, score: str, replicates: int = 1000, level
 
     def weight(n: str) -> Column:
         u = F.least(F.greatest(uniform(n), F.lit(1e-12)), F.lit(1 - 1e-12))
-        small = F.size(F.filter(F.element_at(tables, F.col(n).cast("int") + 1), lambda c: c < u))
-        normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(n + "b"))
-        large = F.greatest(F.round(F.col(n) + F.sqrt(F.col(n)) * normal), F.lit(0.0))
-        return F.when(F.col(n) <= 30, small).otherwise(large).cast("long")
+        small = F.size(F.filter(F.element_at(tables, F.least(F.col(n), F.lit(30)).cast("int") + 1), lambda c: c < u))
+        return F.when(F.col(n) <= 30, small).otherwise(_poisson(F.col(n).cast("double"), u)).cast("long")
 
     draws = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     draws = draws.select("replicate", score, weight("n_pos").alias("n_pos"), weight("n_neg").alias("n_neg"))

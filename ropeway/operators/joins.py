@@ -11,9 +11,25 @@ from ropeway.plans.segments import last_known
 from ropeway.plans.skew import lookup_join
 
 
+def first_of_key(dim: DataFrame, key: str) -> DataFrame:
+    """One row per key, the smallest column by column; map-typed columns do not take part in the order."""
+    rest = [c for c, t in dim.dtypes if c != key and not t.startswith("map")]
+    maps = [c for c, t in dim.dtypes if t.startswith("map")]
+    if not rest:
+        return dim.dropDuplicates([key])
+    if maps:
+        row = F.min_by(F.struct(*rest, *maps), F.struct(*rest))
+    else:
+        row = F.min(F.struct(*rest))
+    return dim.groupBy(key).agg(row.alias("_first")).select(*[c if c == key else F.col("_first")[c].alias(c) for c in dim.columns])
+
+
 def enrich(df: DataFrame, dim: DataFrame, key: str, cluster: Column | None = None) -> DataFrame:
-    """Left join a de-duplicated dimension; unmatched rows stay and are marked."""
-    unique = dim.dropDuplicates([key]).withColumn("_hit", F.lit(1))
+    """Left join a de-duplicated dimension; unmatched rows stay and are marked.
+
+    Of rows that repeat the key the one that is smallest column by column counts.
+    """
+    unique = first_of_key(dim, key).withColumn("_hit", F.lit(1))
     out = lookup_join(df, unique, [key]).withColumn("matched", F.coalesce("_hit", F.lit(0))).drop("_hit")
     return out if cluster is None else out.withColumn("cluster_id", cluster)
 

@@ -161,31 +161,51 @@ def lock_decisions(proposals: DataFrame, action: str, cell: str, time: str, seco
     return out.distinct()
 
 
+def two_hop_reach(edges: DataFrame, source: str, target: str, cells: DataFrame) -> DataFrame:
+    """(cell, near) within two undirected hops, every cell near itself."""
+    there = edges.select(F.col(source).alias("cell"), F.col(target).alias("near"))
+    near = there.union(there.select("near", "cell").toDF("cell", "near")).distinct()
+    onward = near.join(near.toDF("near", "_far"), "near").select("cell", F.col("_far").alias("near"))
+    own = cells.select(F.col(cells.columns[0]).alias("cell"), F.col(cells.columns[0]).alias("near"))
+    return near.union(onward).union(own).distinct()
+
+
 def arbitration(proposals: DataFrame, reach: DataFrame, window: str, cell: str, tolerance: float = 0.05) -> DataFrame:
     """Outcome of competing proposals on cells in each other's reach within one window.
 
     ``proposals`` has id, safety (0/1), confidence and ts; ``reach`` lists (cell, near)
-    up to two hops, the cell itself included.  Confidence counts in hundredths, so
-    a cell's rivals compress to at most 202 (safety, confidence) entries and no pair
-    of proposals is formed.
+    up to two hops, the cell itself included.  A proposal is suspended by a rival of
+    higher safety; else by one whose confidence is higher by more than ``tolerance``;
+    else by a later one within the tolerance; one of the same instant within it asks
+    for a human.  Differences are compared to nine decimals.
+
+    Every proposal is shown once to each cell it reaches.  Rivals within the tolerance
+    come from a frame over confidence inside bands of that width, each row also shown
+    to the bands beside its own, so that a busy cell is sorted by many tasks.
     """
-    hundredth = F.round(F.col("confidence") * 100).cast("int")
-    step = int(round(tolerance * 100))
-    own = proposals.withColumn("_c", hundredth)
-    summary = own.groupBy(window, cell, "safety", "_c").agg(F.max("ts").alias("_ts"), F.count(F.lit(1)).alias("_n"))
-    near = summary.join(reach.select(F.col("near").alias(cell), F.col(cell).alias("_at")), cell)
-    rivals = near.groupBy(window, F.col("_at").alias(cell), "safety", "_c").agg(
-        F.max("_ts").alias("_ts"), F.sum("_n").alias("_n"))
-    packed = rivals.groupBy(window, cell).agg(
-        F.collect_list(F.struct("safety", "_c", "_ts", "_n")).alias("_rivals"), F.sum("_n").alias("_size"))
-    own_rows = own.groupBy(window, cell).agg(F.count(F.lit(1)).alias("_rows"))
-    out = attach(own, packed.join(own_rows, [window, cell]), [window, cell], rows="_rows")
-    s, c, t = F.col("safety"), F.col("_c"), F.col("ts")
-    beaten = F.exists("_rivals", lambda r: (r["safety"] > s) | (
-        (r["safety"] == s) & ((r["_c"] > c + step) | ((F.abs(r["_c"] - c) <= step) & (r["_ts"] > t)))))
-    tied = F.exists("_rivals", lambda r: (r["safety"] == s) & (r["_c"] != c) & (F.abs(r["_c"] - c) <= step) & (r["_ts"] == t))
-    verdict = (F.when(F.col("_size") <= 1, "unopposed").when(beaten, "suspended").when(tied, "escalate").otherwise("proceed"))
-    return out.select(*proposals.columns, verdict.alias("verdict"))
+    band = round(tolerance * 1e9)
+    proposals = proposals.withColumn("_c", F.round(F.col("confidence") * 1e9).cast("bigint"))
+    shown = proposals.join(reach.select(F.col("near").alias(cell), F.col(cell).alias("_at")), cell).select(
+        "id", "safety", "_c", "ts", window, "_at", (F.col(cell) == F.col("_at")).alias("_own"))
+    tops = shown.groupBy(window, F.col("_at").alias(cell)).agg(
+        F.max("safety").alias("_top"), F.count(F.lit(1)).alias("_size"),
+        F.count_if("_own").alias("_rows"),
+        *[F.max(F.when(F.col("safety") == s, F.col("_c"))).alias(f"_best_{s}") for s in (0, 1)])
+    strip = F.floor(F.col("_c") / band)
+    spread = shown.withColumn("_band", F.explode(F.array(strip - 1, strip, strip + 1))).withColumn(
+        "_home", F.col("_own") & (F.col("_band") == strip))
+    near = Window.partitionBy(window, "_at", "safety", "_band").orderBy("_c").rangeBetween(-band, band)
+    latest = F.struct("ts", "id")
+    seen = spread.select(
+        "id", window, F.col("_at").alias(cell), "_home", F.max(latest).over(near).alias("_last"),
+        F.max(F.struct("ts", (-F.col("id")).alias("id"))).over(near).alias("_first")).where("_home").drop("_home")
+    around = proposals.join(seen.select("id", F.col(cell).alias("_cell"), "_last", "_first"), "id").drop("_cell")
+    out = attach(around, tops, [window, cell], rows="_rows")
+    best = F.when(F.col("safety") == 1, F.col("_best_1")).otherwise(F.col("_best_0"))
+    beaten = (F.col("_top") > F.col("safety")) | (best > F.col("_c") + band) | (F.col("_last.ts") > F.col("ts"))
+    tied = F.col("_last.id") != -F.col("_first.id")
+    verdict = F.when(F.col("_size") <= 1, "unopposed").when(beaten, "suspended").when(tied, "escalate").otherwise("proceed")
+    return out.select(*[c for c in proposals.columns if c != "_c"], verdict.alias("verdict"))
 
 
 SEMVER = r"^(\d+)\.(\d+)\.(\d+)(-[A-Za-z0-9.]+)?$"

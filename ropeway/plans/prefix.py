@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ropeway.plans.skew import attach, group_join
 from ropeway.session import rows_per_task
 
-MAX_CUTS = 4096
+#: Cuts that one reducer finds; more are found in parts.
+CUTS_AT_ONCE = 4096
 BUCKET = "_bucket"
 
 
@@ -45,10 +46,16 @@ def cut_points(df: DataFrame, order: str, source: DataFrame | None = None) -> li
     if n <= limit:
         return []
     key = as_number(F.col(order), dict(df.dtypes)[order])
-    parts = min(MAX_CUTS, math.ceil(n / limit))
-    grid = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(key, grid, 20 * MAX_CUTS).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    parts = math.ceil(n / limit)
+    coarse = min(parts, CUTS_AT_ONCE)
+    grid = lambda k: [i / k for i in range(1, k)]
+    cuts = sorted(set(df.agg(F.percentile_approx(key, grid(coarse), 20 * coarse).alias("q")).first()["q"] or []))
+    fine = math.ceil(parts / coarse)
+    if fine > 1:
+        # every coarse bucket finds its own cuts in a reducer of its own
+        inner = with_bucket(df, order, cuts).groupBy(BUCKET).agg(F.percentile_approx(key, grid(fine), 20 * fine).alias("q"))
+        cuts += [c for row in inner.collect() for c in row["q"] or []]
+    return sorted(set(cuts))
 
 
 def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], name: str = BUCKET) -> DataFrame:

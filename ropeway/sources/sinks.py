@@ -22,15 +22,18 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def push_features(df: DataFrame, expected: Sequence[str], path: str, entity: str = "cell_id",
                   time: str = "event_timestamp") -> None:
-    """Contract-checked append: missing features fail, extra ones are dropped, floats are single."""
+    """Contract-checked write of one batch's folder: missing features fail, extra ones are dropped, floats are single.
+
+    The folder is overwritten, so a batch that is written again does not double its rows.
+    """
     check_columns(df, [entity, time, *expected])
-    df.select(entity, time, *[F.col(c).cast("float").alias(c) for c in expected]).write.mode("append").parquet(path)
+    df.select(entity, time, *[F.col(c).cast("float").alias(c) for c in expected]).write.mode("overwrite").parquet(path)
 
 
 def latest_features(spark: SparkSession, path: str, entity: str = "cell_id", time: str = "event_timestamp") -> DataFrame:
-    """Newest pushed row per entity, with map-side combination."""
-    df = spark.read.parquet(path)
-    return df.groupBy(entity).agg(F.max_by(F.struct("*"), F.col(time)).alias("r")).select("r.*")
+    """Newest pushed row per entity over all batch folders, the largest of equally new ones, with map-side combination."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return df.groupBy(entity).agg(F.max_by(F.struct("*"), F.struct(F.col(time), *[c for c in df.columns if c != time])).alias("r")).select("r.*")
 
 
 def log_predictions(df: DataFrame, path: str, time: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ropeway.functions.scalar import finite
+from ropeway.operators.joins import first_of_key
 from ropeway.plans.skew import lookup_join
 
 
@@ -36,7 +37,7 @@ def load_inventory(spark: SparkSession, path: str | None, facts: DataFrame, key:
 
     if path is not None:
         try:
-            return spark.read.parquet(path).dropDuplicates([key])
+            return first_of_key(spark.read.parquet(path), key)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise

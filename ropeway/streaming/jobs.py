@@ -1,4 +1,9 @@
-"""Sources, sinks and stateless or built-in stateful stream jobs."""
+"""Sources, sinks and stateless or built-in stateful stream jobs.
+
+A stateful query keeps for life the number of state partitions that
+``spark.sql.shuffle.partitions`` has when it first starts.  The caller chooses it on
+the session the stream is read with (``spark.newSession()`` gives a stream its own).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ropeway.operators.aggregates import tumbling
 from ropeway.operators.drift import feature_report
@@ -26,33 +31,18 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, offsets_per_trig
     )
 
 
-def _start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
-    """Start with at most two state partitions per core.
-
-    A stateful query keeps the partition count of its first start and opens one
-    store per partition and batch, so the session's batch setting is only a ceiling.
-    """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(key, before)
-
-
 def append_table(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     writer = stream.writeStream.outputMode("append").format("parquet")
     writer = writer.option("path", path).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
-    return _start(writer, stream.sparkSession)
+    return writer.start()
 
 
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append",
                once: bool = True) -> StreamingQuery:
     writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")
-    return _start(writer, stream.sparkSession)
+    return writer.start()
 
 
 def window_features(stream: DataFrame, keys: Sequence[str], time: str, kpi: str, critical: Column, success: Column,
@@ -82,8 +72,10 @@ def route_late(main: str, late: str, high_water: str, time: str, delay_seconds:
         try:
             seen = spark.read.parquet(high_water).where(F.col("batch") < batch_id)
             mark = seen.agg(F.max("top")).first()[0]
-        except AnalysisException:
-            mark = None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            mark = None  # the first batch
         limit = F.lit(mark) - F.make_dt_interval(secs=F.lit(delay_seconds).cast("decimal(18,6)")) if mark else None
         behind = (F.col(time) < limit) if mark else F.lit(False)
         batch = batch.persist()
