@@ -140,6 +140,17 @@ def cost_attribution(spark, sf):
     return out.withColumns({c: f32(F.col(c)) for c in ("cost", "gpu_seconds", "cpu_seconds")})
 
 
+@query("a13_cumulative_cost", f"""WITH c AS (SELECT conv_id, turn, {_TIER} AS tier, length(text) // 4 AS tok FROM conversations),
+k AS (SELECT *, CASE tier WHEN 'llm_rag' THEN tok / 1000.0::DOUBLE * 0.0008::DOUBLE WHEN 'agent' THEN 0.02::DOUBLE ELSE 0.000001::DOUBLE END AS cost FROM c)
+SELECT conv_id, turn, tier, {sql_f32('sum(cost) OVER (PARTITION BY tier ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)')} AS cumulative_cost FROM k""")
+def cumulative_cost(spark, sf):
+    tier = F.when(F.col("role") == "user", "cpu_tabular").when(F.col("role") == "assistant", "llm_rag").otherwise("agent")
+    df = table(spark, sf, "conversations").select(
+        "conv_id", "turn", tier.alias("tier"), F.lit(1).alias("samples"), F.floor(F.length("text") / 4).alias("tokens"), F.length("text").alias("ms"))
+    out = A.cumulative_cost(A.inference_cost(df, "tier", "samples", "tokens", "ms"), ["tier"], "conv_id", ["turn"])
+    return out.select("conv_id", "turn", "tier", f32(F.col("cumulative_cost")).alias("cumulative_cost"))
+
+
 @query("a14_alert_rollup", """SELECT coalesce(r_name, 'all') AS cluster, coalesce(n_name, 'all') AS site, CAST(max(CASE WHEN c_acctbal < 0 THEN 3 WHEN c_acctbal < 1000 THEN 2 ELSE 1 END) AS INTEGER) AS worst,
  count(*) AS n, CAST(grouping(r_name) * 2 + grouping(n_name) AS INTEGER) AS level FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
 def alert_rollup(spark, sf):
@@ -258,6 +269,14 @@ def gapped_folds(spark, sf):
     return out.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.unix_date(F.min("day")).alias("first_day"), F.unix_date(F.max("day")).alias("last_day"))
 
 
+@query("t4_holdout", """WITH d AS (SELECT CAST(l_shipdate AS DATE) AS day, max(CAST(l_shipdate AS DATE)) OVER () AS last FROM lineitem)
+SELECT CASE WHEN day > last - 14 THEN 'holdout' ELSE 'develop' END AS role, count(*) AS n, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day FROM d GROUP BY 1""")
+def holdout(spark, sf):
+    df = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    return T.last_days_holdout(df, "day").groupBy("role").agg(
+        F.count(F.lit(1)).alias("n"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
+
+
 @query("t5_positional_split", """WITH f AS (SELECT o_custkey, min(o_orderdate) AS seen FROM orders GROUP BY 1), p AS (SELECT o_custkey, row_number() OVER (ORDER BY seen, o_custkey) - 1 AS pos, count(*) OVER () AS n FROM f)
 SELECT o_custkey, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM p""")
 def positional_split(spark, sf):

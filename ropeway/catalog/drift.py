@@ -84,12 +84,12 @@ def robust_drift(spark, sf):
 @query("f8_ks_test", f"""WITH {LONG}, {_dist(['feature', 'hour'])}, p AS (SELECT feature, hour, ks, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * k * k * ks * ks * n_ref * n_cur / (n_ref + n_cur))) FROM range(1, 21) t(k)) AS p FROM ds),
 c AS (SELECT *, least(greatest(p, 0), 1) AS pv FROM p)
 SELECT feature, CAST(hour AS INTEGER) AS hour, {sql_r6('ks')} AS ks, {sql_r6('pv')} AS p_value,
- CAST(sum(CAST(pv < 0.01 AS INTEGER)) OVER (PARTITION BY feature ORDER BY hour ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) = 6 AS INTEGER) AS sustained FROM c""")
+ CAST(sum(CAST(pv < 0.01 AS INTEGER)) OVER (PARTITION BY feature ORDER BY hour RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) = 6 AS INTEGER) AS sustained FROM c""")
 def ks_test(spark, sf):
     from ropeway.operators.windows import sustained
     d = D.cdf_distances(samples(spark, sf), ["feature", "hour"])
     d = d.withColumn("p_value", D.ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
-    out = sustained(d, ["feature"], "hour", F.col("p_value") < 0.01, periods=6)
+    out = sustained(d, ["feature"], "hour", F.col("p_value") < 0.01, periods=6, position=F.col("hour").cast("int"))
     return out.select("feature", "hour", r6(F.col("ks")).alias("ks"), r6(F.col("p_value")).alias("p_value"), "sustained")
 
 
@@ -119,17 +119,19 @@ def burn_rate(spark, sf):
     return out.select("cluster_id", "minute", "n", "bad", *[r6(F.col(c)).alias(c) for c in ("burn_1h", "burn_6h", "budget_left")], "priority")
 
 
-@query("f12_alert_rules", f"""WITH {KE}, h AS (SELECT cluster_id, CAST(floor(floor(epoch(ts)) / 21600) AS BIGINT) * 21600 AS epoch, avg(is_anomaly) AS error_rate, quantile_cont(kpi, 0.95) AS p95 FROM ke GROUP BY 1, 2)
-SELECT cluster_id, epoch, CAST(sum(CAST(error_rate > 0.05 AS INTEGER)) OVER w >= 3 AS INTEGER) AS error_firing, CAST(sum(CAST(p95 > 150 AS INTEGER)) OVER w >= 3 AS INTEGER) AS latency_firing FROM h
+@query("f12_alert_rules", f"""WITH {KE}, h AS (SELECT cluster_id, CAST(floor(floor(epoch(ts)) / 21600) AS BIGINT) * 21600 AS epoch, avg(is_anomaly) AS error_rate, quantile_cont(kpi, 0.95) AS p95, abs(avg(kpi) - 50) / 50 AS drift FROM ke GROUP BY 1, 2)
+SELECT cluster_id, epoch, CAST(sum(CAST(drift > 0.3 AS INTEGER)) OVER w >= 3 AS INTEGER) AS drift_firing, CAST(drift > 0.5 AS INTEGER) AS critical_drift_firing, CAST(sum(CAST(error_rate > 0.05 AS INTEGER)) OVER w >= 3 AS INTEGER) AS error_firing, CAST(sum(CAST(p95 > 150 AS INTEGER)) OVER w >= 3 AS INTEGER) AS latency_firing FROM h
 WINDOW w AS (PARTITION BY cluster_id ORDER BY epoch RANGE BETWEEN 43200 PRECEDING AND CURRENT ROW)""")
 def alert_rules(spark, sf):
     from ropeway.plans.prefix import exact_quantiles
     ke = kpi_events(spark, sf).withColumn("epoch", F.floor(F.unix_timestamp("ts") / 21600) * 21600)
     p95 = exact_quantiles(ke, ["cluster_id", "epoch"], "kpi", {"p95": 0.95})
-    m = ke.groupBy("cluster_id", "epoch").agg(F.avg("is_anomaly").alias("error_rate")).join(p95, ["cluster_id", "epoch"])
+    m = ke.groupBy("cluster_id", "epoch").agg(F.avg("is_anomaly").alias("error_rate"), (F.abs(F.avg("kpi") - 50) / 50).alias("drift")).join(p95, ["cluster_id", "epoch"])
     a = M.persistent_breach(m, ["cluster_id"], "epoch", F.col("error_rate") > 0.05, 21600, 3).withColumnRenamed("firing", "error_firing")
     b = M.persistent_breach(a, ["cluster_id"], "epoch", F.col("p95") > 150, 21600, 3).withColumnRenamed("firing", "latency_firing")
-    return b.select("cluster_id", "epoch", "error_firing", "latency_firing")
+    c = M.persistent_breach(b, ["cluster_id"], "epoch", F.col("drift") > 0.30, 21600, 3).withColumnRenamed("firing", "drift_firing")
+    d = M.persistent_breach(c, ["cluster_id"], "epoch", F.col("drift") > 0.50, 21600, 1).withColumnRenamed("firing", "critical_drift_firing")
+    return d.select("cluster_id", "epoch", "error_firing", "latency_firing", "drift_firing", "critical_drift_firing")
 
 
 @query("f13_retraining_decision", f"""WITH {CURVE}, {LONG}, {_dist(['feature'])}, s AS (SELECT round(avg(round(distance / (hi - lo), 4)), 4) AS o FROM ds JOIN st USING (feature)),

@@ -206,7 +206,7 @@ def salted_token(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", K.salted_token(F.col("c_name"), F.lit("2024Q1")).alias("token"))
 
 
-@query("k3_query_rate", f"WITH {KE}, x AS (SELECT event_id, count(*) OVER (PARTITION BY cluster_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS recent FROM ke) SELECT event_id, recent, CAST(recent > 10 AS INTEGER) AS limited FROM x")
+@query("k3_query_rate", f"WITH {KE}, x AS (SELECT event_id, count(*) OVER (PARTITION BY cluster_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY cluster_id, ts) + row_number() OVER (PARTITION BY cluster_id, ts ORDER BY event_id) AS recent FROM ke) SELECT event_id, recent, CAST(recent > 10 AS INTEGER) AS limited FROM x")
 def query_rate(spark, sf):
     out = K.query_rate(kpi_events(spark, sf).select("event_id", "cluster_id", "ts"), ["cluster_id"], "ts", "event_id", 6 * 3600)
     return out.select("event_id", F.col("recent").cast("long").alias("recent"), "limited")

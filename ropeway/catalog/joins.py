@@ -92,7 +92,7 @@ def labels(spark, sf):
     return out.select("doc_id", "quality", "labelled")
 
 
-@query("j6_as_of", f"""WITH {KE}, f AS (SELECT cell_id, ts, kpi FROM ke WHERE event_type = 'view'),
+@query("j6_as_of", f"""WITH {KE}, f AS (SELECT cell_id, ts, arg_max(kpi, event_id) AS kpi FROM ke WHERE event_type = 'view' GROUP BY 1, 2),
 s AS (SELECT event_id, cell_id, ts FROM ke WHERE event_type = 'purchase')
 SELECT event_id, CASE WHEN s.ts - f.ts <= INTERVAL 2 DAY THEN f.kpi END AS kpi,
  CASE WHEN s.ts - f.ts <= INTERVAL 2 DAY THEN epoch_us(f.ts) END AS feature_us FROM s ASOF LEFT JOIN f ON s.cell_id = f.cell_id AND s.ts >= f.ts""")

@@ -1,5 +1,7 @@
 """Stream jobs drained over the event files; trailing windows stay open as on a live stream."""
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from ropeway.catalog.base import KE, kpi_events, query, r6, sql_f32, sql_r6, table
@@ -14,14 +16,41 @@ from ropeway.sources import alarms, sinks
 from ropeway.streaming import jobs, stateful
 
 
+#: State partitions of the drains below; a live stream over more data is given more.
+STATE_PARTITIONS = 16
+
+
+@lru_cache(maxsize=4)
+def stream_session(spark):
+    """A session of its own for the streams, whose state partitions no other query sees."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.shuffle.partitions", str(STATE_PARTITIONS))
+    return own
+
+
 def event_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = jobs.file_stream(spark, sf, schema, "events.parquet")
+    raw = jobs.file_stream(stream_session(spark), sf, schema, "events.parquet")
     return raw.select(
         "event_id", F.col("user_id").alias("cell_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("kpi"),
         (F.col("event_type") == "error").cast("int").alias("is_anomaly"), F.pmod("user_id", F.lit(10)).cast("int").alias("cluster_id"), "event_type")
 
 
+def shuffled_drain(spark, sf, make, label, deliveries=3):
+    """Drain the events in several deliveries, each out of order and reaching half an hour into the next."""
+    out = scratch_path(spark, label)
+    ev = kpi_events(spark, sf)
+    late = F.unix_micros("ts") + (F.col("event_id") % 3) * 900_000_000
+    low, high = ev.agg(F.min(late), F.max(late)).first()
+    share = F.floor((late - F.lit(low)) * deliveries / F.lit(max(1, (high or 1) - (low or 0) + 1)))
+    for n in range(deliveries):
+        ev.where(share == n).repartition(4, F.xxhash64("event_id")).write.mode("append").parquet(f"{out}/in")
+        stream = make(jobs.file_stream(stream_session(spark), f"{out}/in", ev.schema, files_per_trigger=1_000_000))
+        jobs.append_table(stream, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
 def drained(spark, stream, label):
     out = scratch_path(spark, label)
     q = jobs.append_table(stream, f"{out}/data", f"{out}/checkpoint")
@@ -58,8 +87,9 @@ def late_routing(spark, sf):
     path = lambda n: f"{base}/{n}"
     write = jobs.route_late(path("main"), path("late"), path("mark"), "ts", 60)
     for rows in (ev.where(~late), ev.where(late)):
-        rows.coalesce(1).write.mode("append").parquet(path("in"))
-        jobs.each_batch(jobs.file_stream(spark, path("in"), schema), write, path("cp")).awaitTermination()
+        rows.write.mode("append").parquet(path("in"))
+        one = jobs.file_stream(stream_session(spark), path("in"), schema, files_per_trigger=1_000_000)
+        jobs.each_batch(one, write, path("cp")).awaitTermination()
     main = spark.read.schema("event_id bigint, ts timestamp, batch int").parquet(path("main")).select("event_id", F.lit(0).alias("late"))
     return main.union(spark.read.schema("event_id bigint, ts timestamp, batch int").parquet(path("late")).select("event_id", F.lit(1).alias("late")))
 
@@ -71,15 +101,15 @@ def payload_fields(spark, sf):
     old = F.to_json(F.struct("event_id", F.col("value").alias("kpi")))
     new = F.to_json(F.struct("event_id", F.col("value").alias("kpi"), F.lit("nr").alias("band"), F.lit(1).alias("not_yet_known")))
     ev.select(F.when(F.col("event_id") % 2 == 0, new).otherwise(old).alias("value")).write.text(f"{base}/in")
-    s = jobs.project_payload(spark.readStream.text(f"{base}/in"), {"event_id": "bigint", "kpi": "double", "band": "string"})
+    s = jobs.project_payload(stream_session(spark).readStream.text(f"{base}/in"), {"event_id": "bigint", "kpi": "double", "band": "string"})
     return drained(spark, s.drop("value"), "x4out")
 
 
 @query("x5_rolling_state", f"WITH {KE} SELECT event_id, cell_id, " + ", ".join(
     f"{sql_f32(f'avg(kpi) OVER {_fr(f'{w - 1} PRECEDING', 'CURRENT ROW')}')} AS mean_{l}, {sql_f32(f'round(coalesce(stddev_samp(kpi) OVER {_fr(f'{w - 1} PRECEDING', 'CURRENT ROW')}, 0), 6)')} AS std_{l}"
-    for l, w in (("4h", 16), ("24h", 96))) + f", {sql_f32(f'coalesce(kpi - lag(kpi) OVER ({ORD}), 0)')} AS delta_1 FROM ke")
+    for l, w in (("4h", 16), ("24h", 96))) + f", {sql_f32(f'coalesce(kpi - lag(kpi) OVER ({ORD}), 0)')} AS delta_1 FROM ke QUALIFY epoch_ms(ts) < {MARK} - 3600000")
 def rolling_state(spark, sf):
-    out = drained(spark, stateful.rolling_stream(event_stream(spark, sf), "cell_id", "ts", "event_id", "kpi"), "x5")
+    out = shuffled_drain(spark, sf, lambda s: stateful.rolling_stream(s, "cell_id", "ts", "event_id", "kpi"), "x5")
     return out.select("event_id", "cell_id", *[f32(F.col(c)).alias(c) for c in ("mean_4h", "mean_24h", "delta_1")],
                       *[f32(F.round(c, 6)).alias(c) for c in ("std_4h", "std_24h")])
 
@@ -108,8 +138,10 @@ def deduplicated(spark, sf):
 
 @query("x8_reconciliation", "SELECT event_id, 0.0::DOUBLE AS delta FROM events WHERE FALSE")
 def reconciliation(spark, sf):
-    online = drained(spark, stateful.rolling_stream(event_stream(spark, sf), "cell_id", "ts", "event_id", "kpi"), "x8")
-    offline = W.buffer_features(kpi_events(spark, sf), SERIES, "kpi")
+    online = shuffled_drain(spark, sf, lambda s: stateful.rolling_stream(s, "cell_id", "ts", "event_id", "kpi"), "x8")
+    ke = kpi_events(spark, sf)
+    closed = F.unix_millis("ts") < F.unix_millis(ke.agg(F.max("ts")).scalar()) - 3_600_000
+    offline = W.buffer_features(ke, SERIES, "kpi").where(closed)
     out = skew_check(offline.select("event_id", F.col("kpi_mean_24h").alias("f")), online.select("event_id", F.col("mean_24h").alias("f")), ["event_id"], "f")
     return out.select("event_id", "delta")
 
@@ -143,15 +175,15 @@ def delayed_truth(spark, sf):
 def alarm_stream(spark, sf):
     base = scratch_path(spark, "x12")
     alarm_payloads(spark, sf).write.parquet(f"{base}/in")
-    raw = jobs.file_stream(spark, f"{base}/in", "source_row bigint, value string")
+    raw = jobs.file_stream(stream_session(spark), f"{base}/in", "source_row bigint, value string")
     good, _ = alarms.parse_alarms(raw)
     return drained(spark, good, "x12out").select("source_row", "event_id", "version", "source_name", F.unix_micros("start_ts").alias("start_us"), "alarm_condition", "severity", "priority")
 
 
 @query("x13_breaker_state")
 def breaker_state(spark, sf):
-    s = event_stream(spark, sf).withColumn("ok", (F.col("event_type") != "error") & (F.col("kpi") <= 500))
-    return drained(spark, stateful.breaker_stream(s.select("cluster_id", "ts", "event_id", "ok"), "cluster_id", "ts", "event_id", "ok"), "x13")
+    ok = (F.col("event_type") != "error") & (F.col("kpi") <= 500)
+    return shuffled_drain(spark, sf, lambda s: stateful.breaker_stream(s.withColumn("ok", ok), "cluster_id", "ts", "event_id", "ok"), "x13")
 
 
 @query("s8_stream_sources", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -150,12 +150,13 @@ def erasure_audit(spark, sf):
  count(*) FILTER (NOT regexp_matches(CAST(l_suppkey AS VARCHAR), '^[0-9]{1,2}$')) AS c, CAST(NOT avg(CAST(l_returnflag = 'R' AS INTEGER)) BETWEEN 0.005 AND 0.08 AS BIGINT) AS d FROM lineitem)
 SELECT 'range_l_quantity' AS "check", a AS n_bad, CAST(a = 0 AS INTEGER) AS passed FROM x UNION ALL SELECT 'range_l_discount', b, CAST(b = 0 AS INTEGER) FROM x UNION ALL SELECT 'id_format', c, CAST(c = 0 AS INTEGER) FROM x
  UNION ALL SELECT 'label_rate', d, CAST(d = 0 AS INTEGER) FROM x UNION ALL SELECT 'duplicates', n, CAST(n = 0 AS INTEGER) FROM (SELECT CAST(sum(c - 1) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber))
- UNION ALL SELECT 'orphans', n, CAST(n = 0 AS INTEGER) FROM (SELECT count(*) AS n FROM lineitem ANTI JOIN (SELECT * FROM supplier WHERE s_nationkey <> 3) ON l_suppkey = s_suppkey)""")
+ UNION ALL SELECT 'orphans', n, CAST(n = 0 AS INTEGER) FROM (SELECT count(*) AS n FROM lineitem ANTI JOIN (SELECT * FROM supplier WHERE s_nationkey <> 3) ON l_suppkey = s_suppkey)
+ UNION ALL SELECT 'monotone_time', n, CAST(n = 0 AS INTEGER) FROM (SELECT count(*) FILTER (l_shipdate < p) AS n FROM (SELECT l_shipdate, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate) AS p FROM lineitem))""")
 def contract_report(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("flag", (F.col("l_returnflag") == "R").cast("int"))
     inv = table(spark, sf, "supplier").where("s_nationkey <> 3").select(F.col("s_suppkey").alias("l_suppkey"))
     return tables.contract_report(df, {"l_quantity": (1, 49), "l_discount": (0, 0.09)}, "l_suppkey", "^[0-9]{1,2}$",
-                                  ["l_orderkey", "l_linenumber"], inv, "flag", (0.005, 0.08))
+                                  ["l_orderkey", "l_linenumber"], inv, "flag", (0.005, 0.08), ("l_orderkey", "l_linenumber", "l_shipdate"))
 
 
 @query("p17_feature_columns", f"SELECT {', '.join(f'{sql_f32(f'avg({c})')} AS {c}' for c in ('l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'))} FROM lineitem")

@@ -190,8 +190,8 @@ def last_n_mean(spark, sf):
 
 
 @query("w21_sustained_breach", f"""WITH {KE}, d AS (SELECT cluster_id, day, avg(is_anomaly) AS rate FROM ke GROUP BY 1, 2)
-SELECT cluster_id, CAST(day AS VARCHAR) AS day, CAST(sum(CAST(rate > 0.2 AS INTEGER)) OVER (PARTITION BY cluster_id ORDER BY day ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS INTEGER) AS sustained FROM d""")
+SELECT cluster_id, CAST(day AS VARCHAR) AS day, CAST(sum(CAST(rate > 0.2 AS INTEGER)) OVER (PARTITION BY cluster_id ORDER BY day RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) = 2 AS INTEGER) AS sustained FROM d""")
 def sustained_breach(spark, sf):
     daily = kpi_events(spark, sf).groupBy("cluster_id", "day").agg(F.avg("is_anomaly").alias("rate"))
-    return W.sustained(daily, ["cluster_id"], "day", F.col("rate") > 0.2).select(
+    return W.sustained(daily, ["cluster_id"], "day", F.col("rate") > 0.2, position=F.unix_date("day")).select(
         "cluster_id", F.col("day").cast("string").alias("day"), "sustained")

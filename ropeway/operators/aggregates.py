@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ropeway.operators.evaluate import areas, confusion, correlation, safe, score_counts
-from ropeway.plans.prefix import exact_quantiles
+from ropeway.plans.prefix import exact_quantiles, running_sums
 from ropeway.plans.skew import group_join
 
 PROFILE_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -139,6 +139,11 @@ def inference_cost(df: DataFrame, tier: str, samples: str, tokens: str, wall_ms:
         "gpu_seconds": F.when(F.col(tier).isin(*GPU_TIERS), seconds).otherwise(0.0)})
 
 
+def cumulative_cost(costed: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str]) -> DataFrame:
+    """Cost of each key's records up to and including the row."""
+    return running_sums(costed, keys, order, {"cumulative_cost": "cost"}, ties=ties)
+
+
 def cost_summary(costed: DataFrame, tier: str) -> DataFrame:
     return costed.rollup(tier).agg(
         F.sum("cost").alias("cost"), F.sum("gpu_seconds").alias("gpu_seconds"),

@@ -78,6 +78,12 @@ def gapped_folds(df: DataFrame, day: str, folds: int, train_days: int, val_days:
     return df.withColumn("_f", F.explode(used)).select(*df.columns, "_f.fold", "_f.role")
 
 
+def last_days_holdout(df: DataFrame, day: str, days: int = 14) -> DataFrame:
+    """Marks the rows of the last ``days`` days as holdout, all earlier ones as develop."""
+    last = df.agg(F.max(F.unix_date(day))).scalar()
+    return df.withColumn("role", F.when(F.unix_date(day) > last - days, "holdout").otherwise("develop"))
+
+
 def positional_split(df: DataFrame, order: str, tie: str, shares: tuple[float, float] = INVENTORY_SPLIT) -> DataFrame:
     """Split by position in a global order, found with a distributed running count."""
     total = df.agg(F.count(F.lit(1))).scalar()

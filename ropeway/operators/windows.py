@@ -326,9 +326,16 @@ def last_n_mean(df: DataFrame, spec: KpiSpec, score: str, n: int = 100) -> DataF
     return windowed(df, spec.entity, spec.time, n, build)
 
 
-def sustained(df: DataFrame, keys: Sequence[str], time: str, breached: Column, periods: int = 2) -> DataFrame:
-    """Flag a breach that has held for ``periods`` consecutive rows of a periodic series."""
+def sustained(df: DataFrame, keys: Sequence[str], time: str, breached: Column, periods: int = 2,
+              position: Column | None = None) -> DataFrame:
+    """Flag a breach that has held for ``periods`` consecutive periods of a series with one row a period.
+
+    ``position`` is the number of the period on the calendar, so that a missing period
+    breaks the run; without it, rows count as consecutive.
+    """
     over = Window.partitionBy(*keys).orderBy(time).rowsBetween(-(periods - 1), 0)
+    if position is not None:
+        over = Window.partitionBy(*keys).orderBy(position).rangeBetween(-(periods - 1), 0)
     hit = F.coalesce(breached, F.lit(False)).cast("int")
     return df.withColumn("sustained", (F.sum(hit).over(over) == periods).cast("int"))
 

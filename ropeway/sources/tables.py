@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ropeway.functions.scalar import finite
 from ropeway.operators.joins import first_of_key
+from ropeway.plans.segments import windowed
 from ropeway.plans.skew import lookup_join
 
 
@@ -71,8 +72,12 @@ def binned_mean(bins: Sequence[Column]) -> Column:
 
 
 def contract_report(df: DataFrame, ranges: dict[str, tuple[float, float]], id_col: str, id_pattern: str,
-                    keys: Sequence[str], inventory: DataFrame, label: str, rate: tuple[float, float]) -> DataFrame:
-    """(check, n_bad, passed): ranges with margin, id format, duplicates, orphans, label rate."""
+                    keys: Sequence[str], inventory: DataFrame, label: str, rate: tuple[float, float],
+                    monotone: tuple[str, str, str] | None = None) -> DataFrame:
+    """(check, n_bad, passed): ranges with margin, id format, duplicates, orphans, label rate.
+
+    ``monotone`` names an entity, its row order and a time that must not go back along it.
+    """
     aggs = []
     for c, (lo, hi) in ranges.items():
         margin = abs(lo) * 0.001 + abs(hi) * 0.001 + 0.01
@@ -84,7 +89,15 @@ def contract_report(df: DataFrame, ranges: dict[str, tuple[float, float]], id_co
     lost = df.join(inventory.select(id_col).distinct(), id_col, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
     names = [f"range_{c}" for c in ranges] + ["id_format", "label_rate"]
     parts = one.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("check", "n_bad"))
-    for extra in (dup, lost):
+    extras = [dup, lost]
+    if monotone:
+        entity, order, time = monotone
+        back = F.col(time) < F.col("_before")
+        steps = windowed(
+            df.select(entity, order, time), [entity], order, 1,
+            lambda d, k: d.withColumn("_before", F.lag(time).over(Window.partitionBy(*k).orderBy(order, time))))
+        extras.append(steps.agg(F.count_if(back).alias("monotone_time")))
+    for extra in extras:
         name = extra.columns[0]
         parts = parts.union(extra.select(F.lit(name), F.col(name)))
     return parts.withColumn("passed", (F.col("n_bad") == 0).cast("int"))

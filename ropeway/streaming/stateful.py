@@ -1,17 +1,19 @@
-"""Custom keyed state: rolling KPI features and the breaker machine.
+"""Custom keyed state in event-time order: rolling KPI features and the breaker machine.
 
-State per key is bounded (the last 96 readings, one breaker record) and expires.
-The rows of one key inside a micro-batch are sorted in the task; the trigger limits
-of the source bound them.
+Rows wait in the state until the watermark has passed them and are then taken in time
+order, however they were delivered.  State per key is bounded by the waiting rows and
+a memory (the last 96 readings, one breaker record) and expires in event time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ropeway.operators.rules import Breaker
@@ -20,57 +22,79 @@ NAMES = {"C": "closed", "O": "open", "H": "half_open"}
 LONG, SHORT = 96, 16
 
 
-def rolling_stream(stream: DataFrame, entity: str, time: str, tie: str, kpi: str, ttl_hours: int = 48,
-                   delay: str = "1 hour") -> DataFrame:
-    """Mean and deviation of the last 16 and 96 readings and the last change.
+def in_order(stream: DataFrame, entity: str, time: str, tie: str, value: str, memory: str, output: dict[str, str],
+             advance: Callable[[object, list, list], tuple[object, list[list]]], ttl_hours: int, delay: str) -> DataFrame:
+    """Run ``advance(memory, times, values)`` per entity over the rows behind the watermark.
 
-    The buffer of an entity expires in event time, twice the longest window after
-    its last reading.  (A processing-time timeout would keep a drain from ending.)
+    It returns the new memory (None at first, of SQL type ``memory``) and one list of
+    ``output`` columns per row.  Rows later than ``delay`` are dropped by the watermark.
+    An entity without waiting rows is forgotten ``ttl_hours`` of event time after its
+    last reading.
     """
-    names = [entity, tie, "mean_4h", "std_4h", "mean_24h", "std_24h", "delta_1"]
-    schema = f"{entity} bigint, {tie} bigint, " + ", ".join(f"{n} double" for n in names[2:])
+    types = dict(stream.dtypes)
+    schema = ", ".join([f"{entity} {types[entity]}", f"{tie} {types[tie]}", *[f"{n} {t}" for n, t in output.items()]])
+    kept = f"memory {memory}, last bigint, times array<bigint>, ties array<{types[tie]}>, vals array<{types[value]}>"
+    names = [entity, tie, *output]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        seen = state.getCurrentWatermarkMs()
+        held, last, times, ties, values = state.get if state.exists else (None, None, [], [], [])
+        rows = list(zip(times, ties, values))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                rows += zip(pdf["_us"].tolist(), pdf[tie].tolist(), [None if v is None or v != v else v for v in pdf[value].tolist()])
+        rows.sort(key=lambda r: r[:2])
+        n = next((i for i, r in enumerate(rows) if r[0] // 1000 >= seen), len(rows))
+        ready, waiting = rows[:n], rows[n:]
+        if ready:
+            held, out = advance(held, [r[0] for r in ready], [r[2] for r in ready])
+            last = ready[-1][0]
+        elif state.hasTimedOut and not waiting:
             state.remove()
             return
-        pdf = pd.concat(list(batches)).sort_values([time, tie], kind="stable")
-        held = list(state.get[0]) if state.exists else []
-        out = []
-        for at, v in zip(pdf[tie], pdf[kpi]):
-            v = None if v is None or np.isnan(v) else float(v)
-            prev = held[-1] if held else None
-            held = [*held, v][-LONG:]
-            row = [key[0], at]
-            for w in (SHORT, LONG):
-                seen = np.array([x for x in held[-w:] if x is not None])
-                row += [float(seen.mean()) if len(seen) else 0.0, float(seen.std(ddof=1)) if len(seen) > 1 else 0.0]
-            row.append(v - prev if v is not None and prev is not None else 0.0)
-            out.append(row)
-        state.update((held,))
-        expires = int(pdf[time].iloc[-1].timestamp() * 1000) + ttl_hours * 3_600_000
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
-
-    return stream.withWatermark(time, delay).groupBy(entity).applyInPandasWithState(
-        step, schema, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def breaker_stream(stream: DataFrame, entity: str, time: str, tie: str, ok: str) -> DataFrame:
-    """The batch breaker machine with its record in the state store."""
-    types = dict(stream.dtypes)
-    names = [entity, tie, "state_before", "tried", "state_after"]
-    schema = f"{entity} {types[entity]}, {tie} {types[tie]}, state_before string, tried int, state_after string"
+        state.update((held, last, [r[0] for r in waiting], [r[1] for r in waiting], [r[2] for r in waiting]))
+        wake = waiting[0][0] // 1000 if waiting else last // 1000 + ttl_hours * 3_600_000
+        state.setTimeoutTimestamp(max(wake, seen + 1))
+        if ready:
+            yield pd.DataFrame([[key[0], r[1], *o] for r, o in zip(ready, out)], columns=names)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values([time, tie], kind="stable")
-        machine = Breaker(state.get[0] if state.exists else None)
-        out = []
-        for at, mark, good in zip(pdf[time], pdf[tie], pdf[ok]):
-            seen, used = machine.call(at.timestamp(), bool(good))
-            out.append([key[0], mark, NAMES[seen], int(used), NAMES[machine.state]])
-        state.update((machine.dump(),))
-        yield pd.DataFrame(out, columns=names)
-
-    return stream.groupBy(entity).applyInPandasWithState(
-        step, schema, "record string", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark(time, delay).select(entity, time, tie, value, F.unix_micros(time).alias("_us"))
+    return rows.groupBy(entity).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rolling(held: list | None, times: list, values: list) -> tuple[list, list[list]]:
+    """Mean and deviation of the last 16 and 96 readings and the last change, for all rows at once."""
+    before = list(held or [])
+    every = np.array([np.nan if v is None else v for v in [*before, *values]], dtype=float)
+    n, columns = len(values), []
+    for w in (SHORT, LONG):
+        frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(w, np.nan), every]), w)[-n:]
+        count = (~np.isnan(frames)).sum(1)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # frames without a reading
+            mean, deviation = np.nanmean(frames, axis=1), np.nanstd(frames, axis=1, ddof=1)
+        columns += [np.where(count > 0, mean, 0.0), np.where(count > 1, deviation, 0.0)]
+    change = np.diff(np.concatenate([[np.nan], every]))[-n:]
+    columns.append(np.where(np.isnan(change), 0.0, change))
+    return [*before, *values][-LONG:], np.column_stack(columns).tolist()
+
+
+def rolling_stream(stream: DataFrame, entity: str, time: str, tie: str, kpi: str, ttl_hours: int = 48,
+                   delay: str = "1 hour") -> DataFrame:
+    """Rolling features of every reading once the watermark has passed it."""
+    output = {n: "double" for n in ("mean_4h", "std_4h", "mean_24h", "std_24h", "delta_1")}
+    return in_order(stream, entity, time, tie, kpi, "array<double>", output, rolling, ttl_hours, delay)
+
+
+def breaker_steps(record: str | None, times: list, values: list) -> tuple[str, list[list]]:
+    machine, out = Breaker(record), []
+    for at, good in zip(times, values):
+        seen, used = machine.call(at / 1e6, bool(good))
+        out.append([NAMES[seen], int(used), NAMES[machine.state]])
+    return machine.dump(), out
+
+
+def breaker_stream(stream: DataFrame, entity: str, time: str, tie: str, ok: str, ttl_hours: int = 48, delay: str = "1 hour") -> DataFrame:
+    """The batch breaker machine with its record in the state store."""
+    output = {"state_before": "string", "tried": "int", "state_after": "string"}
+    return in_order(stream, entity, time, tie, ok, "string", output, breaker_steps, ttl_hours, delay)
