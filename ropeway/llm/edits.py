@@ -20,17 +20,14 @@ AHEAD = 3
 TREE = "chars array<int>, tokens array<int>, sums array<int>"
 
 
-def leaves(text: str, known, begin: int = 0) -> Iterator[tuple[int, int]]:
-    """(characters, tokens) of each leaf of the text from ``begin``, a border of pre-tokens."""
-    n = size = count = 0
-    for match in SPLIT.finditer(text, begin):
-        piece = match.group()
-        n, size, count = n + 1, size + len(piece), count + known[piece]
-        if n == LEAF:
-            yield size, count
-            n = size = count = 0
-    if n:
-        yield size, count
+def leaves(text: str, known) -> list[tuple[int, int]]:
+    """(characters, tokens) of each leaf of the text."""
+    pieces = SPLIT.findall(text)
+    if not pieces:
+        return []
+    starts = np.arange(0, len(pieces), LEAF)
+    sizes, counts = (np.fromiter(map(f, pieces), np.int64, len(pieces)) for f in (len, known.__getitem__))
+    return list(zip(np.add.reduceat(sizes, starts).tolist(), np.add.reduceat(counts, starts).tolist(), strict=True))
 
 
 class Tree:
@@ -131,7 +128,7 @@ def count_trees(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             trees = []
             for text in batch["text"].to_pylist():
-                made = list(leaves(text or "", known))
+                made = leaves(text or "", known)
                 trees.append(Tree([c for c, _ in made], [t for _, t in made]))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *[pa.array([getattr(t, n) for t in trees], pa.list_(pa.int32())) for n in ("chars", "tokens", "sums")]],

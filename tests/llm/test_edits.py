@@ -18,7 +18,7 @@ def test_edits_equal_counting_again(monkeypatch, leaf):
     parts = [" the", "   ", "\n\n", "'re", "'", "r", "ee", " 12", "!?", "é", " \t", "word", "日本", " x", "'l", "　", "'ve"]
     for _ in range(150):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 60)))
-        made = list(edits.leaves(text, known))
+        made = edits.leaves(text, known)
         tree = edits.Tree([c for c, _ in made], [t for _, t in made])
         assert tree.total == count(text)
         for _ in range(6):
@@ -40,7 +40,7 @@ def test_edits_equal_counting_again(monkeypatch, leaf):
 def test_only_leaves_near_the_edit_are_encoded():
     known = remembered(VOCABULARY, len)
     text = " word" * 100_000
-    made = list(edits.leaves(text, known))
+    made = edits.leaves(text, known)
     tree = edits.Tree([c for c, _ in made], [t for _, t in made])
     _, again = tree.edit(text, 250_000, 250_003, "x y z", known)
     assert again <= 4
