@@ -291,14 +291,20 @@ def retrieval_gate(spark, sf):
     return D.retrieval_gate(_faith(spark, sf))
 
 
-@query("d6_narration", f"""WITH {_AL} SELECT alert_id, CASE k """ + " ".join(
-    "WHEN '{}' THEN '{}'".format(k, m.replace("%%", "%").replace("%s", "' || alert_id || '", 1).replace("%s", "' || (o_custkey % 9) || '", 1)) for k, m in D.MESSAGES.items())
-    + """ ELSE format('Cell {} flagged with anomaly score {:.2f}. Manual investigation recommended.', CAST(alert_id AS VARCHAR), o_totalprice / 500000) END AS narrative,
- CASE k WHEN 'avg_cqi' THEN 'schedule physical inspection within 48 hours' ELSE 'Manual investigation required' END AS action FROM (SELECT al.*, o_custkey FROM al JOIN orders ON o_orderkey = alert_id)""")
+TEMPLATES = [
+    ("avg_cqi", "{cell} quality index off by {delta} (score {score})", "inspect site"),
+    ("dl_throughput_mbps", "{cell} throughput off by {delta} (score {score})", "check transport"),
+    (None, "{cell} scored {score}", "review"),
+]
+_TEXT = {k: "'" + t.replace("{cell}", "' || alert_id || '").replace("{delta}", "' || (o_custkey % 9) || '").replace("{score}", "' || format('{:.2f}', o_totalprice / 500000) || '") + "'" for k, t, _ in TEMPLATES}
+
+
+@query("d6_narration", f"WITH {_AL} SELECT alert_id, CASE k " + " ".join(f"WHEN '{k}' THEN {t}" for k, t in _TEXT.items() if k) + f" ELSE {_TEXT[None]} END AS narrative, CASE k "
+       + " ".join(f"WHEN '{k}' THEN '{a}'" for k, _, a in TEMPLATES if k) + f" ELSE '{TEMPLATES[-1][2]}' END AS action FROM (SELECT al.*, o_custkey FROM al JOIN orders ON o_orderkey = alert_id)")
 def narration(spark, sf):
-    a = alerts(spark, sf)
-    n = D.narration(F.col("alert_id").cast("string"), D.main_feature(F.col("shap")), F.col("o_custkey") % 9, F.col("price") / 500000)
-    return a.select("alert_id", n.alias("n")).select("alert_id", "n.narrative", "n.action")
+    a = alerts(spark, sf).withColumns({"kpi": D.main_feature(F.col("shap")), "delta": F.col("o_custkey") % 9, "score": F.col("price") / 500000})
+    templates = spark.createDataFrame(TEMPLATES, "kpi string, template string, action string")
+    return D.narration(a, templates, "alert_id", "kpi", "delta", "score").select("alert_id", "narrative", "action")
 
 
 @query("d7_injection", "SELECT conv_id, turn, CAST(" + " OR ".join(f"contains(lower(text), '{m}')" for m in D.INJECTION_MARKS) + " AS INTEGER) AS injection FROM conversations")
