@@ -342,7 +342,7 @@ def breaker_timeline(calls: DataFrame, endpoint: str, time: str, tie: str, ok: s
     in parallel from a guessed start state.  Segments whose true start differs from
     the guess run again until every start equals its predecessor's end.
     """
-    parts = split(calls.select(endpoint, time, tie, ok), [endpoint], time)
+    parts = split(calls.select(endpoint, time, tie, ok), [endpoint], time, ties=[tie])
     rows = parts.df.drop("_halo") if parts.is_split else parts.df.withColumn(SEGMENT, F.lit(0))
     rows = rows.withColumn("_at", F.unix_micros(time) / 1e6)
     types = dict(calls.dtypes)

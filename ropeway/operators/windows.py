@@ -36,7 +36,7 @@ def in_one_pass(df: DataFrame, spec: KpiSpec, steps: Sequence[tuple[int, Build]]
             frame = step(frame, keys)
         return frame
 
-    return windowed(df, spec.entity, spec.time, max(reach for reach, _ in steps), build)
+    return windowed(df, spec.entity, spec.time, max(reach for reach, _ in steps), build, ties=spec.ties)
 
 
 def rolling_statistics_step(spec: KpiSpec) -> tuple[int, Build]:
@@ -83,7 +83,7 @@ def rolling_features(df: DataFrame, spec: KpiSpec) -> DataFrame:
                 ]
         return frame.select("*", *cols)
 
-    return windowed(df, spec.entity, spec.time, max(spec.windows.values()), build)
+    return windowed(df, spec.entity, spec.time, max(spec.windows.values()), build, ties=spec.ties)
 
 
 def lag_deltas_step(spec: KpiSpec, signal: Sequence[str] = ()) -> tuple[int, Build]:
@@ -133,7 +133,7 @@ def change_features(df: DataFrame, spec: KpiSpec) -> DataFrame:
                 ]
         return frame.select("*", *cols)
 
-    return windowed(df, spec.entity, spec.time, max(lags), build)
+    return windowed(df, spec.entity, spec.time, max(lags), build, ties=spec.ties)
 
 
 def rolling_z_step(spec: KpiSpec, window: int = 96) -> tuple[int, Build]:
@@ -192,7 +192,7 @@ def short_fill(df: DataFrame, spec: KpiSpec, defaults: dict[str, Column], limit:
         ]
         return frame.select("*", *cols)
 
-    out = windowed(df, spec.entity, spec.time, window, build)
+    out = windowed(df, spec.entity, spec.time, window, build, ties=spec.ties)
     return out.select(
         *[c for c in df.columns if c not in spec.kpis],
         *[F.col(f"_filled_{k}").alias(k) for k in spec.kpis],
@@ -213,7 +213,7 @@ def reset_flags(df: DataFrame, spec: KpiSpec, window: int = 96, need: int = 48)
             cols.append(F.when(is_reset, 1).otherwise(0).alias(f"{k}_is_reset"))
         return frame.select("*", *cols)
 
-    return windowed(df, spec.entity, spec.time, window, build)
+    return windowed(df, spec.entity, spec.time, window, build, ties=spec.ties)
 
 
 def sequences(df: DataFrame, spec: KpiSpec, label: str, length: int = 8, stride: int = 1) -> DataFrame:
@@ -229,7 +229,7 @@ def sequences(df: DataFrame, spec: KpiSpec, label: str, length: int = 8, stride:
             F.max(label).over(over).alias("label"),
         )
 
-    out = windowed(indexed, spec.entity, spec.time, length, build)
+    out = windowed(indexed, spec.entity, spec.time, length, build, ties=spec.ties)
     start = F.col("_at") - (length - 1)
     return out.where((start >= 0) & (start % stride == 0)).withColumn("start_index", start).drop("_at")
 
@@ -244,7 +244,7 @@ def sigma_drop(df: DataFrame, spec: KpiSpec, kpi: str, window: int = 4, sigmas:
         score = F.when(enough, (F.avg(kpi).over(over) - F.col(kpi)) / std)
         return frame.withColumn("raw_score", F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)))
 
-    out = windowed(df, spec.entity, spec.time, window, build)
+    out = windowed(df, spec.entity, spec.time, window, build, ties=spec.ties)
     top = out.agg(F.max("raw_score")).scalar()
     return out.withColumns(
         {
@@ -263,7 +263,7 @@ def deviation_score(df: DataFrame, spec: KpiSpec, kpi: str, window: int = 16) ->
         fall = F.when(enough, F.avg(kpi).over(over) - F.col(kpi))
         return frame.withColumn("_fall", F.greatest(F.coalesce(fall, F.lit(0.0)), F.lit(0.0)))
 
-    out = windowed(df, spec.entity, spec.time, window, build)
+    out = windowed(df, spec.entity, spec.time, window, build, ties=spec.ties)
     top = out.agg(F.max("_fall")).scalar()
     return out.withColumn("score", F.col("_fall") / F.when(top > 0, top).otherwise(1.0)).drop("_fall")
 
@@ -275,7 +275,7 @@ def centred_mean(df: DataFrame, spec: KpiSpec, kpi: str, name: str, window: int
     def build(frame, keys):
         return frame.withColumn(name, F.avg(kpi).over(_frame(keys, spec, -back, ahead)))
 
-    return windowed(df, spec.entity, spec.time, back, build, halo_after=ahead)
+    return windowed(df, spec.entity, spec.time, back, build, halo_after=ahead, ties=spec.ties)
 
 
 def buffer_features(df: DataFrame, spec: KpiSpec, kpi: str) -> DataFrame:
@@ -293,7 +293,7 @@ def buffer_features(df: DataFrame, spec: KpiSpec, kpi: str) -> DataFrame:
         delta = F.col(kpi) - F.lag(kpi).over(order)
         return frame.select("*", *cols, F.coalesce(delta, F.lit(0.0)).alias(f"{kpi}_delta_1"))
 
-    return windowed(df, spec.entity, spec.time, 96, build)
+    return windowed(df, spec.entity, spec.time, 96, build, ties=spec.ties)
 
 
 def external_z(value: Column, mean: Column, std: Column, floor: float = 1e-6, bound: float = 6.0) -> Column:
@@ -323,7 +323,7 @@ def last_n_mean(df: DataFrame, spec: KpiSpec, score: str, n: int = 100) -> DataF
         mean = F.avg(score).over(_frame(keys, spec, -(n - 1), 0))
         return frame.withColumn("rolling_score", F.coalesce(mean, F.lit(1.0)))
 
-    return windowed(df, spec.entity, spec.time, n, build)
+    return windowed(df, spec.entity, spec.time, n, build, ties=spec.ties)
 
 
 def sustained(df: DataFrame, keys: Sequence[str], time: str, breached: Column, periods: int = 2,

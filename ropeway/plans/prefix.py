@@ -10,6 +10,7 @@ remaining window runs inside (group, bucket).
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -58,8 +59,50 @@ def cut_points(df: DataFrame, order: str, source: DataFrame | None = None) -> li
     return sorted(set(cuts))
 
 
-def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], name: str = BUCKET) -> DataFrame:
-    """Bucket number of ``order``; a cut belongs to the bucket on its right."""
+def hot_instants(df: DataFrame, order: str, ties: Sequence[str]) -> DataFrame | None:
+    """(_at, _sub_cuts): order values that more rows share than a task holds, and where to cut their first tie.
+
+    None where there are none or the tie is not a number or time.  There are at most
+    as many as tasks are needed for the frame.
+    """
+    spark, types = df.sparkSession, dict(df.dtypes)
+    if not ties or not re.match("tinyint|smallint|int|bigint|float|double|decimal|date|timestamp", types.get(ties[0], "")):
+        return None
+    limit = rows_per_task(spark)
+    at = as_number(F.col(order), types[order]).alias("_at")
+    crowded = df.groupBy(at).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    most = crowded.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    parts = math.ceil(most / limit)
+    grid = [i / parts for i in range(1, parts)]
+    tie = as_number(F.col(ties[0]), types[ties[0]]).alias("_tie")
+    cut = df.select(at, tie).join(crowded, "_at").groupBy("_at").agg(F.percentile_approx("_tie", grid, 20 * parts).alias("_sub_cuts"))
+    return spark.createDataFrame(cut.collect(), cut.schema)
+
+
+def isolating(cuts: Sequence[float], instants: DataFrame | None) -> list[float]:
+    """Cuts with every hot instant in a bucket of its own."""
+    if instants is None:
+        return list(cuts)
+    hot = [r["_at"] for r in instants.collect()]
+    return sorted({*cuts, *hot, *[math.nextafter(x, math.inf) for x in hot]})
+
+
+def with_bucket(df: DataFrame, order: str, cuts: Sequence[float], name: str = BUCKET,
+                instants: DataFrame | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Bucket number of ``order``; a cut belongs to the bucket on its right.
+
+    Rows of a hot instant get fractions behind the number, in the order of their first tie.
+    """
+    if instants is not None:
+        plain = with_bucket(df, order, cuts, name)
+        at = as_number(F.col(order), dict(df.dtypes)[order])
+        tie = as_number(F.col(ties[0]), dict(df.dtypes)[ties[0]])
+        joined = plain.join(F.broadcast(instants), at == F.col("_at"), "left")
+        part = F.coalesce(F.size(F.filter("_sub_cuts", lambda c: c <= tie)), F.lit(0))
+        within = F.when(F.col("_sub_cuts").isNull(), F.lit(0)).otherwise(part)
+        return joined.withColumn(name, F.col(name) + within / float(1 << 20)).drop("_at", "_sub_cuts")
     key = as_number(F.col(order), dict(df.dtypes)[order])
     borders = [-math.inf, *cuts, math.inf]
     staged = df.withColumn("_order_key", key)
@@ -97,7 +140,8 @@ def running_sums(
             *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(o) for o, c in sums.items()],
             *following,
         )
-    bucketed = with_bucket(df, order, cuts)
+    instants = hot_instants(df, order, ties)
+    bucketed = with_bucket(df, order, isolating(cuts, instants), instants=instants, ties=ties)
     first_of = F.max(order) if descending else F.min(order)
     totals = bucketed.groupBy(*groups, BUCKET).agg(
         *[F.sum(c).alias(f"_total_{o}") for o, c in sums.items()], first_of.alias("_first")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ropeway.plans.prefix import BUCKET, cut_points, with_bucket
+from ropeway.plans.prefix import BUCKET, cut_points, hot_instants, isolating, with_bucket
 from ropeway.plans.skew import group_join
 from ropeway.session import rows_per_task
 
@@ -29,18 +29,24 @@ class Split:
 
 
 def split(df: DataFrame, entity: Sequence[str], time: str, halo_rows: int = 0,
-          halo_after: int = 0) -> Split:
-    """Partition keys for a frame reaching ``halo_rows`` back and ``halo_after`` ahead."""
+          halo_after: int = 0, ties: Sequence[str] = ()) -> Split:
+    """Partition keys for a frame reaching ``halo_rows`` back and ``halo_after`` ahead.
+
+    ``ties`` order rows of one time; the first of them splits a crowded instant.
+    """
     entity = list(entity)
     limit = max(rows_per_task(df.sparkSession), 1)
     per_entity = df.groupBy(*entity).agg(F.count(F.lit(1)).alias("_rows"))
     hot = per_entity.where(F.col("_rows") > limit)
     if hot.count() == 0:
         return Split(df, entity, False)
-    hot_rows = group_join(df.select(*entity, time), hot.select(*entity), entity, "left_semi")
-    cuts = cut_points(hot_rows, time)
+    ties = [t for t in ties if t in df.columns]
+    wanted = list(dict.fromkeys([*entity, time, *ties[:1]]))
+    hot_rows = group_join(df.select(*wanted), hot.select(*entity), entity, "left_semi")
+    instants = hot_instants(hot_rows, time, ties)
+    cuts = isolating(cut_points(hot_rows, time), instants)
     buckets = (
-        with_bucket(hot_rows, time, cuts).groupBy(*entity, BUCKET)
+        with_bucket(hot_rows, time, cuts, instants=instants, ties=ties).groupBy(*entity, BUCKET)
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     before = (
@@ -68,7 +74,7 @@ def split(df: DataFrame, entity: Sequence[str], time: str, halo_rows: int = 0,
     routes = placed.select(
         *entity, BUCKET, SEGMENT, F.transform(reached, lambda b: b[SEGMENT]).alias("_reach")
     )
-    routed = group_join(with_bucket(df, time, cuts), routes, [*entity, BUCKET], "left")
+    routed = group_join(with_bucket(df, time, cuts, instants=instants, ties=ties), routes, [*entity, BUCKET], "left")
     home = F.array(F.struct(F.coalesce(SEGMENT, F.lit(0)).alias("s"), F.lit(False).alias("h")))
     extra = F.transform(
         F.coalesce("_reach", F.array().cast("array<int>")),
@@ -88,9 +94,10 @@ def windowed(
     halo_rows: int,
     build: Callable[[DataFrame, list[str]], DataFrame],
     halo_after: int = 0,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Run ``build(frame, partition_keys)`` with bounded row frames, then drop halos."""
-    parts = split(df, entity, time, halo_rows, halo_after)
+    parts = split(df, entity, time, halo_rows, halo_after, ties)
     out = build(parts.df, parts.keys)
     if parts.is_split:
         out = out.where(~F.col(HALO)).drop(SEGMENT, HALO)
@@ -106,7 +113,7 @@ def last_known(
 ) -> DataFrame:
     """Latest non-NULL value of each expression up to and including the row."""
     entity = list(entity)
-    parts = split(df, entity, time)
+    parts = split(df, entity, time, ties=ties)
     w = Window.partitionBy(*parts.keys).orderBy(time, *ties)
     w = w.rowsBetween(Window.unboundedPreceding, 0)
     local = parts.df.select(

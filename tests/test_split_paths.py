@@ -57,3 +57,22 @@ def test_split_path_equals_sql(spark, hot, name):
     names = [d[0] for d in out.description]
     want = [tuple(check.canon(r[names.index(c)]) for c in columns) for r in out.fetchall()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_hot_instant_is_split(spark):
+    """300 rows of one entity at one time spread over segments of about the limit, in the order of their ties."""
+    from ropeway.plans.segments import SEGMENT, split
+    from ropeway.plans.prefix import running_sums
+
+    at = "timestamp'2024-01-01 00:00:00'"
+    df = spark.range(300).selectExpr("1 AS e", f"{at} AS t", "id AS tie").union(
+        spark.range(60).selectExpr("1 AS e", f"{at} + make_interval(0, 0, 0, 0, 0, int(id) - 30) AS t", "id + 1000 AS tie"))
+    spark.conf.set(ROWS_PER_TASK, "40")
+    try:
+        parts = split(df, ["e"], "t", ties=["tie"])
+        sizes = [r["count"] for r in parts.df.groupBy(SEGMENT).count().collect()]
+        assert parts.is_split and max(sizes) <= 100 and sum(sizes) == 360
+        sums = running_sums(df.withColumn("one", F.lit(1)), ["e"], "t", {"n": "one"}, ties=["tie"]).orderBy("t", "tie").collect()
+        assert [r["n"] for r in sums] == list(range(1, 361))
+    finally:
+        spark.conf.unset(ROWS_PER_TASK)
