@@ -50,5 +50,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` bucketed by ``key`` below the shared folder: joins on it do not move it again."""
+    spark, path, name = df.sparkSession, scratch_path(df.sparkSession, label), fresh_name(label.replace("-", "_"))
+    columns = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    df.repartition(buckets, key).write.insertInto(name)
+    return spark.table(name)
+
+
 def fresh_name(label: str) -> str:
     return f"{label}_{uuid.uuid4().hex}"

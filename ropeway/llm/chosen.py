@@ -12,24 +12,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ropeway.llm.base import pack, query, stored, table
+from ropeway.llm.base import bucketed, pack, query, stored, table
+from ropeway.llm.components import components
 from ropeway.llm.streams import Sets, runs, sorted_groups
-from ropeway.operators.graph import components
 
 #: Words of a shingle and the similarity of linked documents, as a fraction of whole numbers.
 WORDS, NEAR, OF = 5, 75, 100
 #: Minwise values of a document.
 SKETCH = 128
 #: Independent trees, and documents of a node that is compared exhaustively.
-TREES, SMALL = 10, 250
+TREES, SMALL = 12, 250
 #: Levels after which a node is one group of candidates without further branching.
-LEVELS = 6
+LEVELS = 3
 #: Deviations that an estimate may fall short of the threshold by.
 DEVIATIONS = 4.0
 #: Documents of a block that is compared on whole sets in one task.
 BLOCK = 300
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1_000_000
+#: Representatives of one bucket of their table, about 300 MB.
+REPS_PER_BUCKET = 500_000
 
 _MULTIPLY = np.random.default_rng(75).integers(0, 2**63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(5).integers(0, 2**63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -176,7 +178,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(rep, root) edges that connect at least all pairs which a tree brings into one node.
+    """(rep, root) edges that connect at least all likely pairs which a tree brings into one node.
 
     ``reps`` has rep, n and sketch.  Nodes are counted by partial aggregation; those
     of at most SMALL documents are compared exhaustively on their sketches, larger
@@ -210,32 +212,33 @@ def candidates(reps: DataFrame) -> DataFrame:
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, root) of documents linked on whole sets: within a task, or across its two sides.
+    """(part, root) of parts linked on whole sets: within a task, or across its two sides.
 
-    Rows: task, side (0, 1, or NULL when all pairs count), rep, key, part and text.
-    Rows of equal ``part`` are known to be connected and are not compared.
+    Rows: task, side (0 or 1, or -1 when all pairs count), rep, key, part and text.
+    Rows of equal ``part`` are known to be connected and are not compared; ``root`` is
+    the smallest part that a part is linked to in the task.
     """
     for frame in sorted_groups(batches, "task"):
         out = []
         for begin, end in runs(frame["task"].to_numpy()):
-            out += _linked(frame.iloc[begin:end])
+            if end - begin > 1:
+                out += _linked(frame.iloc[begin:end])
         if out:
             a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["rep", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["part", "root"])
 
 
 def _linked(own) -> list[tuple]:
-    sets_of, reps, sides, parts, seen = [], [], [], [], set()
+    sets_of, sides, parts, seen = [], [], [], set()
     for rep, key, side, part, text in zip(own["rep"], own["key"], own["side"], own["part"], own["text"], strict=True):
         found = shingles(text)
         # rows that repeat the id with another text are not the one that was sketched
         if xxhash.xxh3_128_digest(found.tobytes()) == key and (rep, key, side) not in seen:
             seen.add((rep, key, side))
             sets_of.append(found)
-            reps.append(rep)
             sides.append(side)
             parts.append(part)
-    n = len(reps)
+    n = len(parts)
     if n < 2:
         return []
     values = np.array([sketch(x) for x in sets_of])
@@ -244,12 +247,12 @@ def _linked(own) -> list[tuple]:
     first: dict = {}
     for i, part in enumerate(parts):
         joined.join(first.setdefault(part, i), i)
-    least, links = least_estimate() * SKETCH, []
+    least = least_estimate() * SKETCH
     for i in range(n - 1):
         rest = np.arange(i + 1, n)
-        ok = (np.minimum(sizes[i], sizes[rest]) * OF >= np.maximum(sizes[i], sizes[rest]) * NEAR)
+        ok = np.minimum(sizes[i], sizes[rest]) * OF >= np.maximum(sizes[i], sizes[rest]) * NEAR
         if side[i] >= 0:
-            ok &= (side[rest] != side[i])
+            ok &= side[rest] != side[i]
         rest = rest[ok]
         score = (values[i] == values[rest]).sum(1)
         order = np.argsort(-score, kind="stable")
@@ -259,79 +262,74 @@ def _linked(own) -> list[tuple]:
             both = len(np.intersect1d(sets_of[i], sets_of[j], assume_unique=True))
             if OF * both >= NEAR * (len(sets_of[i]) + len(sets_of[j]) - both):
                 joined.join(i, j)
-                links.append((i, j))
-    return [(reps[i], reps[j]) for i, j in links]
+    smallest: dict = {}
+    for i, part in enumerate(parts):
+        root = joined.root(i)
+        smallest[root] = min(smallest.get(root, part), part)
+    return sorted({(p, smallest[joined.root(i)]) for i, p in enumerate(parts) if p != smallest[joined.root(i)]})
 
 
 def _run_exact(rows: DataFrame, kind: str, label: str) -> DataFrame:
     dealt = rows.repartition("task").sortWithinPartitions("task", "side", "rep")
-    return stored(dealt.mapInArrow(_exact, f"rep {kind}, root {kind}"), label)
+    return stored(dealt.mapInArrow(_exact, f"part {kind}, root {kind}"), label)
 
 
-def _grouped(edges: DataFrame, column: str) -> DataFrame:
-    """(rep, column): the component of every end of the edges."""
-    if not edges.limit(1).count():
-        return edges.select("rep", F.col("root").alias(column))
-    return components(edges, "rep", "root").select(F.col("id").alias("rep"), F.col("component").alias(column))
+def _renamed(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (.., class) with each class under the smallest one that the links connect it to."""
+    if not links.limit(1).count():
+        return classes
+    merged = components(links, "part", "root").select(F.col("id").alias("class"), F.col("component").alias("_to"))
+    return classes.join(merged, "class", "left").withColumn("class", F.coalesce("_to", "class")).drop("_to")
 
 
-def exact_links(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rep, root) links on whole sets that connect all linked documents of each group.
+def exact_classes(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rep, class): the class of every document that is linked on whole sets to one of its group.
 
-    ``groups`` has rep and grp.  A group is dealt to blocks by id; every block
-    is compared within.  That settles groups of one block.  Of larger groups the
-    first documents of the blocks' classes are compared next; then all documents
-    outside the group's largest class meet all others, block by block, and whoever
-    is in the same class already is skipped.  Texts, not sets, are moved.
+    ``groups`` has rep and grp.  A group is dealt to blocks by id and every block is
+    compared within, which settles groups of one block.  Of larger groups the first
+    documents of the blocks' classes are compared next; then all documents outside the
+    group's largest class meet all others, block by block, and whoever is in the same
+    class already is skipped.  Texts, not sets, are moved.
     """
     kind = dict(reps.dtypes)["rep"]
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = (
-        groups.hint("merge").join(stored(sizes, "group-sizes"), "grp").join(reps.select("rep", "key"), "rep")
-        .select("rep", "key", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-    )
+    placed = groups.hint("merge").join(stored(sizes, "group-sizes"), "grp").select(
+        "rep", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    members = stored(members.hint("merge").join(texts, "rep"), "members")
-    task = F.concat_ws("|", F.col("grp").cast("string"), "block")
+    members = stored(placed.join(reps.select("rep", "key"), "rep").hint("merge").join(texts, "rep"), "members")
     alone = F.lit(-1).cast("int").alias("side")
-    within = _run_exact(members.select(task.alias("task"), alone, "rep", "key", F.xxhash64("key").alias("part"), "text"), kind, "within")
-    large = members.where("blocks > 1")
-    if not large.limit(1).count():
-        return within
+    within = _run_exact(members.select(
+        F.concat_ws("|", F.col("grp").cast("string"), "block").alias("task"), alone, "rep", "key", F.col("rep").alias("part"), "text"), kind, "within")
+    near = within.select(F.col("part").alias("rep"), F.col("root").alias("class"))
+    if not members.where("blocks > 1").limit(1).count():
+        return near
     # the first of each class of a block stands for it
-    classes = _grouped(within, "class")
-    own = stored(large.drop("text").join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep")), "classes")
-    heads = own.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("rows"))
-    spread = stored(heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts")), "class-counts")
-    firsts = heads.join(spread, "grp").select(
-        F.col("class").alias("rep"), "grp", F.pmod(F.xxhash64("class", F.lit(1)), F.col("cuts")).cast("int").alias("cut"))
-    among = _run_exact(
-        members.join(firsts.withColumnRenamed("grp", "_grp"), "rep").select(
-            F.concat_ws("|", "grp", "cut").alias("task"), alone, "rep", "key", F.xxhash64("key").alias("part"), "text"), kind, "among")
-    merged = _grouped(within.unionByName(among), "class")
-    own = own.drop("class").join(merged, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    own = members.where("blocks > 1").select("rep", "grp").distinct().join(near, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    own = stored(own, "classes")
+    heads = own.select("grp", "class").distinct()
+    cuts = stored(heads.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts")), "class-counts")
+    firsts = heads.join(cuts, "grp").select(
+        F.col("class").alias("rep"), F.concat_ws("|", F.col("grp").cast("string"), F.pmod(F.xxhash64("class", F.lit(1)), F.col("cuts"))).alias("task"))
+    among = _run_exact(members.drop("grp").join(firsts, "rep").select("task", alone, "rep", "key", F.col("rep").alias("part"), "text"), kind, "among")
+    own = stored(_renamed(own, among), "merged-classes")
     totals = own.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("rows"))
-    best = totals.groupBy("grp").agg(F.max(F.struct("rows", "class")).alias("b")).select("grp", F.col("b.class").alias("top"))
-    outside = totals.join(best, "grp").groupBy("grp", "top").agg(
-        F.sum(F.when(F.col("class") != F.col("top"), F.col("rows")).otherwise(0)).alias("out"), F.sum("rows").alias("all"))
-    outside = stored(
-        outside.where("out > 0").select(
-            "grp", "top", F.ceil(F.col("out") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns")),
-        "outside",
-    )
-    if not outside.limit(1).count():
-        return within.unionByName(among)
+    best = F.max(F.struct("rows", "class"))
+    outside = totals.groupBy("grp").agg(best.alias("b"), F.sum("rows").alias("all")).select(
+        "grp", F.col("b.class").alias("top"), (F.col("all") - F.col("b.rows")).alias("out"), "all")
+    outside = stored(outside.where("out > 0").select(
+        "grp", "top", F.ceil(F.col("out") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns")), "outside")
+    # the rows that meet: documents outside the largest class on one side, all of the group on the other
     dealt = own.join(outside, "grp").select(
         "rep", "class", (F.col("class") != F.col("top")).alias("away"), "rows", "columns",
         F.pmod(F.xxhash64("rep", F.lit(2)), "rows").cast("int").alias("row"), F.pmod(F.xxhash64("rep", F.lit(3)), "columns").cast("int").alias("column"), "grp")
-    every = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r")).select(
-        F.concat_ws("|", "grp", "r", "column").alias("task"), F.lit(1).alias("side"), "rep", "class")
-    away = dealt.where("away").select("*", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("c")).select(
-        F.concat_ws("|", "grp", "row", "c").alias("task"), F.lit(0).alias("side"), "rep", "class")
-    meet = every.unionByName(away).hint("merge").join(members.select("rep", "key", "text"), "rep").select(
-        "task", "side", "rep", "key", F.xxhash64("class").alias("part"), "text")
-    return within.unionByName(among).unionByName(_run_exact(meet, kind, "across"))
+    every = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("row"), F.col("column").alias("column"), F.lit(1).alias("side")))
+    apart = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.struct(F.col("row").alias("row"), c.alias("column"), F.lit(0).alias("side")))
+    spread = dealt.select("rep", "class", "grp", F.explode(F.when(F.col("away"), F.concat(every, apart)).otherwise(every)).alias("m"))
+    meet = spread.select(F.concat_ws("|", F.col("grp").cast("string"), "m.row", "m.column").alias("task"), "m.side", "rep", F.col("class").alias("part"))
+    across = _run_exact(meet.hint("merge").join(members.select("rep", "key", "text"), "rep").select("task", "side", "rep", "key", "part", "text"), kind, "across")
+    settled = members.where("blocks = 1").select("rep").distinct().join(near, "rep")
+    return settled.unionByName(_renamed(own, across).select("rep", "class"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -349,14 +347,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     them is.  An empty table gives an empty table.
     """
     own = stored(sketches(docs), "sketches")
-    reps = stored(
-        own.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "reps")
-    edges = stored(candidates(reps.select("rep", "n", "sketch")).distinct(), "candidates")
-    groups = _grouped(edges, "grp")
-    links = exact_links(docs, reps.select("rep", "key"), groups)
-    comps = _grouped(links.where("rep <> root").distinct(), "component")
+    made = own.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    # bucketed by id, so the levels and the comparison move their own rows to it and never the sketches
+    reps = bucketed(made, "reps", "rep", max(16, -(-own.count() // REPS_PER_BUCKET)))
+    edges = stored(candidates(reps.select("rep", "n", "sketch")), "candidates")
+    groups = components(edges, "rep", "root").select(F.col("id").alias("rep"), F.col("component").alias("grp"))
+    comps = exact_classes(docs, reps.select("rep", "key"), groups).withColumnRenamed("class", "component")
     results = stored(
-        reps.select("key", "rep").join(comps, "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "document-classes")
+        reps.select("key", "rep").join(comps.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "document-classes")
     out = own.select("doc_id", "n", "key").join(results.hint("merge"), "key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ropeway.llm.base import query, stored, table
 from ropeway.llm.streams import Sets, runs, sorted_groups
-from ropeway.operators.graph import components
+from ropeway.llm.components import components
 
 #: Cosine from which two vectors are linked, and the share of such pairs that the codes should bring together.
 THRESHOLD, RECALL = 0.98, 0.9999
