@@ -121,19 +121,19 @@ def approval_path(level: Column, cells: Column, violated: Column) -> Column:
         .otherwise(denied))
 
 
-def lock_decisions(proposals: DataFrame, action: str, cell: str, time: str, seconds: int = LOCK_SECONDS,
-                   max_rounds: int = 10000) -> DataFrame:
+def lock_decisions(proposals: DataFrame, action: str, cell: str, time: str, seconds: int = LOCK_SECONDS) -> DataFrame:
     """Approve or deny proposals whose cells may be locked by an earlier approved action.
 
     ``proposals`` has one row per (action, cell).  A proposal is settled once every
     earlier proposal in reach is: each round looks up, per cell, the latest approved
     and the latest open proposal before it.  No conflict pair is written out, a busy
-    cell is split along time, and settled denials leave the next round.
+    cell is split along time, and settled denials leave the next round.  Every round
+    settles at least the earliest open proposals, so it ends.
     """
     wait = seconds * 1_000_000
     work = durable(proposals.select(action, cell, time).distinct().withColumn("_ok", F.lit(None).cast("int")))
     decided: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         us = F.unix_micros(time)
         marked = work.select("*", us.alias("_us"), F.struct(time, action).alias("_k"))
         prior = last_known(
@@ -153,8 +153,6 @@ def lock_decisions(proposals: DataFrame, action: str, cell: str, time: str, seco
         work = nxt.where("_ok IS NULL OR _ok = 1")
         if work.where("_ok IS NULL").limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("lock decisions did not settle")
     out = work.select(action, F.lit(1).alias("approved")).distinct()
     for part in decided:
         out = out.unionByName(part)
@@ -335,7 +333,7 @@ class Breaker:
         return seen, True
 
 
-def breaker_timeline(calls: DataFrame, endpoint: str, time: str, tie: str, ok: str, max_rounds: int = 1000) -> DataFrame:
+def breaker_timeline(calls: DataFrame, endpoint: str, time: str, tie: str, ok: str) -> DataFrame:
     """Breaker state before and after every call of an endpoint.
 
     The machine is sequential, but a busy endpoint is cut into time segments that run
@@ -373,7 +371,7 @@ def breaker_timeline(calls: DataFrame, endpoint: str, time: str, tie: str, ok: s
     rows = durable(rows)
     starts = durable(rows.select(*keys).distinct().withColumn("_start", F.lit(fresh)))
     done = durable(rows.join(starts, keys).groupBy(*keys).applyInPandas(run, schema))
-    for _ in range(max_rounds):
+    while True:  # every round settles at least the first unsettled segment of an endpoint
         ends = done.where(F.col("_end").isNotNull()).select(*keys, "_end")
         before = Window.partitionBy(endpoint).orderBy(SEGMENT)
         true_starts = ends.withColumn("_true", F.coalesce(F.lag("_end").over(before), F.lit(fresh))).drop("_end")
@@ -383,4 +381,3 @@ def breaker_timeline(calls: DataFrame, endpoint: str, time: str, tie: str, ok: s
         again = rows.join(wrong, keys).groupBy(*keys).applyInPandas(run, schema)
         done = durable(done.join(wrong.select(*keys), keys, "left_anti").unionByName(again))
         starts = durable(starts.join(wrong.select(*keys), keys, "left_anti").unionByName(wrong))
-    raise RuntimeError("breaker timeline did not settle")

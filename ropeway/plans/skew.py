@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ropeway.session import rows_per_task
 
 BROADCAST_ROWS_KEY, BROADCAST_ROWS = "ropeway.broadcastRows", 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def broadcast_rows(spark: SparkSession) -> int:
@@ -73,12 +74,20 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], aggs: dict) -> DataFram
     return attach(df, stats, keys, rows="_group_rows").drop("_group_rows")
 
 
+def broadcastable(dim: DataFrame) -> bool:
+    """Whether ``dim`` was counted to have few enough rows and measured to have few enough bytes."""
+    most = broadcast_rows(dim.sparkSession)
+    wide = [c for c, t in dim.dtypes if t.startswith(("string", "varchar", "char", "binary", "array", "map", "struct"))]
+    size = F.octet_length(F.to_json(F.struct(*wide))) if wide else F.lit(0)
+    rows, wide_bytes = dim.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= most and wide_bytes + 8 * (len(dim.columns) - len(wide)) * rows <= BROADCAST_BYTES
+
+
 def lookup_join(
     df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
-    """Join a dimension: broadcast below a counted size, salted on hot keys beyond it."""
-    most = broadcast_rows(df.sparkSession)
-    if dim.limit(most + 1).count() <= most:
+    """Join a dimension: broadcast below a measured size, salted on hot keys beyond it."""
+    if broadcastable(dim):
         return df.join(F.broadcast(dim), list(keys), how)
     sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_key_rows")).join(dim, list(keys))
     return attach(df, sized, keys, rows="_key_rows", how=how).drop("_key_rows")
