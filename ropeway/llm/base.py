@@ -59,5 +59,16 @@ def bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+_memory: dict = {}
+
+
+def worker_memory(key, make):
+    """What a worker keeps between tasks: one operator's memory, for which another's makes room."""
+    if key not in _memory:
+        _memory.clear()
+        _memory[key] = make()
+    return _memory[key]
+
+
 def fresh_name(label: str) -> str:
     return f"{label}_{uuid.uuid4().hex}"

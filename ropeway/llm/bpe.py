@@ -12,11 +12,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ropeway.llm.base import query, table
+from ropeway.llm.base import query, table, worker_memory
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces one worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Pairs of tokens whose fit it remembers.
+PAIRS = 150_000
 
 
 class PrefixBpe:
@@ -56,7 +58,7 @@ class PrefixBpe:
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2 * REMEMBERED:
+            if len(self._fits) > PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._meet(left, right, len(self.tokens) + 1)
         return known
@@ -129,15 +131,15 @@ SPLIT = regex.compile(public_tokenizers.PATTERN)
 class Remembered(dict):
     """Pieces already encoded, as ``make`` renders their ids.
 
-    Beyond REMEMBERED pieces the older half of them makes room, except for those
+    Beyond ``most`` pieces the older half of them makes room, except for those
     that are asked for again.
     """
 
-    def __init__(self, path: str, make):
-        self.bpe, self.make, self.old = encoder(path), make, {}
+    def __init__(self, path: str, make, most: int):
+        self.bpe, self.make, self.most, self.old = encoder(path), make, most, {}
 
     def __missing__(self, piece: str):
-        if len(self) >= REMEMBERED // 2:
+        if len(self) >= self.most // 2:
             self.old = dict(self)
             self.clear()
         made = self.old.get(piece)
@@ -152,10 +154,9 @@ def _joined(ids: list[int]) -> str:
     return " ".join(map(str, ids))
 
 
-@lru_cache(maxsize=4)
-def remembered(path: str, make) -> Remembered:
+def remembered(path: str, make, most: int = REMEMBERED) -> Remembered:
     """One memory for all tasks of a worker."""
-    return Remembered(path, make)
+    return worker_memory(("pieces", path, make), lambda: Remembered(path, make, most))
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

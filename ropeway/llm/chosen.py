@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ropeway.llm.base import bucketed, pack, query, stored, table
+from ropeway.llm.base import bucketed, pack, query, stored, table, worker_memory
 from ropeway.llm.components import components
 from ropeway.llm.streams import Sets, runs, sorted_groups
 
@@ -29,7 +28,7 @@ DEVIATIONS = 4.0
 #: Documents of a block that is compared on whole sets in one task.
 BLOCK = 300
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Representatives of one bucket of their table, about 300 MB.
 REPS_PER_BUCKET = 500_000
 
@@ -53,9 +52,8 @@ class _Hashes(dict):
         return made
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return worker_memory("words", _Hashes)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -188,27 +186,27 @@ def candidates(reps: DataFrame) -> DataFrame:
     """
     kind = dict(reps.dtypes)["rep"]
     plain = f"node bigint, rep {kind}"
-    level, edges = 0, None
+    level, leaves, rest = 0, None, None
     rows = stored(reps.select("rep", "sketch").mapInArrow(_children(0), plain), "nodes")
     while True:
         counts = stored(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("root")).where("size > 1"), "node-sizes")
         small = rows.hint("merge").join(counts.where(F.col("size") <= SMALL).select("node"), "node")
-        near = (
-            small.hint("merge").join(reps, "rep").select("node", "rep", "n", "sketch")
-            .repartition("node").sortWithinPartitions("node")
-            .mapInArrow(_compared, f"rep {kind}, root {kind}").distinct()
-        )
-        near = stored(near, "near")
-        edges = near if edges is None else edges.unionByName(near)
+        leaves = small if leaves is None else leaves.unionByName(small)
         large = counts.where(F.col("size") > SMALL)
         if not large.limit(1).count():
-            return edges
+            break
         if level == LEVELS:
-            rest = rows.hint("merge").join(large.select("node", "root"), "node").where("rep <> root").select("rep", "root").distinct()
-            return edges.unionByName(rest)
+            rest = rows.hint("merge").join(large.select("node", "root"), "node").where("rep <> root").select("rep", "root")
+            break
         level += 1
         inside = rows.hint("merge").join(large.select("node"), "node")
         rows = stored(inside.hint("merge").join(reps.select("rep", "sketch"), "rep").mapInArrow(_children(level), plain), "nodes")
+    near = (
+        leaves.hint("merge").join(reps, "rep").select("node", "rep", "n", "sketch")
+        .repartition("node").sortWithinPartitions("node")
+        .mapInArrow(_compared, f"rep {kind}, root {kind}")
+    )
+    return near if rest is None else near.unionByName(rest)
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +294,10 @@ def exact_classes(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFr
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = groups.hint("merge").join(stored(sizes, "group-sizes"), "grp").select(
         "rep", "grp", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+    # through a table of its own, else the texts would be dealt to the few buckets of the representatives
+    keyed = stored(placed.join(reps.select("rep", "key"), "rep"), "placed")
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    members = stored(placed.join(reps.select("rep", "key"), "rep").hint("merge").join(texts, "rep"), "members")
+    members = stored(keyed.hint("merge").join(texts, "rep"), "members")
     alone = F.lit(-1).cast("int").alias("side")
     within = _run_exact(members.select(
         F.concat_ws("|", F.col("grp").cast("string"), "block").alias("task"), alone, "rep", "key", F.col("rep").alias("part"), "text"), kind, "within")

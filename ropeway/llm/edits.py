@@ -14,6 +14,8 @@ from ropeway.llm.bpe import SPLIT, VOCABULARY, remembered
 
 #: Pre-tokens of one leaf.
 LEAF = 32
+#: Pieces whose number of tokens a worker remembers; numbers take little room.
+REMEMBERED = 1_000_000
 #: Characters that the splitting pattern may look beyond the end of a match.
 AHEAD = 3
 
@@ -124,7 +126,7 @@ def count_trees(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = remembered(path, len)
+        known = remembered(path, len, REMEMBERED)
         for batch in batches:
             trees = []
             for text in batch["text"].to_pylist():
@@ -159,7 +161,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str =
         own, F.col("_doc") == F.col("_edited"), "left").select(F.col("_doc").alias("doc_id"), "text", "chars", "tokens", "sums", "edits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = remembered(path, len)
+        known = remembered(path, len, REMEMBERED)
         for batch in batches:
             ids, out = batch["doc_id"], []
             for text, chars, tokens, sums, changes in zip(

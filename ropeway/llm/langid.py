@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ropeway.llm.base import query, stored, table
+from ropeway.llm.base import query, stored, table, worker_memory
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Labelled documents a language is fitted on, those with the smallest hashes.
@@ -27,7 +27,7 @@ PRIOR, UNKNOWN = 0.01, 1e-7
 #: Fitting documents up to which their ids are broadcast.
 FEW = 100_000
 #: Words one worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Characters of a word that is summed with others at once, words of one such step, characters of a step of a longer word.
 SHORT, CHUNK, LONG_STEP = 31, 4096, 4096
 #: Texts whose new words are looked up together.
@@ -299,16 +299,9 @@ def predict(docs: DataFrame, model: dict, path: str = VOCABULARY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
 def _scorer(path: str, table_: np.ndarray) -> Scorer:
     """One memory for all tasks of a worker, for the model used last."""
-    key = (path, table_.tobytes())
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(path, table_)
-    return _scorers[key]
+    return worker_memory(("language", path, table_.tobytes()), lambda: Scorer(path, table_))
 
 
 def held_out(doc_id: Column) -> Column:
