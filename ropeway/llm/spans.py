@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -17,6 +18,10 @@ from ropeway.llm.base import pack, query, stored, table
 WINDOW = 3
 #: Words from which a line counts as a passage whose repetition matters.
 MIN_WORDS = 25
+#: Words of a repeated passage that is found wherever it starts, and of the windows that find it.
+PASSAGE, GRAM = 50, 41
+#: Words of a text that are hashed at a time.
+BLOCK = 1 << 15
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -160,6 +165,93 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ).distinct()
 
 
+_POWERS = np.cumprod(np.full(BLOCK + PASSAGE, 0x9E3779B97F4A7C15, np.uint64))
+_INVERSES = np.cumprod(np.full(BLOCK + PASSAGE, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
+
+
+def _chosen(words: list[bytes]) -> list[int]:
+    """First words of the windows that are digested.
+
+    Of each PASSAGE - GRAM + 1 neighbouring windows the one with the smallest hash is
+    taken, so equal passages of PASSAGE words choose the same window inside them.
+    """
+    out = set()
+    for at in range(0, len(words) - PASSAGE + 1, BLOCK):
+        block = words[at : at + BLOCK + PASSAGE - 1]
+        values = np.fromiter(map(xxhash.xxh3_64_intdigest, block), np.uint64, len(block))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _POWERS[: len(block)])))
+        hashes = (sums[GRAM:] - sums[:-GRAM]) * _INVERSES[: len(block) - GRAM + 1]
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(29)
+        near = np.lib.stride_tricks.sliding_window_view(hashes, PASSAGE - GRAM + 1)
+        out.update((np.unique(near.argmin(axis=1) + np.arange(len(near))) + at).tolist())
+    return sorted(out)
+
+
+def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            words = text.lower().encode().split()
+            if len(words) < PASSAGE:
+                continue
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            space = np.concatenate(([True], (code == 32) | ((code >= 9) & (code <= 13)), [True]))
+            starts, stops = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+            first = _chosen(words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([xxhash.xxh3_128_digest(b" ".join(words[k : k + GRAM])) for k in first], pa.binary()),
+                    pa.array([doc] * len(first), pa.int64()),
+                    pa.array(starts[first], pa.int64()),
+                    pa.array(stops[np.array(first) + GRAM - 1], pa.int64()),
+                ],
+                schema=_PASSAGES,
+            )
+
+
+_PASSAGES = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+
+
+def word_windows(docs: DataFrame) -> DataFrame:
+    """Chosen windows of GRAM normalised words, across lines: 128-bit digest, doc_id, start, stop."""
+    return _texts(docs).mapInArrow(_passage_batches, "digest binary, doc_id bigint, start bigint, stop bigint")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans of a document that overlap or touch, as one."""
+    order = Window.partitionBy("doc_id").orderBy("start", "stop")
+    opens = F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    return (
+        spans.withColumn("_opens", opens.cast("int"))
+        .withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "_run")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+        .drop("_run")
+    )
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Spans to remove: lines as in ``repeated_units`` and passages of words wherever they start.
+
+    Each word of a removed passage lies in GRAM words in a row that occurred before, in
+    an earlier document or earlier in its own; white space and case do not count.
+    Every passage of PASSAGE words that repeats loses GRAM words at least; up to
+    PASSAGE - GRAM words at either end stay.  Where a passage overlaps the one it
+    repeats, that one stays.  Returns doc_id, start and stop (characters of the
+    original text, stop exclusive), which do not overlap.  Shorter passages inside
+    lines, NULL texts and rows without doc_id lose nothing; rows that repeat an id and
+    text count as one document.  An empty table gives an empty table.
+    """
+    windows = word_windows(docs)
+    rank = F.struct("doc_id", "start", "stop")
+    firsts = windows.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first < last")
+    later = windows.hint("merge").join(stored(firsts.select("digest", "first"), "passages"), "digest").where(rank > F.col("first"))
+    own = F.col("doc_id") == F.col("first.doc_id")
+    start = F.when(own, F.greatest("start", F.col("first.stop") + 1)).otherwise(F.col("start"))
+    passages = later.select("doc_id", start.alias("start"), "stop")
+    return _merged(passages.union(repeated_units(docs).select("doc_id", "start", "stop")).distinct())
+
+
 def _cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
     def one(text, spans):
         if text is None or spans is None:
@@ -177,8 +269,9 @@ def _cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans cut from their texts, other columns untouched.
 
-    ``spans`` has doc_id, start and stop and covers whole lines that do not overlap;
-    a cut line takes its line end along.  A text that loses all lines becomes empty.
+    ``spans`` has doc_id, start and stop and covers whole lines, or whole words, that do
+    not overlap; a cut takes the line end or white space behind it along.  A text that
+    loses all lines becomes empty.
     """
     cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_cuts"))
@@ -231,3 +324,9 @@ FROM (SELECT *, CAST(coalesce(list_sum(list_transform(a[:unit], lambda x: length
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of ``documents`` to remove, each with its original offsets and the line that stays."""
     return repeated_units(table(spark, sf, "documents"))
+
+
+@query("op9_repeated_passages")
+def op9_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of ``documents`` to remove: repeated lines and passages that repeat inside lines or across them."""
+    return repeated_passages(table(spark, sf, "documents"))

@@ -67,3 +67,40 @@ def test_cutting_keeps_the_rest(docs, spark):
 def test_empty(docs):
     empty = docs([(1, "a")]).where("false")
     assert spans.repeated_windows(empty).count() == 0 == spans.repeated_units(empty).count()
+
+
+def words(r, n):
+    return " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randint(0, 999)) for _ in range(n))
+
+
+def test_passages_inside_differing_lines(docs, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK", 64)
+    r = random.Random(6)
+    rows, passages = [], []
+    for i in range(0, 60, 2):
+        passages.append(words(r, r.randint(50, 90)))
+        rows.append((i, f"{words(r, r.randint(0, 200))} {passages[-1]} {words(r, 30)}"))
+        again = passages[-1].upper().replace(" ", r.choice([" ", "  ", "\n"]))
+        rows.append((i + 1, f"\u0130\U0001f600 {words(r, r.randint(0, 200))} {again} {words(r, 30)}"))
+    rows += [(90, None), (91, ""), (None, rows[0][1]), rows[0]]
+    frame = docs(rows)
+    got = defaultdict(list)
+    for x in spans.repeated_passages(frame).collect():
+        got[x.doc_id].append(dict(rows)[x.doc_id][x.start : x.stop].lower().split())
+    assert sorted(got) == list(range(1, 60, 2))
+    for i, ((found,), passage) in enumerate(zip((got[k] for k in sorted(got)), passages, strict=True)):
+        assert len(found) >= max(spans.GRAM, len(passage.split()) - 2 * (spans.PASSAGE - spans.GRAM)), i
+        assert " ".join(found) in passage.lower()
+    left = {x.doc_id: x.text for x in spans.without(frame, spans.repeated_passages(frame)).collect()}
+    assert left[0] == rows[0][1] and left[90] is None
+    assert [len(left[i].split()) for i in got] == [len(dict(rows)[i].split()) - len(got[i][0]) for i in got]
+
+
+def test_passage_that_repeats_itself_keeps_one(docs):
+    frame = docs([(1, " ".join(["x"] * 300))])
+    left = spans.without(frame, spans.repeated_passages(frame)).first().text
+    assert set(left.split()) == {"x"} and spans.GRAM <= len(left.split()) <= spans.GRAM + spans.PASSAGE
+
+
+def test_no_passages_in_an_empty_table(docs):
+    assert spans.repeated_passages(docs([(1, "a")]).where("false")).count() == 0
