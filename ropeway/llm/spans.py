@@ -230,8 +230,50 @@ def _merged(spans: DataFrame) -> DataFrame:
     )
 
 
+def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            start, rows = 0, []
+            for line in text.split("\n"):
+                words = line.lower().encode().split()
+                if words:
+                    rows.append((xxhash.xxh3_128_digest(b" ".join(words)), doc, len(rows), len(words), start, start + len(line)))
+                start += len(line) + 1
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
+
+
+_LINES = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.int32()),
+                    ("start", pa.int64()), ("stop", pa.int64())])
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """Every line with a word: digest as in ``units``, doc_id, number among these lines, words, start, stop."""
+    return _texts(docs).mapInArrow(
+        _line_batches, "digest binary, doc_id bigint, line int, words int, start bigint, stop bigint")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Runs of neighbouring repeated lines of ``min_words`` words in all, as doc_id, start and stop.
+
+    Lines without a word between two of them neither end a run nor count.
+    """
+    later = _later(lines(docs), "line").select("doc_id", "line", "words", "start", "stop").distinct()
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
+    return (
+        later.withColumn("_run", F.col("line") - place)
+        .groupBy("doc_id", "_run")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("_words"))
+        .where(F.col("_words") >= min_words)
+        .select("doc_id", "start", "stop")
+    )
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Spans to remove: lines as in ``repeated_units`` and passages of words wherever they start.
+    """Spans to remove: runs of repeated lines and passages of words wherever they start.
+
+    Neighbouring lines that all occurred before go when they have MIN_WORDS words in all.
 
     Each word of a removed passage lies in GRAM words in a row that occurred before, in
     an earlier document or earlier in its own; white space and case do not count.
@@ -249,7 +291,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     own = F.col("doc_id") == F.col("first.doc_id")
     start = F.when(own, F.greatest("start", F.col("first.stop") + 1)).otherwise(F.col("start"))
     passages = later.select("doc_id", start.alias("start"), "stop")
-    return _merged(passages.union(repeated_units(docs).select("doc_id", "start", "stop")).distinct())
+    return _merged(passages.union(repeated_runs(docs)).distinct())
 
 
 def _cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:

@@ -104,3 +104,14 @@ def test_passage_that_repeats_itself_keeps_one(docs):
 
 def test_no_passages_in_an_empty_table(docs):
     assert spans.repeated_passages(docs([(1, "a")]).where("false")).count() == 0
+
+
+def test_runs_of_short_lines(docs):
+    r = random.Random(7)
+    wrapped = "\n".join(words(r, 6) for _ in range(5))
+    short = "\n".join(words(r, 6) for _ in range(4))
+    rows = [(1, f"a\n{wrapped}\nb\n{short}\nc"), (2, f"d\n{wrapped.upper()}\ne"), (3, f"f\n{short}\ng"),
+            (4, "h\n" + wrapped.replace("\n", "\n \n") + "\ni"), (5, "".join(f"{x}\nown {k}\n" for k, x in enumerate(wrapped.split("\n"))))]
+    got = {x.doc_id: dict(rows)[x.doc_id][x.start : x.stop] for x in spans.repeated_passages(docs(rows)).collect()}
+    # 24 words in a row are too few, and so is each line by itself
+    assert got == {2: wrapped.upper(), 4: wrapped.replace("\n", "\n \n")}
