@@ -41,25 +41,23 @@ def _frames(spark, sf):
 
 @query("m3_random_forest")
 def random_forest(spark, sf):
-    names, train, val, _ = _frames(spark, sf)
-    model = M.fit_forest(train, names, "is_anomaly", trees=20, depth=6)
-    return M.evaluate(M.score(model, val), "is_anomaly")
+    names, train, val, test = _frames(spark, sf)
+    return M.held_out(M.fit_forest(train, names, "is_anomaly"), val, test, "is_anomaly")
 
 
 @query("m4_forest_grid")
 def forest_grid(spark, sf):
-    names, train, val, _ = _frames(spark, sf)
-    grid = [{"trees": 10, "depth": d, "min_leaf": m} for d in (3, 5) for m in (5, 10)]
-    return M.grid_search(train, val, names, "is_anomaly", grid)
+    names, train, val, test = _frames(spark, sf)
+    return M.grid_search(train, val, names, "is_anomaly", test=test)
 
 
 @query("m5_logistic_baseline")
 def logistic_baseline(spark, sf):
-    names, train, val, _ = _frames(spark, sf)
-    return M.evaluate(M.score(M.fit_logistic(train, names, "is_anomaly", 20), val), "is_anomaly")
+    names, train, val, test = _frames(spark, sf)
+    return M.held_out(M.fit_logistic(train, names, "is_anomaly"), val, test, "is_anomaly")
 
 
 @query("m6_feature_importance")
 def feature_importance(spark, sf):
     names, train, _, _ = _frames(spark, sf)
-    return M.importances(M.fit_forest(train, names, "is_anomaly", trees=20, depth=6), names, train)
+    return M.importances(M.fit_forest(train, names, "is_anomaly"), names, train)

@@ -59,15 +59,38 @@ def evaluate(scored: DataFrame, label: str, name: str = "score") -> DataFrame:
     return areas(counts, [], name).select("roc_auc", "pr_auc", best["f1_threshold"].alias("threshold"), best["f1"].alias("f1"))
 
 
-def grid_search(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, grid=FOREST_GRID) -> DataFrame:
-    """Validation PR-AUC of every forest setting on the fixed temporal split."""
-    out = None
+def held_out(model, val: DataFrame, test: DataFrame, label: str) -> DataFrame:
+    """``evaluate`` on the validation frame and, at the threshold found there, on the test frame: a row each."""
+    on_val = evaluate(score(model, val), label).first()
+    cut = on_val["threshold"]
+    scored = score(model, test)
+    hit, true = F.col("score") >= F.lit(cut), F.col(label) == 1
+    f1 = scored.agg((2 * F.count_if(hit & true) / F.nullif(F.count_if(hit) + F.count_if(true), F.lit(0))).alias("f1")).first()["f1"]
+    on_test = areas(score_counts(scored, [], "score", label), [], "score").first()
+    rows = [("val", *(on_val[c] for c in ("roc_auc", "pr_auc", "threshold", "f1"))), ("test", on_test["roc_auc"], on_test["pr_auc"], cut, f1)]
+    return val.sparkSession.createDataFrame(
+        rows, "split string, roc_auc double, pr_auc double, threshold double, f1 double")
+
+
+def grid_search(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, grid=FOREST_GRID,
+                test: DataFrame | None = None) -> DataFrame:
+    """Validation PR-AUC of every forest setting on the fixed temporal split.
+
+    With ``test``, the setting with the largest PR-AUC (the first of equal ones) is scored there too.
+    """
+    rows, best = [], None
     for i, g in enumerate(grid):
         model = fit_forest(train, features, label, g["trees"], g["depth"], g["min_leaf"])
-        row = evaluate(score(model, val), label).select(
-            F.lit(i).alias("setting"), *[F.lit(v).alias(k) for k, v in g.items()], "roc_auc", "pr_auc")
-        out = row if out is None else out.union(row)
-    return out
+        got = evaluate(score(model, val), label).first()
+        rows.append([i, *g.values(), got["roc_auc"], got["pr_auc"]])
+        if best is None or (got["pr_auc"] or 0.0) > best[0]:
+            best = (got["pr_auc"] or 0.0, i, model)
+    schema = ", ".join(["setting int", *(f"{k} int" for k in grid[0]), "roc_auc double", "pr_auc double"])
+    if test is not None:
+        got = areas(score_counts(score(best[2], test), [], "score", label), [], "score").first()
+        rows = [[*r, *((got["roc_auc"], got["pr_auc"]) if r[0] == best[1] else (None, None))] for r in rows]
+        schema += ", test_roc_auc double, test_pr_auc double"
+    return train.sparkSession.createDataFrame(rows, schema)
 
 
 def importances(model, features: Sequence[str], df: DataFrame) -> DataFrame:
