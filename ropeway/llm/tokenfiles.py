@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -11,10 +12,11 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ropeway.llm.base import query, stored, table, worker_memory
 from ropeway.session import scratch_path
@@ -26,16 +28,21 @@ END_ID = 2
 SHARD_IDS, TASK_BYTES = 2_000_000, 24 << 20
 #: A pair becomes a rule from so many uses on; one round takes the pairs down to this part of the most frequent one's uses.
 LEAST_USES, ROUND_SHARE = 32, 16
+#: Entries of a table of pairs, beyond which pairs are searched.
+TABLE = 1 << 22
 #: Symbols of the sequence between two stored positions.
 ANCHOR = 256
 #: Words a worker remembers, their characters at most, and texts encoded together.
-REMEMBERED, LONGEST_WORD, TEXTS = 600_000, 64, 256
+REMEMBERED, LONGEST_WORD, TEXTS = 1_000_000, 64, 256
 #: Writing tasks whose totals meet in one window.
 GROUP = 1000
 
 #: One mark between an ASCII letter or digit and white space: a token border for the vocabulary's pattern.
 _MARK = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[\x20\x09-\x0d]|\Z)")
 
+#: Words that are in composed form and lower case already: ASCII without capitals, small letters of Latin-1.
+_PLAIN = re.compile("[!-@\\[-~ß-öø-ÿ]+")
+
 MAGIC = b"TIDS0001"
 #: Task, number within the task, documents, terminals, rules, symbols, ids, bytes of a symbol.
 _HEAD = struct.Struct("<8s8Q")
@@ -64,10 +71,20 @@ def pairs_to_replace(symbols: np.ndarray, known: int, least: int) -> tuple[np.nd
     starts[(wanted // wide(known)).astype(np.int64)] = True
     stops[(wanted % wide(known)).astype(np.int64)] = True
     at = np.flatnonzero(starts[symbols[:-1]] & stops[symbols[1:]])
-    own = keys[at]
-    place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-    hit = wanted[place] == own
-    at, ranks = at[hit], rank[place[hit]]
+    rows, columns = np.cumsum(starts) - 1, np.cumsum(stops) - 1
+    if (size := (rows[-1] + 1) * (columns[-1] + 1)) <= TABLE:
+        # first and second symbols that occur in wanted pairs, against each other
+        ranked = np.full(size, -1, np.int32)
+        rows *= columns[-1] + 1
+        ranked[rows[wanted // wide(known)] + columns[wanted % wide(known)]] = rank
+        ranks = ranked[rows[symbols[at]] + columns[symbols[at + 1]]]
+        hit = ranks >= 0
+        at, ranks = at[hit], ranks[hit]
+    else:
+        own = keys[at]
+        place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+        hit = wanted[place] == own
+        at, ranks = at[hit], rank[place[hit]]
     # a chain of one rank is a stretch of one symbol
     chained = np.append(False, (np.diff(at) == 1) & (ranks[1:] == ranks[:-1]))
     place = np.arange(len(at))
@@ -218,6 +235,8 @@ class Words:
 
     The vocabulary's file lower-cases, and splits at white space before anything else
     looks at two words together, so a text's ids are those of its lower-cased words.
+    Words that its normaliser leaves as they are go to the library's model piece by
+    piece, the pieces cut by the file's pattern; other words take the whole way.
     A word over LONGEST_WORD characters is not kept for later texts.
     """
 
@@ -225,7 +244,14 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.tokenizer.no_truncation()
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
+        self.pieces = regex.compile(steps[0]["pattern"]["Regex"])
+        # the byte step's letters for the code points that _PLAIN lets through
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))}
         self._forget()
 
     def _forget(self) -> None:
@@ -234,10 +260,19 @@ class Words:
 
     def _learn(self) -> None:
         """Encodes the words that were numbered since the last call, the last numbers being new."""
-        found = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in self.number.fresh], add_special_tokens=False)]
+        found = list(map(self._ids, self.number.fresh))
         self.sizes = np.append(self.sizes, np.fromiter(map(len, found), np.int64, len(found)))
         self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32))
 
+    def _ids(self, word: bytes) -> list[int]:
+        if word.isalpha():  # ASCII letters, one piece
+            return [x.id for x in self.model.tokenize(word.decode())]
+        text = word.decode()
+        if not _PLAIN.fullmatch(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        pieces = self.pieces.findall(text)
+        return [x.id for p in pieces for x in self.model.tokenize(p if p.isascii() else p.translate(self.letters))]
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, END_ID after each, and how many belong to each."""
         if len(self.number) > REMEMBERED:
