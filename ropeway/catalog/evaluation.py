@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ropeway.catalog.base import KE, SC, kpi_events, query, r6, scored_events, sql_f32, sql_r6, table
 from ropeway.functions.scalar import f32
 from ropeway.operators import evaluate as E
+from ropeway.operators import resample
 
 CM = """SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND NOT y) AS tn,
  count(*) FILTER (NOT p AND y) AS fn FROM (SELECT {pred} AS p, is_anomaly = 1 AS y FROM {src})"""
@@ -97,10 +98,52 @@ def weight_search(spark, sf):
     return out.select("grid_id", r6(F.col("roc_auc")).alias("roc_auc"), "best")
 
 
-@query("e9_bootstrap_interval")
+#: Replicates and seed of the bootstraps, and the most rows of one score that their SQL draws for.
+REPLICATES, SEED, SQL_ROWS = 1000, 42, 20
+
+
+def digit_key(tag, value):
+    """The key of a draw from the digits of a SHA-256, which SQL has too."""
+    digits = F.concat(F.lit(f"{tag}:"), F.floor(value * float(1 << 40)).cast("bigint").cast("string"))
+    return F.pmod(F.conv(F.substring(F.sha2(digits, 256), 1, 15), 16, 10).cast("bigint"), F.lit(resample.PRIME))
+
+
+def sql_key(tag, value):
+    digits = f"sha256('{tag}:' || CAST(CAST(floor({value} * {float(1 << 40)!r}::DOUBLE) AS BIGINT) AS VARCHAR))"
+    return f"('0x' || substr({digits}, 1, 15))::BIGINT % {resample.PRIME}"
+
+
+SQL_REPLICATES = "rep AS (SELECT r, " + ", ".join(
+    f"('0x' || substr(sha256('{SEED}:' || r), {8 * i + 1}, 8))::BIGINT % {resample.PRIME} AS {c}" for i, c in enumerate("abcd")) + (
+    f" FROM range(1, {REPLICATES + 1}) t(r))")
+
+
+def sql_weight(key, n):
+    """Poisson weight of ``n`` rows in a replicate, by the bounds of the inverse distribution."""
+    prime = resample.PRIME
+    u = f"(((a * {key} + b) % {prime} * {key} + c) % {prime} * {key} + d) % {prime}"
+    at = lambda k: " + ".join(f"CAST(u >= {x} AS BIGINT)" for x in resample.poisson_bounds(k)[1].tolist())
+    cases = " ".join(f"WHEN {k} THEN {at(k)}" for k in range(1, SQL_ROWS + 1))
+    return f"(SELECT CASE {n} WHEN 0 THEN 0 {cases} END FROM (SELECT {u} AS u))"
+
+
+BOOT_METRICS = {"roc_auc": "auc / (p * n)", "pr_auc": "ap / p", "f1": "2 * tp / (p + tp + fp)", "precision": "coalesce(tp / nullif(tp + fp, 0), 0)",
+                "recall": "tp / p", "mcc": "coalesce((tp * (n - fp) - fp * (p - tp)) / nullif(sqrt((tp + fp) * p * n * (n - fp + p - tp)), 0), 0)"}
+
+
+@query("e9_bootstrap_interval", f"""WITH {SC}, k AS (SELECT s1, sum(is_anomaly) AS n_pos, sum(1 - is_anomaly) AS n_neg FROM sc GROUP BY 1),
+kk AS (SELECT *, {sql_key('pos', 's1')} AS kp, {sql_key('neg', 's1')} AS kn FROM k), {SQL_REPLICATES},
+w AS (SELECT r, s1, {sql_weight('kp', 'n_pos')} AS wp, {sql_weight('kn', 'n_neg')} AS wn FROM kk, rep),
+c AS (SELECT r, s1, wp, wn, sum(wp) OVER o AS tp, sum(wn) OVER o AS fp FROM w WINDOW o AS (PARTITION BY r ORDER BY s1 DESC ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT r, sum(wp)::DOUBLE AS p, sum(wn)::DOUBLE AS n, sum(CASE WHEN s1 >= 0.5 THEN wp ELSE 0 END)::DOUBLE AS tp,
+ sum(CASE WHEN s1 >= 0.5 THEN wn ELSE 0 END)::DOUBLE AS fp, sum(wn * (tp - wp / 2.0::DOUBLE)) AS auc,
+ sum(wp * tp / greatest(tp + fp, 1)::DOUBLE) AS ap FROM c GROUP BY r HAVING sum(wp) > 0 AND sum(wn) > 0),
+m AS (SELECT {', '.join(f'{e} AS {m}' for m, e in BOOT_METRICS.items())} FROM s)
+SELECT {', '.join(f"{sql_r6(f'avg({m})')} AS {m}_mean, {sql_r6(f'quantile_cont({m}, 0.025)')} AS {m}_low, {sql_r6(f'quantile_cont({m}, 0.975)')} AS {m}_high" for m in BOOT_METRICS)},
+ count(*) AS replicates FROM m""")
 def bootstrap(spark, sf):
-    sc = scored_events(spark, sf).withColumn("score", F.round("s1", 3))
-    return E.bootstrap_areas(E.score_counts(sc, [], "score", "is_anomaly"), "score")
+    counts = E.score_counts(scored_events(spark, sf), [], "s1", "is_anomaly")
+    return _r(resample.bootstrap_metrics(counts, "s1", REPLICATES, seed=SEED, key=digit_key), "replicates")
 
 
 CASCADE = SC + f""", cs AS (SELECT *, s1 >= 0.05 AS f, s1 >= 0.05 AND s2 >= 0.95 AS b, CASE WHEN s1 >= 0.05 THEN s2 ELSE s1 / 2 END AS e FROM sc),
@@ -213,14 +256,16 @@ def gate(spark, sf):
     return E.gate(_cascade(spark, sf), LIMITS).withColumn("value", r6(F.col("value")))
 
 
-@query("e22_off_policy", f"""WITH {KE}, r AS (SELECT kpi, CASE WHEN event_type = 'purchase' THEN 0.4 ELSE 0.15 END::DOUBLE / 0.2::DOUBLE AS w FROM ke)
-SELECT {sql_f32('avg(w * kpi)')} AS value, {sql_r6('max(w)')} AS max_weight, {sql_f32('1.96 * stddev_samp(w * kpi) / sqrt(count(*))')} AS half_width, {sql_f32('avg(kpi)')} AS logged,
- CAST(abs(avg(w * kpi)) > 1.96 * stddev_samp(w * kpi) / sqrt(count(*)) AS INTEGER) AS excludes_zero FROM r""")
+@query("e22_off_policy", f"""WITH {KE}, r AS (SELECT kpi, CASE WHEN event_type = 'purchase' THEN 0.4 ELSE 0.15 END::DOUBLE / 0.2::DOUBLE AS w FROM ke),
+k AS (SELECT w * kpi AS v, count(*) AS n FROM r WHERE w * kpi IS NOT NULL GROUP BY 1), kk AS (SELECT *, {sql_key('mean', 'v')} AS kv FROM k), {SQL_REPLICATES},
+d AS (SELECT r, v, {sql_weight('kv', 'n')} AS x FROM kk, rep), m AS (SELECT sum(x * v) / sum(x) AS mean FROM d GROUP BY r HAVING sum(x) > 0),
+i AS (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m)
+SELECT {sql_f32('avg(w * kpi)')} AS value, (SELECT {sql_f32('low')} FROM i) AS low, (SELECT {sql_f32('high')} FROM i) AS high,
+ {sql_r6('max(w)')} AS max_weight, {sql_f32('avg(kpi)')} AS logged, (SELECT CAST(low > 0 OR high < 0 AS INTEGER) FROM i) AS excludes_zero FROM r""")
 def off_policy(spark, sf):
     target = F.when(F.col("event_type") == "purchase", 0.4).otherwise(0.15)
-    out = E.off_policy(kpi_events(spark, sf), "kpi", target, F.lit(0.2))
-    return out.select(f32(F.col("value")).alias("value"), r6(F.col("max_weight")).alias("max_weight"),
-                      f32(F.col("half_width")).alias("half_width"), f32(F.col("logged")).alias("logged"), "excludes_zero")
+    out = E.off_policy(kpi_events(spark, sf), "kpi", target, F.lit(0.2), REPLICATES, seed=SEED, key=digit_key)
+    return out.select(*[f32(F.col(c)).alias(c) for c in ("value", "low", "high", "logged")], r6(F.col("max_weight")).alias("max_weight"), "excludes_zero")
 
 
 @query("e23_attribution_ranking", f"""WITH a AS (SELECT 'quantity' AS feature, l_quantity - 25 AS v FROM lineitem UNION ALL SELECT 'discount', l_discount * 100 FROM lineitem

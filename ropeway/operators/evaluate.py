@@ -6,13 +6,13 @@ area and threshold search is an ordered running sum over that table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ropeway.plans.prefix import quantile_grid, running_sums, value_counts
+from ropeway.operators.resample import bootstrap_means, hashed_key, intervals
+from ropeway.plans.prefix import exact_quantiles, quantile_grid, running_sums, value_counts
 from ropeway.plans.skew import attach
 
 # Search limits, gates, and the ensemble weight grid.
@@ -175,69 +175,6 @@ def weight_search(df: DataFrame, scores: Sequence[str], label: str,
     return out.withColumn("best", (F.col("grid_id") == winner).cast("int"))
 
 
-def _poisson_tables(limit: int) -> Column:
-    rows = []
-    for n in range(limit + 1):
-        term, total, cdf = math.exp(-n), 0.0, []
-        for k in range(4 * limit + 1):
-            total += term
-            cdf.append(total)
-            if total > 1 - 1e-12:
-                break
-            term *= n / (k + 1)
-        rows.append(F.array(*[F.lit(c) for c in cdf]))
-    return F.array(*rows)
-
-
-def _poisson(n: Column, u: Column) -> Column:
-    """Poisson(n) at the uniform ``u`` for n above 30: the distribution summed from ten deviations below the mean."""
-    low = F.greatest(F.floor(n - 10 * F.sqrt(n)), F.lit(0).cast("bigint"))
-    high = F.ceil(n + 10 * F.sqrt(n))
-    at = F.greatest(low.cast("double"), F.lit(1.0))
-    log_factorial = at * F.log(at) - at + 0.5 * F.log(2 * math.pi * at) + 1 / (12 * at) - 1 / (360 * at * at * at)
-    exact = F.log(F.factorial(F.least(low, F.lit(20).cast("bigint")).cast("int")))
-    first = F.exp(low * F.log(n) - n - F.when(low <= 20, exact).otherwise(log_factorial))
-    start = F.struct(first.alias("p"), F.lit(0.0).alias("below"), low.alias("k"))
-    return F.aggregate(F.sequence(low, high), start, lambda s, k: F.struct(
-        (s["p"] * n / (k + 1)).alias("p"), (s["below"] + s["p"]).alias("below"),
-        F.when(s["below"] + s["p"] < u, k + 1).otherwise(s["k"]).alias("k")), lambda s: s["k"])
-
-
-def bootstrap_areas(counts: DataFrame, score: str, replicates: int = 1000, level: float = 0.95,
-                    seed: int = 42, stratified: bool = True) -> DataFrame:
-    """Percentile interval of both areas from Poisson-weighted score counts.
-
-    A score held by n rows weighs Poisson(n) in a replicate, which is the sum of n
-    Poisson(1) row weights, drawn by inverting its distribution at any n.  Seeds are
-    hashes of (score, class, replicate), so a recomputed task draws the same weights.
-    ``counts`` is one row per distinct (rounded) score.
-    """
-    scale = F.lit(2.0**63)
-
-    def uniform(tag: str) -> Column:
-        h = F.xxhash64(F.lit(seed), F.lit(tag), F.col(score), F.col("replicate"))
-        return (h.cast("double") / scale + 1) / 2
-
-    tables = _poisson_tables(30)
-
-    def weight(n: str) -> Column:
-        u = F.least(F.greatest(uniform(n), F.lit(1e-12)), F.lit(1 - 1e-12))
-        small = F.size(F.filter(F.element_at(tables, F.least(F.col(n), F.lit(30)).cast("int") + 1), lambda c: c < u))
-        return F.when(F.col(n) <= 30, small).otherwise(_poisson(F.col(n).cast("double"), u)).cast("long")
-
-    draws = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draws = draws.select("replicate", score, weight("n_pos").alias("n_pos"), weight("n_neg").alias("n_neg"))
-    per = areas(draws, ["replicate"], score)
-    if stratified:
-        per = per.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    tail = (1 - level) / 2
-    return per.agg(*[
-        c for m in ("roc_auc", "pr_auc") for c in (
-            F.avg(m).alias(f"{m}_mean"), F.percentile(m, tail).alias(f"{m}_low"),
-            F.percentile(m, 1 - tail).alias(f"{m}_high"))
-    ], F.count(F.lit(1)).alias("replicates"))
-
-
 def cascade(df: DataFrame, s1: str, s2: str, label: str, t1: float, t2: float) -> DataFrame:
     """Stage 2 decides only what stage 1 flags."""
     first = F.col(s1) >= t1
@@ -271,8 +208,6 @@ def histogram(df: DataFrame, score: str, label: str, bins: int = 50) -> DataFram
 
 def correlation_baseline(df: DataFrame, features: Sequence[str], label: str, prob: float = 0.95) -> DataFrame:
     """Best correlated feature above its p95, and the majority class, as F1 baselines."""
-    from ropeway.plans.prefix import exact_quantiles
-
     corr = df.agg(*[F.coalesce(F.abs(correlation(f, label)), F.lit(0.0)).alias(f) for f in features]).first()
     best = max(features, key=lambda f: (round(corr[f], 12), -features.index(f)))
     cut = exact_quantiles(df, [], best, {"t": prob}).first()["t"]
@@ -363,11 +298,18 @@ def annual_impact(metrics: DataFrame, year_share: float = 0.25) -> DataFrame:
         (fp * unit / (tp + 1e-9)).alias("cost_per_detection"))
 
 
-def off_policy(df: DataFrame, reward: str, target: Column, behaviour: Column) -> DataFrame:
-    """Importance-weighted mean reward, largest weight and a normal 95 % interval."""
+def off_policy(df: DataFrame, reward: str, target: Column, behaviour: Column, replicates: int = 1000,
+               level: float = 0.95, seed: int = 42, key=hashed_key) -> DataFrame:
+    """Importance-weighted mean reward, its bootstrap percentile interval, largest weight and logged mean.
+
+    ``excludes_zero`` tells whether the interval lies on one side of zero, the gate a
+    candidate policy must pass.  Rows of equal weighted reward are drawn together.
+    """
     w = target / behaviour
-    r = w * F.col(reward)
-    out = df.agg(
-        F.avg(r).alias("value"), F.max(w).alias("max_weight"),
-        (1.96 * F.stddev_samp(r) / F.sqrt(F.count(r))).alias("half_width"), F.avg(reward).alias("logged"))
-    return out.withColumn("excludes_zero", (F.abs("value") > F.col("half_width")).cast("int"))
+    weighted = df.withColumns({"_w": w, "_r": w * F.col(reward)})
+    point = weighted.agg(F.avg("_r").alias("value"), F.max("_w").alias("max_weight"), F.avg(reward).alias("logged"))
+    means = bootstrap_means(value_counts(weighted, [], "_r"), "_r", replicates, seed, key)
+    low, high = F.col("mean_low"), F.col("mean_high")
+    x = intervals(means, ["mean"], level).select(F.struct(
+        low.alias("low"), high.alias("high"), ((low > 0) | (high < 0)).cast("int").alias("excludes_zero"))).scalar()
+    return point.select("value", x["low"].alias("low"), x["high"].alias("high"), "max_weight", "logged", x["excludes_zero"].alias("excludes_zero"))

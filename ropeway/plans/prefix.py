@@ -34,13 +34,14 @@ def as_number(column: Column, dtype: str) -> Column:
     return column.cast("double")
 
 
-def cut_points(df: DataFrame, order: str, source: DataFrame | None = None) -> list[float]:
+def cut_points(df: DataFrame, order: str, source: DataFrame | None = None, limit: int | None = None) -> list[float]:
     """Bucket borders; empty when the whole frame fits one task.
 
     ``source`` is a cheaper frame with at least as many rows; when it is small
-    enough, ``df`` itself is not evaluated.
+    enough, ``df`` itself is not evaluated.  ``limit`` replaces the rows that a task
+    holds where a row is more work than a comparison.
     """
-    limit = rows_per_task(df.sparkSession)
+    limit = min(limit or math.inf, rows_per_task(df.sparkSession))
     if source is not None and source.count() <= limit:
         return []
     n = df.count()

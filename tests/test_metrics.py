@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ropeway.operators import drift as D
 from ropeway.operators import evaluate as E
+from ropeway.operators import resample
 from ropeway.operators.peers import leave_one_out_z
 from ropeway.operators.splits import assert_no_overlap, split_report, temporal_split
 from ropeway.functions import scalar as S
@@ -32,14 +34,60 @@ def test_auc_is_antisymmetric_and_split_free(tiny_tasks):
     assert a == pytest.approx(brute) and a + b == pytest.approx(1.0)
 
 
-def test_bootstrap_interval_contains_the_point(spark):
+def test_bootstrap_interval_contains_the_point(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(round(rng.gauss(0.6 if i % 3 == 0 else 0.4, 0.2), 2), int(i % 3 == 0)) for i in range(300)]
     counts = E.score_counts(scored(spark, rows), [], "score", "y")
     point = E.areas(counts, [], "score").first()["roc_auc"]
-    first = E.bootstrap_areas(counts, "score", 100).first()
+    first = resample.bootstrap_metrics(counts, "score", 100).first()
     assert first["roc_auc_low"] < point < first["roc_auc_high"]
-    assert first == E.bootstrap_areas(counts, "score", 100).first()
+    # many buckets and small chunks draw the same weights
+    monkeypatch.setattr(resample, "DRAWN_VALUES", 9)
+    monkeypatch.setattr(resample, "CHUNK", 4)
+    again = resample.bootstrap_metrics(counts, "score", 100).first()
+    assert list(again) == pytest.approx(list(first), abs=1e-12)
+
+
+def test_bootstrap_replicates_equal_weighted_rows(spark, monkeypatch):
+    monkeypatch.setattr(resample, "DRAWN_VALUES", 5)
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 30) / 30, rng.random() < 0.4) for _ in range(200)] + [(0.5, False)] * 90
+    counts = E.score_counts(scored(spark, [(s, int(y)) for s, y in rows]), [], "score", "y")
+    key = lambda tag, c: F.pmod(F.floor(c * 30).cast("bigint") + (1000 if tag == "pos" else 5000), F.lit(resample.PRIME))
+    coefs = resample.coefficients(40, 7)
+    at = sorted({s for s, _ in rows}, reverse=True)
+    have = {c: np.array([sum(s == t and y == (c == "pos") for s, y in rows) for t in at]) for c in ("pos", "neg")}
+    draws = {c: resample.weights(np.array([int(np.floor(s * 30)) + (1000 if c == "pos" else 5000) for s in at]), have[c], coefs) for c in have}
+    aucs, aps, f1s = [], [], []
+    for r in range(40):
+        p, n = draws["pos"][:, r], draws["neg"][:, r]
+        aucs.append(sum(p[i] * n[j] * ((i < j) + 0.5 * (i == j)) for i in range(len(at)) for j in range(len(at))) / (p.sum() * n.sum()))
+        aps.append(sum(p[i] / p.sum() * p[: i + 1].sum() / max(1, p[: i + 1].sum() + n[: i + 1].sum()) for i in range(len(at))))
+        up = np.array(at) >= 0.5
+        f1s.append(2 * p[up].sum() / (p.sum() + p[up].sum() + n[up].sum()))
+    out = resample.bootstrap_metrics(counts, "score", 40, seed=7, key=key).first()
+    for name, values in (("roc_auc", aucs), ("pr_auc", aps), ("f1", f1s)):
+        want = [np.mean(values), np.percentile(values, 2.5), np.percentile(values, 97.5)]
+        assert [out[f"{name}_{x}"] for x in ("mean", "low", "high")] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 3, 30, 31, 900, 250_000])
+def test_poisson_weights_have_the_right_moments(n):
+    keys = np.arange(1, 4001)
+    drawn = resample.weights(keys, np.full(len(keys), n), resample.coefficients(25, 1)).astype(float)
+    assert drawn.mean() == pytest.approx(n, abs=5 * (n / drawn.size) ** 0.5)
+    assert drawn.var() == pytest.approx(n, rel=0.05)
+
+
+def test_off_policy_interval(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(rng.gauss(1.0, 2.0), rng.random() < 0.5) for _ in range(400)] + [(None, True)], "reward double, up boolean")
+    target = F.when(F.col("up"), 0.8).otherwise(0.2)
+    out = E.off_policy(df, "reward", target, F.lit(0.5), 300).first()
+    assert out["low"] < out["value"] < out["high"] and out["excludes_zero"] == 1 and out["max_weight"] == pytest.approx(1.6)
+    rows = [(1.6 if r["up"] else 0.4) * r["reward"] for r in df.collect() if r["reward"] is not None]
+    assert out["high"] - out["low"] == pytest.approx(2 * 1.96 * np.std(rows) / len(rows) ** 0.5, rel=0.25)
+    assert E.off_policy(df.where("reward > 1e9"), "reward", target, F.lit(0.5), 10).first()["low"] is None
 
 
 def test_wasserstein_of_equal_samples_is_zero_and_shift_is_shift(tiny_tasks):
