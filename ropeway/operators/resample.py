@@ -18,7 +18,7 @@ from ropeway.session import durable
 #: Uniforms are whole numbers below this prime.
 PRIME = (1 << 31) - 1
 #: Values whose weights one task draws, and values held by it at once.
-DRAWN_VALUES, CHUNK = 2_500, 500
+DRAWN_VALUES, CHUNK = 2_500, 64
 #: Thresholds up to which a draw is compared with each of them.
 COMPARED = 64
 
@@ -32,12 +32,17 @@ def coefficients(replicates: int, seed: int) -> np.ndarray:
 def uniforms(keys: np.ndarray, coefs: np.ndarray) -> np.ndarray:
     """Keys by replicates: a cubic polynomial of the key modulo PRIME, so any four keys are independent."""
     k, mask, shift = keys.astype(np.uint64)[:, None], np.uint64(PRIME), np.uint64(31)
-    x = np.broadcast_to(coefs[0], (len(keys), coefs.shape[1]))
+    x, over = np.empty((2, len(keys), coefs.shape[1]), np.uint64)
+    x[:] = coefs[0]
     for c in coefs[1:]:
-        x = x * k + c
-        x = (x & mask) + (x >> shift)
-        x = (x & mask) + (x >> shift)
-    return np.where(x >= mask, x - mask, x).astype(np.int64)
+        x *= k
+        x += c
+        for _ in range(2):
+            np.right_shift(x, shift, out=over)
+            x &= mask
+            x += over
+    x[x >= mask] -= mask
+    return x.view(np.int64)
 
 
 @lru_cache(maxsize=4096)
@@ -57,9 +62,10 @@ def weights(keys: np.ndarray, sizes: np.ndarray, coefs: np.ndarray) -> np.ndarra
         rows = np.flatnonzero(sizes == size)
         drawn, (low, bounds) = uniforms(keys[rows], coefs), poisson_bounds(size)
         if len(bounds) <= COMPARED:
-            more = np.zeros(drawn.shape, np.uint8)
-            for b in bounds.tolist():
-                more += drawn >= b
+            drawn, more, reached = drawn.astype(np.uint32), np.zeros(drawn.shape, np.uint8), np.empty(drawn.shape, bool)
+            for b in bounds.astype(np.uint32):
+                np.greater_equal(drawn, b, out=reached)
+                more += reached.view(np.uint8)
         else:
             more = np.searchsorted(bounds, drawn, "right")
         out[rows] = low + more.astype(np.int64)
