@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,13 +139,38 @@ def test_chunk_lengths(spark):
 
 def test_vector_search_in_query_blocks(spark):
     rng = random.Random(1)
-    vec = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(80)]
+    vec = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(80)] + [(99, None)]
     corpus = spark.createDataFrame(vec, "vec_id long, v array<double>")
     queries = spark.createDataFrame(vec[:30], "q long, v array<double>")
-    rows = lambda b: sorted((r["q"], r["rank"], r["vec_id"]) for r in DOC.nearest_vectors(corpus, queries, "vec_id", "q", "v", 3, b).collect())
-    whole = rows(4096)
-    assert len(whole) == 90 and whole == rows(8)
+    rows = lambda *b: sorted((r["q"], r["rank"], r["vec_id"]) for r in DOC.nearest_vectors(corpus, queries, "vec_id", "q", "v", 3, *b).collect())
+    whole = rows()
+    assert len(whole) == 90 and whole == rows(8, 60)
     assert all(v == q for q, rank, v in whole if rank == 1)
+    assert DOC.nearest_vectors(corpus.where("false"), queries, "vec_id", "q", "v").count() == 0
+    assert DOC.nearest_vectors(corpus, queries.where("false"), "vec_id", "q", "v").count() == 0
+
+
+def test_many_queries_equal_brute_force(spark, monkeypatch):
+    """More queries than any block, ties by id, and a plan that does not grow with them."""
+    monkeypatch.setattr(DOC, "STEP", 16)
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(120, 4)).round(1) + 0.05
+    vecs[60:70] = vecs[0]
+    asked = rng.normal(size=(10_500, 4)) + 0.01
+    corpus = spark.createDataFrame([(f"c{i:03d}", v.tolist()) for i, v in enumerate(vecs)], "c string, v array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "q int, v array<double>").repartition(4)
+    found = DOC.nearest_vectors(corpus, queries, "c", "q", "v", 4, 3000, 200)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 1
+    got = {}
+    for r in found.orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["c"], round(r["score"], 9)))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = (unit(asked) @ unit(vecs).T).round(9)
+    for i in range(len(asked)):
+        best = sorted(range(120), key=lambda c: (-scores[i, c], c))[:4]
+        assert [s for _, s in got[i]] == [scores[i, c] for c in best]
+        if len({scores[i, c] for c in best}) == 4:
+            assert [c for c, _ in got[i]] == [f"c{c:03d}" for c in best]
 
 
 def test_hmac_equals_library(spark):
