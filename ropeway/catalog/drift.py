@@ -12,14 +12,18 @@ LONG = """lg AS (SELECT feature, hour(ts) AS hour, CASE WHEN ts < TIMESTAMP '202
  UNION ALL SELECT ts, 'growth', value * (1 + dayofmonth(ts) / 10.0::DOUBLE) FROM events))"""
 
 
-def samples(spark, sf):
+#: Fixed value: p-value below which an hour differs.
+KS_P_VALUE = 0.01
+
+
+def samples(spark, sf, *more):
     v = F.col("value")
     feats = F.explode(F.create_map(
         F.lit("value"), v, F.lit("k"), F.get_json_object("props", "$.k").cast("double"),
         F.lit("growth"), v * (1 + F.dayofmonth("ts") / F.lit(10.0)))).alias("feature", "value")
     return table(spark, sf, "events").select(
         F.hour("ts").alias("hour"),
-        F.when(F.col("ts") < "2024-01-16", "ref").otherwise("cur").alias("side"), feats)
+        F.when(F.col("ts") < "2024-01-16", "ref").otherwise("cur").alias("side"), *more, feats)
 
 
 def _dist(groups):
@@ -81,16 +85,24 @@ def robust_drift(spark, sf):
     return out.select("feature", r6(F.col("robust_score")).alias("robust_score"), r6(F.col("score")).alias("score"), "data_quality_alert")
 
 
-@query("f8_ks_test", f"""WITH {LONG}, {_dist(['feature', 'hour'])}, p AS (SELECT feature, hour, ks, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * k * k * ks * ks * n_ref * n_cur / (n_ref + n_cur))) FROM range(1, 21) t(k)) AS p FROM ds),
+@query("f8_ks_test", f"""WITH {LONG.replace("hour(ts) AS hour", "hour(ts) AS hour, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot")},
+sl AS (SELECT DISTINCT feature, hour, slot FROM lg WHERE side = 'cur' AND value IS NOT NULL),
+pr AS (SELECT sl.feature, sl.hour, sl.slot, value, 1 AS r, 0 AS c FROM sl JOIN lg USING (feature, hour) WHERE side = 'ref' AND value IS NOT NULL
+ UNION ALL SELECT feature, hour, slot, value, 0, 1 FROM lg WHERE side = 'cur' AND value IS NOT NULL),
+ct AS (SELECT feature, hour, slot, value, sum(r) AS r, sum(c) AS c FROM pr GROUP BY 1, 2, 3, 4),
+ds AS (SELECT feature, hour, slot, max(gap) AS ks, sum(r) AS n_ref, sum(c) AS n_cur FROM (SELECT *, abs(sum(r) OVER w / sum(r) OVER g - sum(c) OVER w / sum(c) OVER g) AS gap FROM ct
+ WINDOW w AS (PARTITION BY feature, slot ORDER BY value ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY feature, slot)) GROUP BY 1, 2, 3),
+p AS (SELECT feature, hour, slot, ks, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * k * k * ks * ks * n_ref * n_cur / (n_ref + n_cur))) FROM range(1, 21) t(k)) AS p FROM ds WHERE n_ref > 0),
 c AS (SELECT *, least(greatest(p, 0), 1) AS pv FROM p)
-SELECT feature, CAST(hour AS INTEGER) AS hour, {sql_r6('ks')} AS ks, {sql_r6('pv')} AS p_value,
- CAST(sum(CAST(pv < 0.01 AS INTEGER)) OVER (PARTITION BY feature ORDER BY hour RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) = 6 AS INTEGER) AS sustained FROM c""")
+SELECT feature, CAST(hour AS INTEGER) AS hour, slot, {sql_r6('ks')} AS ks, {sql_r6('pv')} AS p_value,
+ CAST(sum(CAST(pv < {KS_P_VALUE} AS INTEGER)) OVER (PARTITION BY feature ORDER BY slot RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) = 6 AS INTEGER) AS sustained FROM c""")
 def ks_test(spark, sf):
     from ropeway.operators.windows import sustained
-    d = D.cdf_distances(samples(spark, sf), ["feature", "hour"])
+    long = samples(spark, sf, F.floor(F.unix_timestamp("ts") / 3600).alias("slot"))
+    d = D.calendar_ks(long.where("side = 'ref'"), long.where("side = 'cur'"), ["feature"], "hour", "slot")
     d = d.withColumn("p_value", D.ks_p_value(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
-    out = sustained(d, ["feature"], "hour", F.col("p_value") < 0.01, periods=6, position=F.col("hour").cast("int"))
-    return out.select("feature", "hour", r6(F.col("ks")).alias("ks"), r6(F.col("p_value")).alias("p_value"), "sustained")
+    out = sustained(d, ["feature"], "slot", F.col("p_value") < KS_P_VALUE, periods=6, position=F.col("slot"))
+    return out.select("feature", "hour", "slot", r6(F.col("ks")).alias("ks"), r6(F.col("p_value")).alias("p_value"), "sustained")
 
 
 @query("f9_quality_profile", f"""WITH {KG} SELECT CAST(epoch(time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS window_epoch, cluster_id, count(*) AS n,

@@ -173,13 +173,15 @@ sg AS (SELECT snap, count(*) AS cells, count(DISTINCT id // 10) AS sites, avg(de
  quantile_cont(degree, 0.5) AS p50, quantile_cont(degree, 0.75) AS p75, quantile_cont(degree, 0.9) AS p90 FROM dg GROUP BY 1)"""
 
 
-@query("f14_topology_signature", f"""WITH {_SIG}, n AS (SELECT snap, count(*) AS edges FROM sn GROUP BY 1), f AS (SELECT * FROM sg WHERE snap = (SELECT min(snap) FROM sg))
-SELECT sg.snap, sg.cells, sg.sites, edges, {sql_f32('sg.m')} AS degree_mean, {sql_f32('sg.s')} AS degree_std, {sql_f32('sg.p50')} AS p50,
- {sql_f32('round(sqrt(power(sg.p10 - f.p10, 2) + power(sg.p25 - f.p25, 2) + power(sg.p50 - f.p50, 2) + power(sg.p75 - f.p75, 2) + power(sg.p90 - f.p90, 2)), 6)')} AS distance FROM sg JOIN n USING (snap), f""")
+@query("f14_topology_signature", f"""WITH RECURSIVE {_SIG}, n AS (SELECT snap, count(*) AS edges FROM sn GROUP BY 1),
+rc AS (SELECT snap, a AS id, a AS seen FROM sn UNION SELECT x.snap, y.a, rc.seen FROM rc JOIN sn x ON x.snap = rc.snap AND x.a = rc.id JOIN sn y ON y.snap = x.snap AND y.b = x.b),
+cp AS (SELECT snap, count(DISTINCT least_seen) AS components FROM (SELECT snap, id, min(seen) AS least_seen FROM rc GROUP BY 1, 2) GROUP BY 1), f AS (SELECT * FROM sg WHERE snap = (SELECT min(snap) FROM sg))
+SELECT sg.snap, sg.cells, sg.sites, edges, components, {sql_f32('sg.m')} AS degree_mean, {sql_f32('sg.s')} AS degree_std, {sql_f32('sg.p50')} AS p50,
+ {sql_f32('round(sqrt(power(sg.p10 - f.p10, 2) + power(sg.p25 - f.p25, 2) + power(sg.p50 - f.p50, 2) + power(sg.p75 - f.p75, 2) + power(sg.p90 - f.p90, 2)), 6)')} AS distance FROM sg JOIN n USING (snap) JOIN cp USING (snap), f""")
 def topology_signature(spark, sf):
     sig = G.topology_signature(_snapshots(spark, sf), "snap", "a", "b", F.floor(F.col("id") / 10))
     out = G.signature_distance(sig, "snap")
-    return out.select("snap", "cells", "sites", "edges", *[f32(F.col(c)).alias(c) for c in ("degree_mean", "degree_std", "p50")],
+    return out.select("snap", "cells", "sites", "edges", "components", *[f32(F.col(c)).alias(c) for c in ("degree_mean", "degree_std", "p50")],
                       f32(F.round("distance", 6)).alias("distance"))
 
 
@@ -188,7 +190,7 @@ d AS (SELECT sg.snap, sqrt(power(sg.p10 - f.p10, 2) + power(sg.p25 - f.p25, 2) +
 c AS (SELECT snap, sum(x - 0.5) OVER (ORDER BY snap) AS c FROM d), s AS (SELECT snap, c - least(min(c) OVER (ORDER BY snap), 0) AS s FROM c)
 SELECT snap, CAST(max(CAST(s > 3 AS INTEGER)) OVER (ORDER BY snap) AS INTEGER) AS alarm FROM s""")
 def topology_alarm(spark, sf):
-    sig = G.topology_signature(_snapshots(spark, sf), "snap", "a", "b", F.floor(F.col("id") / 10))
+    sig = G.topology_signature(_snapshots(spark, sf), "snap", "a", "b", F.floor(F.col("id") / 10), labelled=False)
     far = G.signature_distance(sig, "snap").withColumn("view", F.lit("network"))
     return cusum_flag(far, ["view"], "snap", "distance").select("snap", "alarm")
 

@@ -16,16 +16,12 @@ from ropeway.sources import alarms, sinks
 from ropeway.streaming import jobs, stateful
 
 
-#: State partitions of the drains below; a live stream over more data is given more.
-STATE_PARTITIONS = 16
-
-
 @lru_cache(maxsize=4)
 def stream_session(spark):
-    """A session of its own for the streams, whose state partitions no other query sees."""
+    """A session of its own for the streams, with as many state partitions as the caller's session shuffles to."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", "UTC")
-    own.conf.set("spark.sql.shuffle.partitions", str(STATE_PARTITIONS))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     return own
 
 
@@ -114,16 +110,18 @@ def rolling_state(spark, sf):
                       *[f32(F.round(c, 6)).alias(c) for c in ("std_4h", "std_24h")])
 
 
-_X6 = """lg AS (SELECT 'kpi' AS feature, 'ref' AS side, value FROM events WHERE ts < TIMESTAMP '2024-01-16' UNION ALL
- SELECT 'kpi', 'cur', value FROM (SELECT value FROM events WHERE ts >= TIMESTAMP '2024-01-16' ORDER BY ts DESC, event_id DESC LIMIT 5000))"""
+_X6 = """nm AS (SELECT 'kpi' AS feature, value, ts, event_id FROM events UNION ALL SELECT 'kpi_' || event_type, value, ts, event_id FROM events),
+lg AS (SELECT feature, 'ref' AS side, value FROM nm WHERE ts < TIMESTAMP '2024-01-16' UNION ALL SELECT feature, 'cur', value FROM (
+ SELECT *, row_number() OVER (PARTITION BY feature ORDER BY ts DESC, event_id DESC) AS rn FROM nm WHERE ts >= TIMESTAMP '2024-01-16') WHERE rn <= 5000)"""
 
 
 @query("x6_drift_monitor", f"""WITH {_X6}, {_dist(['feature'])}, {PSI} SELECT feature, {sql_r6('psi')} AS psi, {sql_r6('distance / greatest(ref_std, 1e-6)')} AS wasserstein, CAST(n_cur AS BIGINT) AS n_cur,
- CASE WHEN psi < 0.1 THEN 'OK' WHEN psi < 0.25 THEN 'YELLOW' ELSE 'RED' END AS psi_status FROM ds JOIN st USING (feature) JOIN ps USING (feature)""")
+ CASE WHEN psi < 0.1 THEN 'OK' WHEN psi < 0.25 THEN 'YELLOW' ELSE 'RED' END AS psi_status FROM ds JOIN st USING (feature) JOIN ps USING (feature) WHERE n_cur >= 50""")
 def drift_monitor(spark, sf):
     base = scratch_path(spark, "x6")
-    ref = kpi_events(spark, sf).where(F.col("ts") < "2024-01-16").select(F.lit("kpi").alias("feature"), F.col("kpi").alias("value"))
-    s = event_stream(spark, sf).where(F.col("ts") >= "2024-01-16").select(F.lit("kpi").alias("feature"), F.col("kpi").alias("value"), "ts", "event_id")
+    named = lambda df, *c: df.select(F.explode(F.array(F.lit("kpi"), F.concat(F.lit("kpi_"), "event_type"))).alias("feature"), F.col("kpi").alias("value"), *c)
+    ref = named(kpi_events(spark, sf).where(F.col("ts") < "2024-01-16"))
+    s = named(event_stream(spark, sf).where(F.col("ts") >= "2024-01-16"), "ts", "event_id")
     write = jobs.monitor_drift(ref, f"{base}/state", f"{base}/reports", "ts", "event_id")
     jobs.each_batch(s, write, f"{base}/cp").awaitTermination()
     out = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/reports")
@@ -154,13 +152,13 @@ def incidents(spark, sf):
     return drained(spark, s, "x9").select("cluster_id", F.unix_micros("started").alias("started_us"), F.unix_micros("closed").alias("closed_us"), "flags")
 
 
-@query("x10_corroborated", f"""WITH {KE}, f AS (SELECT DISTINCT cluster_id, CAST(floor(floor(epoch(ts)) / 900) AS BIGINT) * 900 AS fr FROM ke WHERE event_type = 'error'), a AS (SELECT DISTINCT cluster_id AS c, CAST(floor(floor(epoch(ts)) / 900) AS BIGINT) * 900 AS ar FROM ke WHERE event_type = 'signup'),
-m AS (SELECT least((SELECT max(fr) FROM f), (SELECT max(ar) FROM a)) - 3600 AS wm)
-SELECT cluster_id, fr AS flag_epoch, ar AS alarm_epoch FROM f LEFT JOIN a ON c = cluster_id AND ar BETWEEN fr AND fr + 1800, m WHERE ar IS NOT NULL OR fr + 1800 < wm""")
+@query("x10_corroborated", f"""WITH {KE}, f AS (SELECT DISTINCT cluster_id, epoch_us(ts) AS ft FROM ke WHERE event_type = 'error'), a AS (SELECT DISTINCT cluster_id AS c, epoch_us(ts) AS t FROM ke WHERE event_type = 'signup'),
+m AS (SELECT (least((SELECT max(ft) FROM f), (SELECT max(t) FROM a)) // 1000 - 3600000) * 1000 AS wm)
+SELECT cluster_id, ft AS flag_us, min(t) AS alarm_us FROM f LEFT JOIN a ON c = cluster_id AND t BETWEEN ft AND ft + 1800000000, m WHERE ft + 1800000000 < wm GROUP BY 1, 2""")
 def corroborated(spark, sf):
     flags, al = (event_stream(spark, sf).where(f"event_type = '{t}'") for t in ("error", "signup"))
     out = drained(spark, jobs.corroborated(flags, al, "cluster_id", "ts"), "x10")
-    return out.select("cluster_id", F.unix_timestamp("flag_rop").alias("flag_epoch"), F.unix_timestamp("alarm_rop").alias("alarm_epoch"))
+    return out.select("cluster_id", F.unix_micros("flag_time").alias("flag_us"), F.unix_micros("alarm_time").alias("alarm_us"))
 
 
 @query("x11_delayed_truth", f"""WITH {KE}, m AS (SELECT least(epoch_ms(max(ts)), epoch_ms(max(ts) FILTER (event_id % 4 = 0)) + 7200000) - 3600000 AS wm FROM ke)

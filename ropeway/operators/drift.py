@@ -62,9 +62,17 @@ def psi(long: DataFrame, groups: Sequence[str], value: str = "value", bins: int
     return per_bin.select(*groups, F.aggregate(ordered, F.lit(0.0), lambda a, b: a + term(b)).alias("psi"))
 
 
+def side_counts(long: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
+    """Rows of either side per (group, value): all that the distances and the report read."""
+    return value_counts(long, groups, value, {"n_ref": _side("ref"), "n_cur": _side("cur")})
+
+
 def cdf_distances(long: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
     """Raw Wasserstein distance and KS statistic per group from ordered value counts."""
-    counts = value_counts(long, groups, value, {"n_ref": _side("ref"), "n_cur": _side("cur")})
+    return count_distances(side_counts(long, groups, value), groups, value)
+
+
+def count_distances(counts: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
     acc = running_sums(counts, groups, value, {"c_ref": "n_ref", "c_cur": "n_cur"}, next_as="_next")
     totals = counts.groupBy(*groups).agg(
         F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"), F.count(F.lit(1)).alias("_rows"))
@@ -76,6 +84,33 @@ def cdf_distances(long: DataFrame, groups: Sequence[str], value: str = "value")
         F.max(gap).alias("ks"), F.max("t_ref").alias("n_ref"), F.max("t_cur").alias("n_cur"))
 
 
+def calendar_ks(reference: DataFrame, current: DataFrame, groups: Sequence[str], season: str, slot: str,
+                value: str = "value") -> DataFrame:
+    """KS statistic of every calendar slot against the reference of its season (hour of day).
+
+    ``reference`` has (groups, season, value), ``current`` (groups, season, slot,
+    value).  Between two values of a slot its own distribution stands still and the
+    reference only rises, so the largest gap lies at one of the slot's values, before
+    or after its step.  The reference is counted and summed once per season; each
+    slot looks up its values there instead of being sorted with a copy of it.
+    """
+    keys = [*groups, season]
+    ref = value_counts(reference, keys, value, {"n_ref": F.lit(1), "n_slot": F.lit(0)})
+    own = value_counts(current, [*keys, slot], value)
+    marks = own.select(*keys, value, F.lit(0).cast("long").alias("n_ref"), F.lit(1).cast("long").alias("n_slot"))
+    both = ref.unionByName(marks).groupBy(*keys, value).agg(F.sum("n_ref").alias("n_ref"), F.max("n_slot").alias("n_slot"))
+    placed = running_sums(both, keys, value, {"c_ref": "n_ref"}).where("n_slot > 0").select(
+        *keys, value, "c_ref", (F.col("c_ref") - F.col("n_ref")).alias("b_ref"))
+    totals = ref.groupBy(*keys).agg(F.sum("n_ref").alias("n_ref"))
+    steps = running_sums(own, [*keys, slot], value, {"c_cur": "n"}).join(placed, [*keys, value])
+    sizes = own.groupBy(*keys, slot).agg(F.sum("n").alias("n_cur"), F.count(F.lit(1)).alias("_rows"))
+    steps = attach(steps, sizes, [*keys, slot], rows="_rows").join(totals, keys)
+    gap = lambda c, r: F.abs(c / F.col("n_cur") - r / F.col("n_ref"))
+    return steps.groupBy(*keys, slot).agg(
+        F.max(F.greatest(gap(F.col("c_cur"), F.col("c_ref")), gap(F.col("c_cur") - F.col("n"), F.col("b_ref")))).alias("ks"),
+        F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
+
+
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 20) -> Column:
     """Asymptotic two-sample p-value."""
     lam2 = d * d * n * m / (n + m)
@@ -110,10 +145,39 @@ def status(score: Column, limits: Sequence[float]) -> Column:
 
 def feature_report(long: DataFrame, feature: str = "feature", minimum: int = 50) -> DataFrame:
     """PSI and standardised Wasserstein with statuses; ``retrain`` if any feature is red."""
-    groups = [feature]
-    stats = reference_stats(long, groups)
-    d = cdf_distances(long, groups).select(*groups, "distance")
-    out = stats.join(d, groups).join(psi(long, groups), groups).where(F.col("n_cur") >= minimum)
+    return count_report(side_counts(long, [feature]), feature, minimum)
+
+
+def count_report(counts: DataFrame, feature: str = "feature", minimum: int = 50, bins: int = 10) -> DataFrame:
+    """The report from (feature, value, n_ref, n_cur), one row per distinct value.
+
+    Bounds, moments, bins and distances all read the counts, whose shuffle they
+    share; bounds are a row per feature and join where adaptive execution finds them
+    small enough to broadcast.
+    """
+    groups, v = [feature], F.col("value")
+    mean = lambda n: F.sum(v * F.col(n)) / F.nullif(F.sum(n), F.lit(0))
+    have = lambda n: F.when(F.col(n) > 0, v)
+    bounds = counts.groupBy(feature).agg(
+        F.min(have("n_ref")).alias("ref_min"), F.max(have("n_ref")).alias("ref_max"), mean("n_ref").alias("ref_mean"),
+        mean("n_cur").alias("cur_mean"), F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    flat = F.col("ref_max") == F.col("ref_min")
+    low = F.when(flat, F.col("ref_min") - 0.5).otherwise(F.col("ref_min"))
+    high = F.when(flat, F.col("ref_max") + 0.5).otherwise(F.col("ref_max"))
+    at = F.least(F.greatest(F.floor((v - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    own = counts.select(feature, "value", F.col("n_ref").alias("r"), F.col("n_cur").alias("c")).join(bounds, groups)
+    square = lambda n, m: F.sum(F.col(n) * (v - F.col(m)) * (v - F.col(m)))
+    per_bin = own.groupBy(feature, at.alias("bin")).agg(
+        F.sum("r").alias("r"), F.sum("c").alias("c"), square("r", "ref_mean").alias("sr"), square("c", "cur_mean").alias("sc"))
+    share = lambda n, total: F.greatest(n / (total + PROPORTION_FLOOR), F.lit(PROPORTION_FLOOR))
+    per = per_bin.groupBy(feature).agg(
+        F.array_sort(F.collect_list(F.struct("bin", "r", "c"))).alias("b"), F.sum("r").alias("tr"), F.sum("c").alias("tc"),
+        F.sqrt(F.sum("sr") / F.nullif(F.sum("r"), F.lit(0))).alias("ref_std"), F.sqrt(F.sum("sc") / F.nullif(F.sum("c"), F.lit(0))).alias("cur_std"))
+    term = lambda p, q: (q - p) * F.log(q / p)
+    index = F.aggregate("b", F.lit(0.0), lambda x, b: x + term(share(b["r"], F.col("tr")), share(b["c"], F.col("tc"))))
+    moments = per.select(feature, index.alias("psi"), "ref_std", "cur_std")
+    distances = count_distances(counts, groups).select(feature, "distance")
+    out = bounds.join(moments, groups).join(distances, groups).where(F.col("n_cur") >= minimum)
     out = out.withColumn("wasserstein", F.col("distance") / F.greatest("ref_std", F.lit(1e-6)))
     out = out.withColumns({
         "psi_status": status(F.col("psi"), PSI_LIMITS),

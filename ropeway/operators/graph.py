@@ -208,8 +208,12 @@ def what_if(proposals: DataFrame) -> DataFrame:
         advice.alias("advice"))
 
 
-def topology_signature(edges: DataFrame, snapshot: str, source: str, target: str, site: Column) -> DataFrame:
-    """Cells, sites, edges and degree distribution per snapshot (``site`` is an expression on ``id``)."""
+def topology_signature(edges: DataFrame, snapshot: str, source: str, target: str, site: Column, labelled: bool = True) -> DataFrame:
+    """Cells, sites, edges, components and degree distribution per snapshot (``site`` is an expression on ``id``).
+
+    Components are labelled over (snapshot, cell) nodes, so all snapshots share the
+    rounds; without ``labelled`` they are left out.
+    """
     from ropeway.plans.prefix import exact_quantiles
 
     pair = edges.select(snapshot, F.col(source).alias("a"), F.col(target).alias("b"))
@@ -220,7 +224,12 @@ def topology_signature(edges: DataFrame, snapshot: str, source: str, target: str
         F.avg("degree").alias("degree_mean"), F.stddev_pop("degree").alias("degree_std"))
     q = exact_quantiles(deg, [snapshot], "degree", {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)})
     n = edges.groupBy(snapshot).agg(F.count(F.lit(1)).alias("edges"))
-    return base.join(q, snapshot).join(n, snapshot)
+    if not labelled:
+        return base.join(q, snapshot).join(n, snapshot)
+    node = lambda c: F.struct(F.col(snapshot).alias("at"), F.col(c).alias("cell"))
+    labels = components(pair.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    roots = labels.where("id = component").groupBy(F.col("id.at").alias(snapshot)).agg(F.count(F.lit(1)).alias("components"))
+    return base.join(q, snapshot).join(n, snapshot).join(roots, snapshot)
 
 
 def signature_distance(signatures: DataFrame, snapshot: str) -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ropeway.operators.aggregates import tumbling
-from ropeway.operators.drift import feature_report
+from ropeway.operators.drift import count_report
+from ropeway.plans.prefix import value_counts
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -107,26 +108,18 @@ def incidents(df: DataFrame, keys: Sequence[str], time: str, gap: str = "30 minu
     return out.select(*keys, F.col("s.start").alias("started"), F.col("s.end").alias("closed"), "flags")
 
 
-def period_start(time: str, minutes: int = 15) -> Column:
-    step = minutes * 60
-    return F.timestamp_seconds(F.floor(F.unix_timestamp(time) / step) * step)
-
-
 def corroborated(flags: DataFrame, alarms: DataFrame, key: str, time: str, within: str = "30 minutes",
                  delay: str = "1 hour") -> DataFrame:
-    """Flagged periods with the alarm periods of the following half hour, or none.
+    """Every flag (key, flag time) with the first alarm of the following half hour, or none.
 
-    Both sides collapse to one row per cell and period first, so a flag meets at
-    most three alarm rows however many alarms a cell sends.
+    Times are compared as they are: an alarm at the flag's time or at the end of the
+    interval counts.  The interval join keeps both sides for as long as they can
+    still meet, the aggregate behind it keeps one alarm per open flag.
     """
-
-    def periods(df: DataFrame, cell: str, name: str) -> DataFrame:
-        out = df.select(F.col(key).alias(cell), period_start(time).alias(name))
-        return out.withWatermark(name, delay).dropDuplicates([cell, name])
-
-    f, a = periods(flags, key, "flag_rop"), periods(alarms, "_cell", "alarm_rop")
-    near = f"_cell = {key} AND alarm_rop >= flag_rop AND alarm_rop <= flag_rop + INTERVAL {within}"
-    return f.join(a, F.expr(near), "leftOuter").drop("_cell")
+    f = flags.select(key, F.col(time).alias("flag_time")).withWatermark("flag_time", delay)
+    a = alarms.select(F.col(key).alias("_cell"), F.col(time).alias("alarm_time")).withWatermark("alarm_time", delay)
+    near = f"_cell = {key} AND alarm_time >= flag_time AND alarm_time <= flag_time + INTERVAL {within}"
+    return f.join(a, F.expr(near), "leftOuter").groupBy(key, "flag_time").agg(F.min("alarm_time").alias("alarm_time"))
 
 
 def with_delayed_truth(predictions: DataFrame, truth: DataFrame, key: str, time: str, truth_time: str,
@@ -138,25 +131,43 @@ def with_delayed_truth(predictions: DataFrame, truth: DataFrame, key: str, time:
     return p.join(t, F.expr(near), "leftOuter").drop("_truth_key")
 
 
+def newest(rows: DataFrame, time: str, tie: str, keep: int) -> DataFrame:
+    """The last ``keep`` rows of each feature: the last ones of every hashed share first, then those of all shares.
+
+    No task sorts more of a feature than its share or ``keep`` rows a share.
+    """
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for by in (["feature", "_share"], ["feature"]):
+        order = Window.partitionBy(*by).orderBy(F.col(time).desc(), F.col(tie).desc())
+        if "_share" in by:
+            rows = rows.withColumn("_share", F.pmod(F.xxhash64(time, tie), F.lit(shares)))
+        rows = rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= keep).drop("_rn")
+    return rows.drop("_share")
+
+
 def monitor_drift(reference: DataFrame, state: str, reports: str, time: str, tie: str, keep: int = 5000) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer: newest ``keep`` values per feature and their drift report.
 
-    Batches are (feature, value, time, tie); the kept rows of batch n are written
-    beside those of n-1, so a retried batch starts from the same state.
+    Batches are (feature, value, time, tie); values that are no number are not kept.
+    The reference (feature, value) is counted once, its counts are part of the state
+    and every report reads them.  The kept rows of batch n are written beside those
+    of n-1, so a retried batch starts from the same state.
     """
-    from pyspark.sql import Window
-
-    newest = Window.partitionBy("feature").orderBy(F.col(time).desc(), F.col(tie).desc())
+    counts = f"{state}/reference"
+    value_counts(reference, ["feature"], "value", {"n_ref": F.lit(1)}).write.mode("overwrite").parquet(counts)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("feature", "value", time, tie)
+        rows = batch.select("feature", "value", time, tie).where("value IS NOT NULL AND NOT isnan(value)")
         if batch_id > 0:
             rows = rows.unionByName(spark.read.parquet(f"{state}/{batch_id - 1}"))
-        kept = rows.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= keep).drop("_rn")
-        kept.write.mode("overwrite").parquet(f"{state}/{batch_id}")
-        current = spark.read.parquet(f"{state}/{batch_id}").select("feature", "value", F.lit("cur").alias("side"))
-        both = reference.select("feature", "value", F.lit("ref").alias("side")).unionByName(current)
-        feature_report(both).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{reports}/{batch_id}")
+        newest(rows, time, tie, keep).write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        ref = spark.read.parquet(counts).withColumn("n_cur", F.lit(0).cast("long"))
+        cur = value_counts(spark.read.parquet(f"{state}/{batch_id}"), ["feature"], "value", {"n_cur": F.lit(1)})
+        both = ref.unionByName(cur.withColumn("n_ref", F.lit(0).cast("long"))).groupBy("feature", "value").agg(
+            F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+        # features without a reference have no report
+        known = both.join(spark.read.parquet(counts).select("feature").distinct(), "feature", "left_semi")
+        count_report(known).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{reports}/{batch_id}")
 
     return write
