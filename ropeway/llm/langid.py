@@ -6,6 +6,7 @@ import math
 import string
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,11 @@ PRIOR, UNKNOWN = 0.01, 1e-7
 #: Fitting documents up to which their ids are broadcast.
 FEW = 100_000
 #: Words one worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 1_500_000
 #: Characters of a word that is summed with others at once, words of one such step, characters of a step of a longer word.
 SHORT, CHUNK, LONG_STEP = 31, 4096, 4096
-#: Texts whose new words are looked up together.
-TEXTS = 64
+#: Words that are looked up together.
+STEP_WORDS = 300_000
 #: Punctuation that is cut from the edges of words.
 EDGES = string.punctuation + "«»“”„‘’…¿¡–—"
 #: Smallest score with which a document passes.
@@ -182,15 +183,18 @@ def fit(labelled: DataFrame, path: str = VOCABULARY, docs: int = FIT_DOCS, round
     times a few less, where hashes lie unevenly).  Their
     distinct words and counts stay distributed; each round computes expected piece
     counts by forward and backward sums in tasks and adds them up.  What reaches the
-    driver is one number per piece and language.  Words over SHORT characters take no
-    part in fitting.  Returns {"langs": [...], "table": pieces + 1 rows by language}.
+    driver is a count per language and one number per piece and language, bounded by
+    the vocabulary times the number of labels.  Words over SHORT characters are fitted
+    in stretches of that length.  Returns {"langs": [...], "table": pieces + 1 rows by language}.
     """
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     # of each language only hashes that can be among the smallest reach its window, however many tasks read it
     enough = docs + 10 * math.sqrt(docs) + 20
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, enough / n)]) if rows else F.create_map(F.lit(""), F.lit(0.0))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    near = usable.select("doc_id", "lang", place.alias("_place")).join(counts, "lang").where(F.col("_place") * F.col("_rows") < enough)
+    # a literal per language, so that only the few rows below it are shuffled
+    near = usable.select("doc_id", "lang", place.alias("_place")).where(F.col("_place") < share[F.col("lang")])
     first = Window.partitionBy("lang").orderBy("_place", "doc_id")
     chosen = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs)
     chosen = chosen.select("doc_id", F.col("lang").alias("_lang")).distinct()
@@ -200,7 +204,7 @@ def fit(labelled: DataFrame, path: str = VOCABULARY, docs: int = FIT_DOCS, round
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                parts = [w for w in (x.strip(EDGES) for x in words(text)) if 0 < len(w) <= SHORT]
+                parts = [w[k : k + SHORT] for w in cores(text) for k in range(0, len(w), SHORT)]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(parts), pa.string()), "word": pa.array(parts, pa.string())})
 
     counts = stored(
@@ -237,43 +241,98 @@ def _expectations(counts: DataFrame, path: str, langs: list[str], table_: np.nda
     return counts.mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
+class Remembered:
+    """Log likelihoods of words by 64-bit hashes, in sorted arrays of at most ``most`` words.
+
+    Hashes take an eighth of what words take; that two of a worker's words share one
+    has a chance of 10^-7.  Beyond ``most`` words those stay that were asked for since
+    the last time.
+    """
+
+    def __init__(self, width: int, most: int):
+        self.most, self.width = most, width
+        self._keep(slice(0), np.zeros(0, np.int64), np.zeros((0, width)))
+
+    def _keep(self, which, keys: np.ndarray, rows: np.ndarray) -> None:
+        self.keys, self.rows = keys[which], rows[which]
+        self.asked = np.zeros(len(self.keys), bool)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``keys`` and which of them are known."""
+        out, known = np.zeros((len(keys), self.width)), np.zeros(len(keys), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            self.asked[at[known]] = True
+            out[known] = self.rows[at[known]]
+        return out, known
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Takes in sorted new ``keys``."""
+        if len(self.keys) + len(keys) > self.most:
+            self._keep(self.asked.copy(), self.keys, self.rows)
+            if len(self.keys) + len(keys) > self.most:
+                self._keep(slice(0), self.keys, self.rows)
+        at = np.searchsorted(self.keys, keys)
+        asked = np.insert(self.asked, at, True)
+        self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows, axis=0)
+        self.asked = asked
+
+
 class Scorer:
-    """Sums of word log likelihoods, with a bounded memory of words."""
+    """Sums of word log likelihoods; a step looks each distinct word up once."""
 
     def __init__(self, path: str, table_: np.ndarray):
         self.own = lattice(path)
         self.rows = np.vstack([table_, np.zeros(table_.shape[1])])
-        self._forget()
-
-    def _forget(self):
-        self.seen: dict[str, int] = {}
-        self.cores: dict[str, int] = {"": 0}
-        self.values = np.zeros((1, self.rows.shape[1]))
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Log likelihood of every text under every language; white space and edge punctuation say nothing."""
-        if len(self.seen) > REMEMBERED:
-            self._forget()
-        split = [words(t) for t in texts]
-        core = {w: w.strip(EDGES) for w in {w for parts in split for w in parts}.difference(self.seen)}
-        new = sorted(set(core.values()).difference(self.cores))
-        if new:
-            self.cores.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
-            self.values = np.vstack([self.values, self.own.log_likelihoods(new, self.rows)])
-        self.seen.update((w, self.cores[c]) for w, c in core.items())
-        at = self.seen.__getitem__
-        return [self.values[np.fromiter(map(at, parts), np.int64, len(parts))].sum(0) for parts in split]
+        self.memory = Remembered(table_.shape[1], REMEMBERED)
+
+    def texts(self, split: list[list[str]]) -> np.ndarray:
+        """Log likelihood of the words of every text under every language, a row for each text."""
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        total = np.zeros((len(split), self.rows.shape[1]))
+        if not sizes.any():
+            return total
+        flat = list(chain.from_iterable(split))
+        keys, first, place = np.unique(np.fromiter(map(hash, flat), np.int64, len(flat)), return_index=True, return_inverse=True)
+        rows, known = self.memory.find(keys)
+        new = np.flatnonzero(~known)
+        if len(new):
+            rows[new] = self.own.log_likelihoods([flat[i] for i in first[new].tolist()], self.rows)
+            self.memory.add(keys[new], rows[new])
+        full = np.flatnonzero(sizes)
+        total[full] = np.add.reduceat(rows[place], (np.cumsum(sizes) - sizes)[full])
+        return total
+
+
+def cores(text: str) -> list[str]:
+    """Words without the punctuation at their edges, which says nothing."""
+    return [c for w in words(text) if (c := w.strip(EDGES))]
 
 
 def told(texts: list[str | None], scorer: Scorer | None) -> list[tuple[int, float] | None]:
     """The best language and its posterior for each text; None for texts that say nothing."""
     out: list[tuple[int, float] | None] = [None] * len(texts)
-    use = [i for i, t in enumerate(texts) if scorer is not None and t is not None and any(map(str.isalpha, t))]
-    for begin in range(0, len(use), TEXTS):
-        part = use[begin : begin + TEXTS]
-        for i, sums in zip(part, scorer.texts([texts[i] for i in part]), strict=True):
+    split, part, held = [], [], 0
+
+    def score() -> None:
+        for i, sums in zip(part, scorer.texts(split), strict=True):
             best = int(sums.argmax())
             out[i] = best, float(1 / np.exp(np.maximum(sums - sums[best], -700)).sum())
+        split.clear()
+        part.clear()
+
+    for i, text in enumerate(texts):
+        if scorer is None or text is None or not any(map(str.isalpha, text)):
+            continue
+        split.append(cores(text))
+        part.append(i)
+        held += len(split[-1])
+        if held >= STEP_WORDS:
+            score()
+            held = 0
+    if part:
+        score()
     return out
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -48,6 +49,67 @@ def test_expected_counts_are_the_derivative(rows):
         assert got[known[piece]] == pytest.approx(slope, abs=1e-4)
 
 
+def test_memory_gives_what_counting_gives(rows, monkeypatch):
+    """Whatever a small memory forgets, sums are those of all words."""
+    r = random.Random(7)
+    vocabulary = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 9))) for _ in range(300)] + ["w" * 50]
+    texts = [" ".join(r.choice(vocabulary) + r.choice(["", ",", "!"]) for _ in range(r.randint(1, 30))) for _ in range(120)] + ["... a", "!!"]
+    for most, step in ((40, 20), (200, 100), (100_000, 100_000)):
+        monkeypatch.setattr(langid, "REMEMBERED", most)
+        monkeypatch.setattr(langid, "STEP_WORDS", step)
+        scorer = langid.Scorer(langid.VOCABULARY, rows[:-1])
+        for _ in range(2):
+            got = [scorer.texts([langid.cores(t)])[0] for t in texts]
+            for text, sums in zip(texts, got, strict=True):
+                want = sum((scorer.own.log_likelihoods([w], rows)[0] for w in langid.cores(text)), np.zeros(2))
+                assert sums == pytest.approx(want, rel=1e-9)
+            found = langid.told([*texts, None], scorer)
+            assert [x and x[0] for x in found] == [int(s.argmax()) if any(map(str.isalpha, t)) else None for s, t in zip(got, texts, strict=True)] + [None]
+        assert len(scorer.memory.keys) <= max(most, 100)
+
+
+def brute_fit(docs, rounds):
+    """Expectation maximisation over single words, by the derivative of each word's likelihood."""
+    known = langid.pieces()
+    column = np.append(np.full(len(known), 1 / len(known)), langid.UNKNOWN)
+    counts = {}
+    for text in docs:
+        for w in langid.cores(text):
+            for k in range(0, len(w), langid.SHORT):
+                counts[w[k : k + langid.SHORT]] = counts.get(w[k : k + langid.SHORT], 0) + 1
+    for _ in range(rounds):
+        total = np.full(len(known), langid.PRIOR)
+        for word, n in counts.items():
+            marked, size = "▁" + word, len(word) + 1
+            ahead = [1.0] + [0.0] * size
+            for j in range(1, size + 1):
+                for i in range(j):
+                    piece = marked[i:j]
+                    p = column[known[piece]] if piece in known else langid.UNKNOWN if j - i == 1 else 0
+                    ahead[j] += ahead[i] * p
+            behind = [0.0] * size + [1.0]
+            for i in range(size - 1, -1, -1):
+                for j in range(i + 1, size + 1):
+                    piece = marked[i:j]
+                    p = column[known[piece]] if piece in known else langid.UNKNOWN if j - i == 1 else 0
+                    behind[i] += p * behind[j]
+            for i in range(size):
+                for j in range(i + 1, size + 1):
+                    if (piece := marked[i:j]) in known:
+                        total[known[piece]] += n * ahead[i] * column[known[piece]] * behind[j] / ahead[size]
+        column[:-1] = (1 - langid.UNKNOWN) * total / total.sum()
+    return column
+
+
+def test_fit_equals_a_plain_one(spark, docs):
+    texts = {"xx": ["there then the cat", "the other-cat, thereof " + "longwordwithoutanyend" * 3], "yy": ["und die katze und", "日本語 die"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    model = langid.fit(docs(rows).repartition(3), rounds=2)
+    assert model["langs"] == ["xx", "yy"]
+    for k, lang in enumerate(model["langs"]):
+        assert model["table"][:, k] == pytest.approx(brute_fit(texts[lang], 2), rel=1e-8)
+
+
 def test_held_out_accuracy_and_cases(spark, docs):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = langid.predict(real, langid.fit(real.where(~langid.held_out(F.col("doc_id"))))).join(real, "doc_id").where(
