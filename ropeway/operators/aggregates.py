@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ropeway.operators.evaluate import areas, confusion, correlation, safe, score_counts
-from ropeway.plans.prefix import exact_quantiles, running_sums
+from ropeway.plans.prefix import column_quantiles, exact_quantiles, running_sums
 from ropeway.plans.skew import group_join
 
 PROFILE_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -47,31 +49,61 @@ def diurnal_profile(df: DataFrame, entity: str, time: str, kpi: str) -> DataFram
 
 
 def feature_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Moments, percentiles and missing share per feature."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
-    ])).alias("r")).select("r.*")
-    base = long.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), (100.0 * F.avg(F.col("value").isNull().cast("int"))).alias("missing_pct"))
-    return base.join(exact_quantiles(long, ["feature"], "value", PROFILE_PROBS), "feature")
+    """Moments, percentiles and missing share per feature; one aggregate row of all columns, no copies of values."""
+    v = {f: F.col(f).cast("double") for f in features}
+    rows = [F.struct(
+        F.lit(f).alias("feature"), F.avg(v[f]).alias("mean"), F.stddev_samp(v[f]).alias("std"), F.min(v[f]).alias("min"),
+        F.max(v[f]).alias("max"), (100.0 * F.avg(v[f].isNull().cast("int"))).alias("missing_pct")) for f in features]
+    base = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return base.join(column_quantiles(df, v, PROFILE_PROBS), "feature")
+
+
+def pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, n, sa, sb, saa, sbb, sab) over the rows where both columns have a value, for all pairs of column numbers.
+
+    Columns are shifted by their means, so that squares keep their digits.  A task
+    adds up its rows as matrix products; what it emits is a row per pair, and those
+    are summed with partial aggregation.  The plan does not grow with the pairs.
+    """
+    names = list(columns)
+    shift = np.array([x if x is not None else 0.0 for x in df.agg(*[F.avg(F.col(c).cast("double")) for c in names]).first()])
+    frame = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, len(names), len(names)))
+        for part in frames:
+            x = part.to_numpy(float) - shift
+            have = ~np.isnan(x)
+            x = np.where(have, x, 0.0)
+            has = have.astype(float)
+            total += [has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x]
+        a, b = (i.ravel() for i in np.indices((len(names), len(names))))
+        n, s, ss, both = (t.ravel() for t in total)
+        _, s_other, ss_other, _ = (t.T.ravel() for t in total)
+        yield pd.DataFrame({"a": a, "b": b, "n": n, "sa": s, "sb": s_other, "saa": ss, "sbb": ss_other, "sab": both})
+
+    sums = frame.mapInPandas(add, "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double")
+    return sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
 
 
 def feature_diagnostics(df: DataFrame, features: Sequence[str], target: str, limit: float = 0.95) -> DataFrame:
-    """Variance, target correlation and partners with |r| above the limit, from one aggregate row."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    row = df.agg(
-        *[F.var_samp(f).alias(f"v_{f}") for f in features],
-        *[correlation(f, target).alias(f"t_{f}") for f in features],
-        *[correlation(a, b).alias(f"c_{a}_{b}") for a, b in pairs])
-    parts = [
-        F.struct(
-            F.lit(f).alias("feature"), F.col(f"v_{f}").alias("variance"), F.col(f"t_{f}").alias("target_corr"),
-            (F.col(f"v_{f}") < 1e-6).cast("int").alias("low_variance"),
-            F.concat_ws(",", *[F.when(F.abs(F.col(f"c_{a}_{b}")) > limit, F.lit(b if a == f else a))
-                               for a, b in pairs if f in (a, b)]).alias("collinear"))
-        for f in features]
-    return row.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    """Variance, target correlation and partners with |r| above the limit, from one pass of pair sums."""
+    names = [*features, target]
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    va, vb = (F.greatest(F.col(q) - s * s / n, F.lit(0.0)) for q, s in (("saa", sa), ("sbb", sb)))
+    # what rounding leaves of a constant column's squares is no spread
+    spread = lambda v, q: F.when(v > 1e-12 * F.col(q), v)
+    r = (F.col("sab") - sa * sb / n) / F.sqrt(spread(va, "saa") * spread(vb, "sbb"))
+    pairs = pair_sums(df, names).where("n > 0").select("a", "b", (va / F.nullif(n - 1, F.lit(0.0))).alias("variance"), r.alias("r"))
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("b") + 1)
+    is_partner = (F.col("b") != F.col("a")) & (F.col("b") < len(features)) & (F.abs("r") > limit)
+    out = pairs.where(F.col("a") < len(features)).groupBy("a").agg(
+        F.max(F.when(F.col("a") == F.col("b"), F.col("variance"))).alias("variance"),
+        F.max(F.when(F.col("b") == len(features), F.col("r"))).alias("target_corr"),
+        F.array_sort(F.collect_list(F.when(is_partner, F.struct("b", name.alias("name"))))).alias("p"))
+    return out.select(
+        F.element_at(F.array(*map(F.lit, features)), F.col("a") + 1).alias("feature"), "variance", "target_corr",
+        (F.col("variance") < 1e-6).cast("int").alias("low_variance"), F.concat_ws(",", F.col("p")["name"]).alias("collinear"))
 
 
 def caller_statistics(calls: DataFrame) -> DataFrame:

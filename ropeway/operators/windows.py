@@ -110,15 +110,18 @@ def lag_deltas(df: DataFrame, spec: KpiSpec, signal: Sequence[str] = ()) -> Data
     return in_one_pass(df, spec, [lag_deltas_step(spec, signal)])
 
 
-def change_features(df: DataFrame, spec: KpiSpec) -> DataFrame:
-    """Delta, absolute change and direction; the day lag joins if most entities have history."""
+def history_lags(df: DataFrame, spec: KpiSpec) -> list[int]:
+    """The lags of ``spec``, and the day lag where most entities have history; one job, before the plan is made."""
     rows = df.groupBy(*spec.entity).agg(F.count(F.lit(1)).alias("n"))
     seen = rows.agg(
         F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") >= LONG_HISTORY).alias("long")
     ).first()
-    lags = [*spec.lags]
-    if seen["long"] > seen["all"] * 0.5:
-        lags.append(LONG_LAG)
+    return [*spec.lags, *([LONG_LAG] if seen["long"] > seen["all"] * 0.5 else [])]
+
+
+def change_features(df: DataFrame, spec: KpiSpec, lags: Sequence[int] | None = None) -> DataFrame:
+    """Delta, absolute change and direction at each lag: the columns follow from the arguments, not from the data."""
+    lags = [*(spec.lags if lags is None else lags)]
 
     def build(frame, keys):
         over = Window.partitionBy(*keys).orderBy(*_order(spec))

@@ -256,3 +256,68 @@ def average_rank(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     placed = _placed_counts(df, groups, value)
     rank = F.col("_below") + (F.col("n") + 1) / 2
     return placed.withColumn("avg_rank", rank).withColumnsRenamed({"_below": "below", "_total": "total"})
+
+
+#: Accuracy of the sketches that bracket a wanted rank, and how many of their errors a bracket reaches to either side.
+SKETCH_ACCURACY, BRACKET = 10_000, 4
+
+
+def _brackets(sketch: Sequence[float], least: float, most: float, probs: Sequence[float]) -> list[tuple[float, float]]:
+    """Disjoint intervals of values, in order, that hold the wanted ranks."""
+    reach, out = BRACKET / SKETCH_ACCURACY, []
+    ends = zip(sketch[: len(probs)], sketch[len(probs) :], probs, strict=True)
+    for low, high in sorted((least if p <= reach else low, most if p >= 1 - reach else high) for low, high, p in ends):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
+
+
+def column_quantiles(df: DataFrame, columns: dict[str, Column], probs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles of many columns, as rows (feature, one column per name in ``probs``).
+
+    One aggregate, the only job before execution, builds a sketch of every column,
+    which brackets each wanted rank by two values.  A second pass counts rows by
+    stretch between brackets and, inside brackets, by value: only a few thousandths of
+    the values are shuffled, repeated ones as one row.  NULLs are left out; a column
+    without values has NULL quantiles.
+    """
+    names, ps = list(columns), list(probs.values())
+    v = {f: columns[f].cast("double") for f in names}
+    reach = BRACKET / SKETCH_ACCURACY
+    at = [min(max(p + s * reach, 0.0), 1.0) for s in (-1, 1) for p in ps]
+    row = df.agg(*[F.struct(
+        F.percentile_approx(v[f], at, SKETCH_ACCURACY).alias("q"), F.min(v[f]).alias("least"), F.max(v[f]).alias("most"),
+        F.count(v[f]).alias("n")).alias(f"c{k}") for k, f in enumerate(names)]).first()
+    spine = df.sparkSession.createDataFrame([(k, f) for k, f in enumerate(names)], "c int, feature string")
+    have = [k for k in range(len(names)) if row[f"c{k}"]["n"]]
+    if not have:
+        return spine.select("feature", *[F.lit(None).cast("double").alias(n) for n in probs])
+
+    def placed(k: int) -> Column:
+        """Column number, stretch (odd inside of a bracket) and, there, the value."""
+        c, x = row[f"c{k}"], v[names[k]]
+        stretch = F.lit(0)
+        for i, (low, high) in enumerate(_brackets(c["q"], c["least"], c["most"], ps)):
+            stretch = F.when(x > F.lit(high), 2 * i + 2).when(x >= F.lit(low), 2 * i + 1).otherwise(stretch)
+        return F.struct(F.lit(k).alias("c"), F.when(x.isNotNull(), stretch).alias("stretch"), x.alias("value"))
+
+    long = df.select(F.explode(F.array(*map(placed, have))).alias("r")).select("r.*").where("stretch IS NOT NULL")
+    counts = long.groupBy("c", "stretch", F.when(F.col("stretch") % 2 == 1, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("c").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.groupBy("c", "stretch").agg(F.sum("n").alias("n")).select(
+        "c", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    # a bracket holds at most so many values; beyond a task's rows they are cut as any ordered sum
+    most = max(row[f"c{k}"]["n"] for k in have) * min(1.0, 2 * (BRACKET + 1) / SKETCH_ACCURACY * len(ps))
+    inside = counts.where("value IS NOT NULL")
+    cuts = [] if most <= rows_per_task(df.sparkSession) else None
+    sums = running_sums(inside, ["c", "stretch"], "value", {"_inside": "n"}, exclusive=True, cuts=cuts)
+    sums = sums.join(base, ["c", "stretch"]).withColumn("_below", F.col("_base") + F.col("_inside"))
+    places = {k: [p * (row[f"c{k}"]["n"] - 1) for p in ps] for k in have}
+    pos = F.create_map(*[c for k in have for c in (F.lit(k), F.array(*map(F.lit, places[k])))])
+    spots = F.transform(pos[F.col("c")], lambda p, i: F.struct(i.alias("i"), p.alias("pos")))
+    mine = F.filter(spots, lambda s: (F.ceil(s["pos"]) >= F.col("_below")) & (F.floor(s["pos"]) < F.col("_below") + F.col("n")))
+    hits = sums.select("c", "value", "n", "_below", F.explode(mine).alias("s"))
+    got = hits.groupBy("c").pivot("s.i", list(range(len(ps)))).agg(F.sum(_contribution("value", F.col("s.pos"))))
+    return spine.join(got, "c", "left").select("feature", *[F.col(str(i)).alias(n) for i, n in enumerate(probs)])

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ropeway.operators import aggregates as A
 from ropeway.operators import drift as D
 from ropeway.operators import evaluate as E
 from ropeway.operators import resample
+from ropeway.plans import prefix
 from ropeway.operators.peers import leave_one_out_z
 from ropeway.operators.splits import assert_no_overlap, split_report, temporal_split
 from ropeway.functions import scalar as S
@@ -147,3 +149,46 @@ def test_scaler_is_fitted_on_train_only(spark):
     test = spark.createDataFrame([(5.0, 8.0)], "a double, b double")
     row = apply_scaler(test, fit_standard(train, ["a", "b"]), ["a", "b"]).first()
     assert (row["a"], row["b"]) == (3.0, 1.0)
+
+
+def test_column_quantiles_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "SKETCH_ACCURACY", 100)
+    rng = np.random.default_rng(5)
+    n = 6000
+    columns = {"normal": rng.normal(size=n), "hot": np.where(rng.random(n) < 0.6, 7.0, rng.normal(size=n)), "flat": np.full(n, 3.0), "steps": rng.integers(0, 40, n).astype(float)}
+    rows = [tuple(float(c[i]) for c in columns.values()) + (None if i % 3 else float(i), None) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "gaps", "none"])).repartition(7)
+    probs = {"least": 0.0, "a": 0.01, "b": 0.333, "m": 0.5, "c": 0.951, "most": 1.0}
+    out = {r["feature"]: r for r in prefix.column_quantiles(df, {c: F.col(c) for c in df.columns}, probs).collect()}
+    columns["gaps"] = np.arange(0.0, n, 3)
+    for name, values in columns.items():
+        for q, p in probs.items():
+            assert out[name][q] == pytest.approx(np.quantile(values, p), abs=1e-12), (name, q)
+    assert all(out["none"][q] is None for q in probs)
+    assert [r["m"] for r in prefix.column_quantiles(df.where("false"), {"normal": F.col("normal")}, {"m": 0.5}).collect()] == [None]
+    # one action before execution, however many columns
+    jobs = []
+    for group, cols in (("one", ["normal"]), ("all", df.columns)):
+        spark.sparkContext.setJobGroup(group, group)
+        later = prefix.column_quantiles(df, {c: F.col(c) for c in cols}, probs)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    assert later.count() == 6
+
+
+def test_pair_sums_and_diagnostics(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 150)) + 1e6
+    x[:, 1] = 2 * x[:, 0] + 1
+    x[:, 2] = 5.0
+    y = (x[:, 0] > 1e6).astype(float)
+    names = [f"f{i}" for i in range(150)]
+    rows = [tuple(float(v) for v in r) + (float(t),) for r, t in zip(x, y, strict=True)]
+    rows[0] = (None, *rows[0][1:])
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "y"])).repartition(3)
+    out = {r["feature"]: r for r in A.feature_diagnostics(df, names, "y").collect()}
+    assert len(out) == 150 and out["f0"]["collinear"] == "f1" and out["f1"]["collinear"] == "f0" and out["f5"]["collinear"] == ""
+    assert out["f2"]["low_variance"] == 1 and out["f2"]["target_corr"] is None and out["f2"]["collinear"] == ""
+    assert out["f9"]["variance"] == pytest.approx(x[:, 9].var(ddof=1), rel=1e-9)
+    assert out["f0"]["target_corr"] == pytest.approx(np.corrcoef(x[1:, 0], y[1:])[0, 1], rel=1e-9)
