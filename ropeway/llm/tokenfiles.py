@@ -25,7 +25,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Id after each document.
 END_ID = 2
 #: Ids after which a shard ends with the document, and bytes of text that one writing task gets.
-SHARD_IDS, TASK_BYTES = 2_000_000, 24 << 20
+SHARD_IDS, TASK_BYTES = 1_000_000, 24 << 20
 #: A pair becomes a rule from so many uses on; one round takes the pairs down to this part of the most frequent one's uses.
 LEAST_USES, ROUND_SHARE = 32, 16
 #: Entries of a table of pairs, beyond which pairs are searched.
@@ -33,12 +33,12 @@ TABLE = 1 << 22
 #: Symbols of the sequence between two stored positions.
 ANCHOR = 256
 #: Words a worker remembers, their characters at most, and texts encoded together.
-REMEMBERED, LONGEST_WORD, TEXTS = 1_000_000, 64, 256
+REMEMBERED, LONGEST_WORD, TEXTS = 1_000_000, 64, 1024
 #: Writing tasks whose totals meet in one window.
 GROUP = 1000
 
 #: One mark between an ASCII letter or digit and white space: a token border for the vocabulary's pattern.
-_MARK = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[\x20\x09-\x0d]|\Z)")
+_MARK = re.compile(rb"[.,;:!?](?<=[a-z0-9].)(?=[\x20\x09-\x0d]|\Z)")
 
 #: Words that are in composed form and lower case already: ASCII without capitals, small letters of Latin-1.
 _PLAIN = re.compile("[!-@\\[-~ß-öø-ÿ]+")
@@ -67,20 +67,22 @@ def pairs_to_replace(symbols: np.ndarray, known: int, least: int) -> tuple[np.nd
     taken = np.flatnonzero(uses >= max(least, uses.max() // ROUND_SHARE))
     wanted, rank = ordered[begins[taken]], np.empty(len(taken), np.int64)
     rank[np.lexsort((taken, -uses[taken]))] = np.arange(len(taken))
-    starts, stops = np.zeros(known, bool), np.zeros(known, bool)
-    starts[(wanted // wide(known)).astype(np.int64)] = True
-    stops[(wanted % wide(known)).astype(np.int64)] = True
-    at = np.flatnonzero(starts[symbols[:-1]] & stops[symbols[1:]])
-    rows, columns = np.cumsum(starts) - 1, np.cumsum(stops) - 1
-    if (size := (rows[-1] + 1) * (columns[-1] + 1)) <= TABLE:
+    firsts, seconds = (wanted // wide(known)).astype(np.int64), (wanted % wide(known)).astype(np.int64)
+    rows, columns = np.zeros(known, np.int32), np.zeros(known, np.int32)
+    rows[firsts], columns[seconds] = 1, 1
+    rows *= np.cumsum(rows, dtype=np.int32)
+    columns *= np.cumsum(columns, dtype=np.int32)
+    width = int(columns.max()) + 1
+    if (size := (int(rows.max()) + 1) * width) <= TABLE:
         # first and second symbols that occur in wanted pairs, against each other
+        rows *= width
         ranked = np.full(size, -1, np.int32)
-        rows *= columns[-1] + 1
-        ranked[rows[wanted // wide(known)] + columns[wanted % wide(known)]] = rank
-        ranks = ranked[rows[symbols[at]] + columns[symbols[at + 1]]]
-        hit = ranks >= 0
-        at, ranks = at[hit], ranks[hit]
+        ranked[rows[firsts] + columns[seconds]] = rank
+        ranks = ranked[rows[symbols[:-1]] + columns[symbols[1:]]]
+        at = np.flatnonzero(ranks >= 0)
+        ranks = ranks[at]
     else:
+        at = np.flatnonzero((rows[symbols[:-1]] > 0) & (columns[symbols[1:]] > 0))
         own = keys[at]
         place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
         hit = wanted[place] == own
@@ -256,12 +258,14 @@ class Words:
 
     def _forget(self) -> None:
         self.number = Numbers()
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.sizes, self.begins, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self) -> None:
         """Encodes the words that were numbered since the last call, the last numbers being new."""
         found = list(map(self._ids, self.number.fresh))
-        self.sizes = np.append(self.sizes, np.fromiter(map(len, found), np.int64, len(found)))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.begins = np.append(self.begins, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
         self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(found), np.uint32))
 
     def _ids(self, word: bytes) -> list[int]:
@@ -277,20 +281,21 @@ class Words:
         """Ids of all texts in a row, END_ID after each, and how many belong to each."""
         if len(self.number) > REMEMBERED:
             self._forget()
-        split = [_MARK.sub(rb" \1", t.lower()).split() for t in texts]  # ASCII capitals and white space
+        split = [_MARK.sub(rb" \g<0>", t.lower()).split() for t in texts]  # ASCII capitals and white space
         counts = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
         if self.number.fresh:
             self._learn()
         size = self.sizes[codes]
-        ends = np.append(0, np.cumsum(size))[np.cumsum(counts)]
-        at = np.repeat((np.cumsum(self.sizes) - self.sizes)[codes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        stops = np.cumsum(size)
+        ends = np.append(0, stops)[np.cumsum(counts)]
+        at = np.repeat(self.begins[codes] - (stops - size), size) + np.arange(len(stops) and stops[-1])
         ids = np.insert(self.flat[at], ends, END_ID)
         if any(len(w) > LONGEST_WORD for w in self.number.fresh):
             for w in reversed(self.number.fresh):
                 del self.number[w]
-            self.sizes = self.sizes[: len(self.number)]
-            self.flat = self.flat[: self.sizes.sum()]
+            self.flat = self.flat[: self.begins[len(self.number)]]
+            self.sizes, self.begins = self.sizes[: len(self.number)], self.begins[: len(self.number)]
         self.number.fresh.clear()
         return ids, np.diff(ends, prepend=0) + 1
 
