@@ -16,7 +16,7 @@ from ropeway.llm.base import pack, query, stored, table
 
 #: Lines of one window.
 WINDOW = 3
-#: Words from which a line counts as a passage whose repetition matters.
+#: Words from which a run of repeated units counts as a passage whose repetition matters.
 MIN_WORDS = 25
 #: Words of a repeated passage that is found wherever it starts, and of the windows that find it.
 PASSAGE, GRAM = 50, 41
@@ -24,6 +24,8 @@ PASSAGE, GRAM = 50, 41
 BLOCK = 1 << 15
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
+#: The white-space character behind the end of a sentence.
+_ENDED = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -230,43 +232,63 @@ def _merged(spans: DataFrame) -> DataFrame:
     )
 
 
-def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            start, rows = 0, []
-            for line in text.split("\n"):
-                words = line.lower().encode().split()
-                if words:
-                    rows.append((xxhash.xxh3_128_digest(b" ".join(words)), doc, len(rows), len(words), start, start + len(line)))
-                start += len(line) + 1
-            if rows:
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
+def _line_batches(sentences: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                start, rows = 0, []
+                # one character takes the place of one, so offsets stay those of the text
+                for line in (_ENDED.sub("\n", text) if sentences else text).split("\n"):
+                    words = line.lower().encode().split()
+                    if words:
+                        rows.append((xxhash.xxh3_128_digest(b" ".join(words)), doc, len(rows), len(words), start, start + len(line)))
+                    start += len(line) + 1
+                if rows:
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
+
+    return run
 
 
 _LINES = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.int32()),
                     ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: digest as in ``units``, doc_id, number among these lines, words, start, stop."""
+def lines(docs: DataFrame, sentences: bool = False) -> DataFrame:
+    """Every line with a word: digest as in ``units``, doc_id, number among these lines, words, start, stop.
+
+    With ``sentences`` a line also ends at each white-space character behind ``.``, ``!``
+    or ``?``, so a unit is a sentence of a line, or what a line holds of one.
+    """
     return _texts(docs).mapInArrow(
-        _line_batches, "digest binary, doc_id bigint, line int, words int, start bigint, stop bigint")
+        _line_batches(sentences), "digest binary, doc_id bigint, line int, words int, start bigint, stop bigint")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of neighbouring repeated lines of ``min_words`` words in all, as doc_id, start and stop.
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, sentences: bool = False) -> DataFrame:
+    """Runs of neighbouring repeated lines, or sentences, of ``min_words`` words in all.
 
-    Lines without a word between two of them neither end a run nor count.
+    Every unit with a word is digested, however short.  Of equal units that with the
+    smallest (doc_id, number) stays; the others are joined to runs of neighbours, and a
+    run goes when it has ``min_words`` words.  Units without a word between two of them
+    neither end a run nor count.  Returns doc_id, start and stop (characters of the
+    original text, stop exclusive), n_units and n_words.
+
+    NULL and empty texts and rows without doc_id lose nothing; rows that repeat an id
+    and text count as one document; a text is cut into units whole, by one task, and
+    only digests and places move.  Other columns are not read.  An empty table gives
+    an empty table.
     """
-    later = _later(lines(docs), "line").select("doc_id", "line", "words", "start", "stop").distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
+    order = Window.partitionBy("doc_id").orderBy("line", "start", "stop", "words")
+    unit = F.struct("line", "start", "stop", "words")
+    later = _later(lines(docs, sentences), "line").select("doc_id", "line", "words", "start", "stop")
     return (
-        later.withColumn("_run", F.col("line") - place)
+        later.select("*", (F.col("line") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("line"))).alias("_run"),
+                     F.coalesce(F.lag(unit).over(order) < unit, F.lit(True)).alias("_new"))
+        .where("_new")
         .groupBy("doc_id", "_run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("_words"))
-        .where(F.col("_words") >= min_words)
-        .select("doc_id", "start", "stop")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"))
+        .where(F.col("n_words") >= min_words)
+        .drop("_run")
     )
 
 
@@ -291,7 +313,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     own = F.col("doc_id") == F.col("first.doc_id")
     start = F.when(own, F.greatest("start", F.col("first.stop") + 1)).otherwise(F.col("start"))
     passages = later.select("doc_id", start.alias("start"), "stop")
-    return _merged(passages.union(repeated_runs(docs)).distinct())
+    return _merged(passages.union(repeated_runs(docs).select("doc_id", "start", "stop")).distinct())
 
 
 def _cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -353,19 +375,22 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "op9_repeated_lines",
     r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-u AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS unit, a FROM l),
-n AS (SELECT *, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm FROM u),
-p AS (SELECT *, first_value(doc_id) OVER o AS keep_doc_id, first_value(unit) OVER o AS keep_unit FROM n
-  WHERE len(string_split(norm, ' ')) >= 25 WINDOW o AS (PARTITION BY norm ORDER BY doc_id, unit))
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, start, start + length(line) AS stop, keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit
-FROM (SELECT *, CAST(coalesce(list_sum(list_transform(a[:unit], lambda x: length(x) + 1)), 0) AS BIGINT) AS start
-  FROM p WHERE (doc_id, unit) > (keep_doc_id, keep_unit))
+WITH l AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]', '\1' || chr(10), 'g'), chr(10)) AS a FROM l),
+u AS (SELECT doc_id, unnest(a) AS unit, unnest(range(len(a))) AS at FROM s),
+o AS (SELECT *, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING) - 1 AS stop,
+  lower(trim(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm FROM u),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS k FROM o WHERE norm <> ''),
+f AS (SELECT *, first_value(doc_id) OVER w AS fd, first_value(k) OVER w AS fk FROM n WINDOW w AS (PARTITION BY norm ORDER BY doc_id, k)),
+r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM f WHERE (doc_id, k) > (fd, fk))
+SELECT doc_id, CAST(min(stop - length(unit)) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, count(*) AS n_units,
+  CAST(sum(len(string_split(norm, ' '))) AS BIGINT) AS n_words
+FROM r GROUP BY doc_id, run HAVING sum(len(string_split(norm, ' '))) >= 25
 """,
 )
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of ``documents`` to remove, each with its original offsets and the line that stays."""
-    return repeated_units(table(spark, sf, "documents"))
+    """Spans of ``documents`` to remove: runs of sentences and lines that all occurred before, with their original offsets."""
+    return repeated_runs(table(spark, sf, "documents"), sentences=True)
 
 
 @query("op9_repeated_passages")

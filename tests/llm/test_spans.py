@@ -115,3 +115,57 @@ def test_runs_of_short_lines(docs):
     got = {x.doc_id: dict(rows)[x.doc_id][x.start : x.stop] for x in spans.repeated_passages(docs(rows)).collect()}
     # 24 words in a row are too few, and so is each line by itself
     assert got == {2: wrapped.upper(), 4: wrapped.replace("\n", "\n \n")}
+
+
+def brute_runs(rows, least):
+    first, want = {}, set()
+    for i, text in sorted({x for x in rows if x[0] is not None and x[1] is not None}):
+        cut = list(text)
+        for k in range(1, len(text)):
+            if text[k] in " \t\n\v\f\r" and text[k - 1] in ".!?":
+                cut[k] = "\n"
+        at, run = 0, []
+
+        def close():
+            if sum(n for _, _, n in run) >= least:
+                want.add((i, run[0][0], run[-1][1], len(run), sum(n for _, _, n in run)))
+            run.clear()
+
+        number = 0
+        for unit in "".join(cut).split("\n"):
+            norm = " ".join(unit.lower().split())
+            if norm:
+                if first.setdefault(norm, (i, number)) != (i, number):
+                    run.append((at, at + len(unit), len(norm.split())))
+                else:
+                    close()
+                number += 1
+            at += len(unit) + 1
+        close()
+    return want
+
+
+def test_runs_of_sentences_match_brute_force(docs):
+    r = random.Random(8)
+    parts = ["One two THREE.", "one  two three.", "Four?! five", "v1.2 is out!", "six seven eight nine", "é  É z.", ".", "...", "end"]
+    glue = [" ", "\n", "  ", "\n \n", "\t", ""]
+    rows = [(i, "".join(r.choice(parts) + r.choice(glue) for _ in range(r.randint(0, 12)))) for i in range(80)]
+    rows += [(90, None), (91, ""), (None, rows[0][1]), rows[3], rows[3], (92, "long. " * 30_000), (93, "LONG. " * 30_000)]
+    frame = docs(rows).selectExpr("*", "1 AS line", "2 AS words", "3 AS stop")
+    for least in (1, 6):
+        got = {tuple(x) for x in spans.repeated_runs(frame, least, sentences=True).select("doc_id", "start", "stop", "n_units", "n_words").collect()}
+        assert got == brute_runs(rows, least)
+    assert spans.repeated_runs(frame.where("false"), sentences=True).count() == 0
+
+
+def test_wrapped_paragraph_and_sentences_inside_lines_go(docs):
+    r = random.Random(10)
+    wrapped = "\n".join(words(r, 12) for _ in range(5))
+    inside = ". ".join(words(r, 10) for _ in range(5)) + "."
+    rows = [(1, f"{words(r, 40)}\n{wrapped}\n{words(r, 9)}. {inside} {words(r, 9)}"), (2, f"{wrapped}\n{words(r, 8)}"),
+            (3, f"{words(r, 30)}. {inside} {words(r, 30)}"), (4, words(r, 300))]
+    frame = docs(rows)
+    got = {x.doc_id: dict(rows)[x.doc_id][x.start : x.stop] for x in spans.repeated_runs(frame, sentences=True).collect()}
+    assert got == {2: wrapped, 3: inside}
+    left = {x.doc_id: x.text for x in spans.without(frame, spans.repeated_runs(frame, sentences=True)).collect()}
+    assert left[4] == rows[3][1] and left[1] == rows[0][1] and inside not in left[3]
