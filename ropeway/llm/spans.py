@@ -377,10 +377,10 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     r"""
 WITH l AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]', '\1' || chr(10), 'g'), chr(10)) AS a FROM l),
-u AS (SELECT doc_id, unnest(a) AS unit, unnest(range(len(a))) AS at FROM s),
-o AS (SELECT *, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY at ROWS UNBOUNDED PRECEDING) - 1 AS stop,
+u AS (SELECT doc_id, unnest(a) AS unit, unnest(range(len(a))) AS pos FROM s),
+o AS (SELECT *, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS stop,
   lower(trim(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS norm FROM u),
-n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS k FROM o WHERE norm <> ''),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM o WHERE norm <> ''),
 f AS (SELECT *, first_value(doc_id) OVER w AS fd, first_value(k) OVER w AS fk FROM n WINDOW w AS (PARTITION BY norm ORDER BY doc_id, k)),
 r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM f WHERE (doc_id, k) > (fd, fk))
 SELECT doc_id, CAST(min(stop - length(unit)) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, count(*) AS n_units,
