@@ -277,3 +277,53 @@ def attribution_ranking(spark, sf):
         F.lit("quantity"), c("l_quantity") - 25, F.lit("discount"), c("l_discount") * 100,
         F.lit("tax"), c("l_tax") * 100 - 4)).alias("feature", "v"))
     return _r(E.attribution_ranking(long, "feature", "v"), "feature", "rank")
+
+
+def _tier_sql(name, score, threshold):
+    return f"""{name}c AS ({CM.format(pred=f'{score} >= {threshold}', src='sc')}),
+{name}k AS (SELECT {score} AS e, sum(is_anomaly) AS n_pos, sum(1 - is_anomaly) AS n_neg FROM sc GROUP BY 1),
+{name}a AS (SELECT *, sum(n_pos) OVER w AS tp, sum(n_neg) OVER w AS fp FROM {name}k WINDOW w AS (ORDER BY e DESC ROWS UNBOUNDED PRECEDING)),
+{name} AS (SELECT *, (SELECT sum(n_neg * (tp - n_pos / 2.0)) / (sum(n_pos) * sum(n_neg)) FROM {name}a) AS roc_auc,
+ (SELECT sum(n_pos * (tp / (tp + fp))) / sum(n_pos) FROM {name}a) AS pr_auc, (SELECT avg(({score} - is_anomaly) * ({score} - is_anomaly)) FROM sc) AS brier FROM {name}c)"""
+
+
+_TIER = {"n_positive": "tp + fn", "n_negative": "tn + fp"} | {
+    m: RATES[m] for m in ("prevalence", "precision", "recall", "f1", "specificity", "mcc")} | {
+    "roc_auc": "roc_auc", "pr_auc": "pr_auc", "brier_score": "brier"}
+_BOTH = {"n_total_items": "tp + fp + tn + fn", "n_true_anomalies": "tp + fn", "cascade_precision": RATES["precision"],
+         "cascade_recall": RATES["recall"], "cascade_f1": RATES["f1"],
+         "cascade_roc_auc": "(SELECT sum(n_neg * (tp - n_pos / 2.0)) / (sum(n_pos) * sum(n_neg)) FROM ca)",
+         "tier1_reduction_rate": "1 - (SELECT count(*) FROM cs WHERE f) / (SELECT count(*) FROM cs)",
+         "total_false_alarm_rate": RATES["false_alarm_rate"], "total_miss_rate": "coalesce(fn / nullif(tp + fn, 0), 0)",
+         "n_cascade_positives": "tp + fp", "n_cascade_true_positives": "tp", "n_cascade_false_positives": "fp", "n_cascade_false_negatives": "fn"}
+_SAVED = {"daily_anomalies": "round(anom, 1)", "daily_false_alarms": "round(f, 1)", "daily_missed": "round(m, 1)",
+          "false_alarms_avoided": "round(fl, 1)", "misses_avoided": "round(ml, 1)",
+          "daily_saving": "round(fl * 45 + ml * 500, 0)", "annual_saving": "round((fl * 45 + ml * 500) * 365, 0)"}
+_MET = {"tier1_pr_auc": ("(SELECT pr_auc FROM t1)", 0.6), "cascade_precision": (RATES["precision"], 0.7), "cascade_recall": (RATES["recall"], 0.65)}
+_GATES = {f"{n}_minimum": least for n, (_, least) in _MET.items()} | {f"{n}_met": f"CAST({m} >= {least} AS INTEGER)" for n, (m, least) in _MET.items()} | {
+    "overall_pass": "CAST(" + " AND ".join(f"{m} >= {least}" for m, least in _MET.values()) + " AS INTEGER)"}
+_COMPARED = {"val_pr_auc": "v.pr_auc", "test_pr_auc": "t.pr_auc", "pr_auc_delta": "round(t.pr_auc - v.pr_auc, 4)",
+             "overfitting_warning": "CAST(t.pr_auc - v.pr_auc < -0.1 AS INTEGER)"}
+
+
+def _rows_sql(block, metrics, source):
+    return [f"SELECT '{block}' AS block, '{m}' AS metric, {sql_r6(f'CAST({e} AS DOUBLE)')} AS value FROM {source}" for m, e in metrics.items()]
+
+
+@query("a20_metrics_record", f"""WITH {_IMPACT}, {_tier_sql('t1', 's1', 0.1)}, {_tier_sql('t2', 's2', 0.95)}, {_tier_sql('va', 's3', 0.1)},
+v AS (SELECT 1920.0::DOUBLE * prev AS anom, fp * 1920.0::DOUBLE / n_items AS f, fn * 1920.0::DOUBLE / n_items AS m,
+ greatest(1920 * 0.12::DOUBLE - fp * (1920.0::DOUBLE / n_items), 0) AS fl, greatest(1920.0::DOUBLE * prev * (1 - 0.68::DOUBLE) - fn * (1920.0::DOUBLE / n_items), 0) AS ml FROM im)
+""" + " UNION ALL ".join(
+    _rows_sql("tier1", {"threshold": 0.1} | _TIER, "t1") + _rows_sql("tier2", {"threshold": 0.95} | _TIER, "t2") + _rows_sql("cascade", _BOTH, "cc")
+    + _rows_sql("operational_impact", _SAVED, "v") + _rows_sql("governance_gates", _GATES, "cc")
+    + _rows_sql("train_test_comparison", _COMPARED, "t1 AS t, va AS v")))
+def metrics_record(spark, sf):
+    scored, both = scored_events(spark, sf), _cascade(spark, sf)
+    impact = E.daily_impact(both.withColumn("prevalence", (F.col("tp") + F.col("fn")) / F.col("n_items")))
+    # the third score stands for the validation run of the first tier
+    validation = E.areas(E.score_counts(scored, [], "s3", "is_anomaly"), [], "s3").select(F.col("pr_auc").alias("val_pr_auc"))
+    record = E.metrics_record(
+        E.tier_block(scored, "s1", "is_anomaly", 0.1), E.tier_block(scored, "s2", "is_anomaly", 0.95), E.cascade_block(both), impact, validation)
+    rows = [F.struct(F.lit(b.name).alias("block"), F.lit(m.name).alias("metric"), r6(F.col(f"{b.name}.{m.name}").cast("double")).alias("value"))
+            for b in record.schema for m in b.dataType]
+    return record.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -114,11 +114,23 @@ def recent_predictions(spark, sf):
     return sinks.recent_predictions(spark, path, "ts", "event_id", 100).select("event_id", "value")
 
 
-@query("s11_feature_catalogue", " UNION ALL ".join(
-    f"SELECT '{c}' AS name, '{t}' AS dtype, '{k}' AS category, 'Feature column: {c}' AS description, count({c}) AS filled FROM ({{}})".format(
-        f"WITH {KE} SELECT * FROM ke") for c, t, k in [("cell_id", "bigint", "identifier"), ("kpi", "double", "other"), ("day", "date", "temporal"), ("is_anomaly", "int", "label"), ("cluster_id", "int", "identifier")]))
+_FEATURES = [
+    ("cell_id", "bigint", "identifier"), ("kpi", "double", "other"), ("day", "date", "temporal"), ("is_anomaly", "int", "label"),
+    ("cluster_id", "int", "identifier"), ("dl_throughput_mbps", "double", "raw_kpi"), ("handover_success_rate", "double", "cross_kpi_ratio"),
+    ("kpi_is_reset", "int", "data_quality_flag"), ("avg_cqi_peer_zscore", "double", "peer_group_spatial")]
+
+
+@query("s11_feature_catalogue", f"""WITH {KE}, fe AS (SELECT *, nullif(kpi, 0) AS dl_throughput_mbps, CASE WHEN is_anomaly = 0 THEN kpi END AS handover_success_rate,
+ CAST(kpi < 1 AS INTEGER) AS kpi_is_reset, CASE WHEN cluster_id > 4 THEN kpi END AS avg_cqi_peer_zscore FROM ke)
+""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, '{t}' AS dtype, '{k}' AS category, '{tables.DESCRIPTIONS.get(c, 'Feature column: ' + c)}' AS description, count({c}) AS filled FROM fe"
+    for c, t, k in _FEATURES))
 def feature_catalogue(spark, sf):
-    return tables.feature_catalogue(kpi_events(spark, sf).select("cell_id", "kpi", "day", "is_anomaly", "cluster_id"))
+    kpi = F.col("kpi")
+    df = kpi_events(spark, sf).withColumns({
+        "dl_throughput_mbps": F.nullif(kpi, F.lit(0.0)), "handover_success_rate": F.when(F.col("is_anomaly") == 0, kpi),
+        "kpi_is_reset": (kpi < 1).cast("int"), "avg_cqi_peer_zscore": F.when(F.col("cluster_id") > 4, kpi)})
+    return tables.feature_catalogue(df.select(*[c for c, _, _ in _FEATURES]))
 
 
 @query("s12_retention", f"WITH {KE} SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, count(*) FILTER (epoch(TIMESTAMP '2024-01-31') - floor(epoch(ts)) <= 2 * 86400) AS online FROM ke WHERE day > DATE '2024-01-31' - 10 GROUP BY 1")

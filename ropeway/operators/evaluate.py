@@ -193,6 +193,61 @@ def cascade(df: DataFrame, s1: str, s2: str, label: str, t1: float, t2: float) -
         (1 - st["n_first"] / st["n_items"]).alias("reduction_rate"), auc.scalar().alias("roc_auc"))
 
 
+def tier_block(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
+    """One tier's record: class sizes, rates at the threshold, both areas and the Brier score."""
+    area = areas(score_counts(df, [], score, label), [], score).select(F.struct("roc_auc", "pr_auc")).scalar()
+    return threshold_metrics(df, [], score, label, threshold).select(
+        F.lit(float(threshold)).alias("threshold"), (F.col("tp") + F.col("fn")).alias("n_positive"),
+        (F.col("tn") + F.col("fp")).alias("n_negative"),
+        *["prevalence", "precision", "recall", "f1", "specificity", "mcc"],
+        area["roc_auc"].alias("roc_auc"), area["pr_auc"].alias("pr_auc"), brier(df, [], score, label).scalar().alias("brier_score"))
+
+
+def cascade_block(metrics: DataFrame) -> DataFrame:
+    """The record of both tiers together, from ``cascade``."""
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return metrics.select(
+        F.col("n_items").alias("n_total_items"), (tp + fn).alias("n_true_anomalies"),
+        F.col("precision").alias("cascade_precision"), F.col("recall").alias("cascade_recall"), F.col("f1").alias("cascade_f1"),
+        F.col("roc_auc").alias("cascade_roc_auc"), F.col("reduction_rate").alias("tier1_reduction_rate"),
+        F.col("false_alarm_rate").alias("total_false_alarm_rate"), safe(fn, tp + fn).alias("total_miss_rate"),
+        (tp + fp).alias("n_cascade_positives"), tp.alias("n_cascade_true_positives"),
+        fp.alias("n_cascade_false_positives"), fn.alias("n_cascade_false_negatives"))
+
+
+# Least PR-AUC of the first tier, precision and recall of the cascade; loss of PR-AUC that warns of overfitting.
+LEAST_PR_AUC, LEAST_PRECISION, LEAST_RECALL, OVERFIT = 0.60, 0.70, 0.65, -0.10
+
+
+def metrics_record(tier1: DataFrame, tier2: DataFrame, both: DataFrame, impact: DataFrame,
+                   validation: DataFrame | None = None) -> DataFrame:
+    """One nested record: tier1, tier2, cascade, operational_impact, governance_gates, train_test_comparison.
+
+    All arguments are one-row tables; ``validation`` has the first tier's val_pr_auc,
+    and without it the comparison is left out.  An undefined metric fails its gate.
+    """
+    one = lambda df: df.select(F.struct("*")).scalar()
+    out = both.select(F.struct("*").alias("cascade")).withColumns(
+        {"tier1": one(tier1), "tier2": one(tier2), "operational_impact": one(impact)})
+    checks = {"tier1_pr_auc": (F.col("tier1.pr_auc"), LEAST_PR_AUC),
+              "cascade_precision": (F.col("cascade.cascade_precision"), LEAST_PRECISION),
+              "cascade_recall": (F.col("cascade.cascade_recall"), LEAST_RECALL)}
+    met = {n: F.coalesce(c >= least, F.lit(False)) for n, (c, least) in checks.items()}
+    every = F.lit(True)
+    for m in met.values():
+        every = every & m
+    out = out.withColumn("governance_gates", F.struct(
+        *[F.lit(least).alias(f"{n}_minimum") for n, (_, least) in checks.items()],
+        *[m.alias(f"{n}_met") for n, m in met.items()], every.alias("overall_pass")))
+    order = ["tier1", "tier2", "cascade", "operational_impact", "governance_gates"]
+    if validation is None:
+        return out.select(*order)
+    known, test = one(validation)["val_pr_auc"], F.col("tier1.pr_auc")
+    return out.select(*order, F.struct(
+        known.alias("val_pr_auc"), test.alias("test_pr_auc"), F.round(test - known, 4).alias("pr_auc_delta"),
+        (test - known < OVERFIT).alias("overfitting_warning")).alias("train_test_comparison"))
+
+
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Mean score against the positive share; a bin contains its upper border."""
     at = F.greatest(F.ceil(F.round(F.col(score) * bins, 9)) - 1, F.lit(0)).cast("int")

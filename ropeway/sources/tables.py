@@ -110,13 +110,38 @@ def numeric_features(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 
 # Category rules in order of precedence.
-IDENTIFIERS = ("cell_id", "site_id", "timestamp", "environment", "cluster_id", "latitude", "longitude")
+IDENTIFIERS = ("cell_id", "site_id", "timestamp", "environment", "cluster_id", "latitude", "longitude", "lat", "lon")
 CATEGORY_RULES = (
     ("temporal", ("hour", "day", "week", "rop", "peak", "weekend", "business")),
     ("rolling_statistic", ("_roll",)), ("delta", ("_delta", "_abs_change", "_direction")),
     ("rolling_zscore", ("_zscore",)), ("peer_group_spatial", ("_peer_",)), ("graph_neighbour", ("_neighbour_",)),
     ("data_quality_flag", ("_is_reset",)),
 )
+RATIOS = ("handover_success_rate", "dl_ul_tput_ratio", "prb_efficiency_mbps_per_pct", "cqi_tput_consistency", "rsrq_rsrp_spread")
+RAW_KPIS = ("rsrp_dbm", "rsrq_db", "sinr_db", "avg_cqi", "dl_throughput_mbps", "ul_throughput_mbps", "dl_prb_usage_rate",
+            "ul_prb_usage_rate", "active_ue_count", "rrc_conn_setup_success_rate", "cell_availability_pct")
+
+#: What the key columns hold; other columns are described by their name.
+DESCRIPTIONS = {
+    "rsrp_dbm": "Received power of the reference signal, in dBm; tells coverage.",
+    "rsrq_db": "Received quality of the reference signal, in dB; falls with interference.",
+    "sinr_db": "Signal over interference and noise, in dB.",
+    "avg_cqi": "Mean channel quality that terminals report, 0 to 15.",
+    "dl_throughput_mbps": "Downlink throughput of the cell, in Mbps.",
+    "ul_throughput_mbps": "Uplink throughput of the cell, in Mbps.",
+    "dl_prb_usage_rate": "Used share of downlink resource blocks, in percent.",
+    "ul_prb_usage_rate": "Used share of uplink resource blocks, in percent.",
+    "active_ue_count": "Terminals scheduled in the period.",
+    "rrc_conn_setup_success_rate": "Share of connection setups that succeed, in percent.",
+    "ho_attempt_count": "Handovers tried in the period.",
+    "ho_success_count": "Handovers completed in the period.",
+    "cell_availability_pct": "Share of the period in which the cell is in service, in percent.",
+    "handover_success_rate": "Completed over tried handovers, in percent; 100 without a try.",
+    "dl_ul_tput_ratio": "Downlink over uplink throughput.",
+    "prb_efficiency_mbps_per_pct": "Downlink Mbps for each percent of used resource blocks.",
+    "cqi_tput_consistency": "Throughput over what the channel quality promises; about 1 in a healthy cell.",
+    "rsrq_rsrp_spread": "Power less quality of the reference signal, in dB; grows with interference.",
+}
 
 
 def category(name: str, labels: Sequence[str] = ("is_anomaly", "anomaly_type")) -> str:
@@ -125,6 +150,8 @@ def category(name: str, labels: Sequence[str] = ("is_anomaly", "anomaly_type"))
     if name in labels:
         return "label"
     for kind, marks in CATEGORY_RULES:
+        if kind == "data_quality_flag" and name in RATIOS + RAW_KPIS:
+            return "cross_kpi_ratio" if name in RATIOS else "raw_kpi"
         if any(m in name for m in marks) and not (kind == "rolling_zscore" and "peer" in name):
             return kind
     return "other"
@@ -134,7 +161,7 @@ def feature_catalogue(df: DataFrame) -> DataFrame:
     """One row per column with its type, category, description and filled rows."""
     parts = [
         F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("dtype"),
-                 F.lit(category(f.name)).alias("category"), F.lit(f"Feature column: {f.name}").alias("description"),
+                 F.lit(category(f.name)).alias("category"), F.lit(DESCRIPTIONS.get(f.name, f"Feature column: {f.name}")).alias("description"),
                  F.count(f.name).alias("filled"))
         for f in df.schema.fields]
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("r")).select("r.*")

@@ -10,6 +10,7 @@ from ropeway.operators import evaluate as E
 from ropeway.operators import resample
 from ropeway.plans import prefix
 from ropeway.operators.peers import leave_one_out_z
+from ropeway.sources import tables
 from ropeway.operators.splits import assert_no_overlap, split_report, temporal_split
 from ropeway.functions import scalar as S
 from ropeway.operators.scaling import apply_scaler, fit_standard
@@ -192,3 +193,59 @@ def test_pair_sums_and_diagnostics(spark):
     assert out["f2"]["low_variance"] == 1 and out["f2"]["target_corr"] is None and out["f2"]["collinear"] == ""
     assert out["f9"]["variance"] == pytest.approx(x[:, 9].var(ddof=1), rel=1e-9)
     assert out["f0"]["target_corr"] == pytest.approx(np.corrcoef(x[1:, 0], y[1:])[0, 1], rel=1e-9)
+
+
+def test_run_health_uses_the_quantile_of_earlier_runs(spark):
+    r = random.Random(17)
+    rows = [(k, t, r.choice([None, 1.0, 2.0, r.uniform(0, 9), 40.0]), r.randint(0, 1)) for k in ("a", "b", None) for t in range(120)]
+    frame = spark.createDataFrame(rows, "pipeline string, at int, took double, failed int")
+    out = A.run_health(frame, ["pipeline"], "at", "failed", "took")
+    assert out.columns == [*frame.columns, "alert_failed", "alert_streak", "alert_slow"]
+    got = {(x.pipeline, x.at): (x.alert_failed, x.alert_streak, x.alert_slow) for x in out.collect()}
+    for k, t, took, failed in rows:
+        own = [x for x in rows if x[0] == k and x[1] <= t]
+        earlier = [x[2] for x in own[:-1] if x[2] is not None]
+        slow = bool(earlier) and took is not None and took > 2 * np.quantile(earlier, 0.95)
+        assert got[k, t] == (failed, int(len(own) > 2 and all(x[3] for x in own[-3:])), int(slow)), (k, t)
+    assert A.run_health(frame.where("false"), ["pipeline"], "at", "failed", "took").count() == 0
+
+
+@pytest.mark.parametrize("p", [0.0, 0.5, 0.95, 1.0])
+def test_running_quantile(p):
+    r, values, seen = random.Random(3), [], A.RunningQuantile(p)
+    assert seen.value() is None
+    for _ in range(400):
+        values.append(r.choice([r.uniform(-5, 5), float(r.randint(0, 3))]))
+        seen.add(values[-1])
+        assert seen.value() == pytest.approx(np.quantile(values, p))
+
+
+def test_metrics_record_blocks_and_gates(spark):
+    rows = [(0.9, 0.9, 1), (0.8, 0.2, 1), (0.7, 0.95, 0), (0.2, 0.1, 0), (0.1, 0.9, 0), (0.05, 0.1, 1)]
+    frame = spark.createDataFrame(rows, "s1 double, s2 double, y int")
+    both = E.cascade(frame, "s1", "s2", "y", 0.5, 0.5)
+    impact = E.daily_impact(both.withColumn("prevalence", (F.col("tp") + F.col("fn")) / F.col("n_items")))
+    block = E.cascade_block(both)
+    one, two = (E.tier_block(frame, s, "y", 0.5) for s in ("s1", "s2"))
+    out = E.metrics_record(one, two, block, impact, spark.createDataFrame([(0.99,)], "val_pr_auc double")).first()
+    assert (out.tier1.n_positive, out.tier1.n_negative, out.tier1.precision, out.tier1.recall) == (3, 3, 2 / 3, 2 / 3)
+    assert (out.cascade.n_cascade_true_positives, out.cascade.n_cascade_false_positives, out.cascade.n_cascade_false_negatives) == (1, 1, 2)
+    assert out.cascade.total_miss_rate == 2 / 3 and out.operational_impact.daily_anomalies == 960.0
+    ap = (1 + 1 + 3 / 6) / 3
+    assert out.tier1.pr_auc == pytest.approx(ap)
+    gates = out.governance_gates
+    assert gates.tier1_pr_auc_met and not gates.cascade_precision_met and not gates.cascade_recall_met and not gates.overall_pass
+    assert out.train_test_comparison.overfitting_warning and out.train_test_comparison.pr_auc_delta == round(ap - 0.99, 4)
+    assert "train_test_comparison" not in E.metrics_record(one, two, block, impact).columns
+    # one class only: areas are undefined and their gate fails
+    plain = E.tier_block(frame.where("y = 0"), "s1", "y", 0.5)
+    assert not E.metrics_record(plain, two, block, impact).first().governance_gates.tier1_pr_auc_met
+
+
+def test_feature_categories_in_order_of_precedence():
+    kinds = {"lat": "identifier", "is_anomaly": "label", "rop_index": "temporal", "avg_cqi_roll_4h_mean": "rolling_statistic",
+             "handover_success_rate_delta": "delta", "sinr_db_zscore": "rolling_zscore", "sinr_db_peer_zscore": "peer_group_spatial",
+             "avg_cqi_neighbour_mean": "graph_neighbour", "handover_success_rate": "cross_kpi_ratio", "avg_cqi": "raw_kpi",
+             "counter_is_reset": "data_quality_flag", "anything": "other"}
+    assert {n: tables.category(n) for n in kinds} == kinds
+    assert set(tables.DESCRIPTIONS) >= {*tables.RATIOS, *tables.RAW_KPIS}
