@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ropeway.operators.aggregates import tumbling
 from ropeway.operators.drift import count_report
 from ropeway.plans.prefix import value_counts
+from ropeway.streaming.stateful import corroborated  # noqa: F401
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -108,20 +109,6 @@ def incidents(df: DataFrame, keys: Sequence[str], time: str, gap: str = "30 minu
     return out.select(*keys, F.col("s.start").alias("started"), F.col("s.end").alias("closed"), "flags")
 
 
-def corroborated(flags: DataFrame, alarms: DataFrame, key: str, time: str, within: str = "30 minutes",
-                 delay: str = "1 hour") -> DataFrame:
-    """Every flag (key, flag time) with the first alarm of the following half hour, or none.
-
-    Times are compared as they are: an alarm at the flag's time or at the end of the
-    interval counts.  The interval join keeps both sides for as long as they can
-    still meet, the aggregate behind it keeps one alarm per open flag.
-    """
-    f = flags.select(key, F.col(time).alias("flag_time")).withWatermark("flag_time", delay)
-    a = alarms.select(F.col(key).alias("_cell"), F.col(time).alias("alarm_time")).withWatermark("alarm_time", delay)
-    near = f"_cell = {key} AND alarm_time >= flag_time AND alarm_time <= flag_time + INTERVAL {within}"
-    return f.join(a, F.expr(near), "leftOuter").groupBy(key, "flag_time").agg(F.min("alarm_time").alias("alarm_time"))
-
-
 def with_delayed_truth(predictions: DataFrame, truth: DataFrame, key: str, time: str, truth_time: str,
                        horizon: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Prediction with its later ground truth; unlabelled ones leave after the horizon."""

@@ -1,4 +1,4 @@
-"""Custom keyed state in event-time order: rolling KPI features and the breaker machine.
+"""Custom keyed state in event-time order: rolling KPI features, the breaker machine, alarms that corroborate flags.
 
 Rows wait in the state until the watermark has passed them and are then taken in time
 order, however they were delivered.  State per key is bounded by the waiting rows and
@@ -98,3 +98,54 @@ def breaker_stream(stream: DataFrame, entity: str, time: str, tie: str, ok: str,
     """The batch breaker machine with its record in the state store."""
     output = {"state_before": "string", "tried": "int", "state_after": "string"}
     return in_order(stream, entity, time, tie, ok, "string", output, breaker_steps, ttl_hours, delay)
+
+
+def corroborated(flags: DataFrame, alarms: DataFrame, key: str, time: str, within: str = "30 minutes",
+                 delay: str = "1 hour", spans: int = 4) -> DataFrame:
+    """Every flag (key, flag time) with the first alarm of the following half hour, or none.
+
+    Times are compared as they are: an alarm at the flag's time or at the end of the
+    interval counts.  Keys are cut into stretches of ``spans`` intervals; an alarm also
+    goes to the stretch before when flags there can still reach it.  A stretch keeps its
+    open flags and the alarms they can meet, in order, so no pairs are formed and a flag
+    costs one search.  A flag leaves once the watermark has passed its interval.
+    """
+    reach = int(pd.Timedelta(within) / pd.Timedelta(microseconds=1))
+    stretch = spans * reach
+    dtype = dict(flags.dtypes)[key]
+    at, back = F.unix_micros(time), F.unix_micros(time) - reach
+    slot = lambda c: F.floor(c / F.lit(stretch)).cast("bigint")
+
+    def side(rows: DataFrame, alarm: bool, slots: list) -> DataFrame:
+        # an alarm without a key meets nothing, a flag without one keeps its row
+        marked = rows.where(F.col(time).isNotNull() & (F.col(key).isNotNull() | F.lit(not alarm))).withWatermark(time, delay)
+        return marked.select(key, time, at.alias("_us"), F.lit(alarm).alias("_alarm"), F.explode(F.array_distinct(F.array(*slots))).alias("_slot"))
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = max(state.getCurrentWatermarkMs(), 0)
+        open_flags, known = (np.array(v, np.int64) for v in (state.get if state.exists else ([], [])))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                times, alarm = pdf["_us"].to_numpy(), pdf["_alarm"].to_numpy(bool)
+                open_flags, known = np.union1d(open_flags, times[~alarm]), np.union1d(known, times[alarm])
+        n = int(np.searchsorted(open_flags, seen * 1000 - reach))
+        ready, open_flags = open_flags[:n], open_flags[n:]
+        first = np.append(known, np.iinfo(np.int64).max)[np.searchsorted(known, ready)]
+        end = (int(group[1]) + 1) * stretch
+        if seen:  # flags still to come are not before the watermark
+            known = known[known >= min([seen * 1000, *open_flags[:1].tolist()])]
+        if len(open_flags) or end // 1000 >= seen:
+            state.update((open_flags.tolist(), known.tolist()))
+            wake = (int(open_flags[0]) + reach if len(open_flags) else end) // 1000
+            state.setTimeoutTimestamp(max(wake, seen, 1))
+        elif state.exists:
+            state.remove()
+        if n:
+            yield pd.DataFrame({key: group[0], "_flag": ready, "_first": first, "_met": first <= ready + reach})
+
+    rows = side(flags, False, [slot(at)]).unionByName(side(alarms, True, [slot(at), slot(back)]))
+    out = rows.groupBy(key, "_slot").applyInPandasWithState(
+        step, f"{key} {dtype}, _flag bigint, _first bigint, _met boolean", "flags array<bigint>, alarms array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, F.timestamp_micros("_flag").alias("flag_time"),
+                      F.when(F.col("_met"), F.timestamp_micros("_first")).alias("alarm_time"))
