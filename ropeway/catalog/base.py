@@ -43,7 +43,8 @@ def sql_r6(expr: str) -> str:
 
 
 def r6(col):
-    return F.round(col, 6) + 0.0
+    """``sql_r6`` digit for digit: millionths are rounded as doubles, not as the digits a double prints with."""
+    return F.round(col * 1e6) / 1e6 + 0.0
 
 
 def kpi_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
+from ropeway.catalog import base
 from ropeway.operators.documents import two_decimals
 from ropeway.streaming import jobs
 
@@ -40,3 +42,10 @@ def test_two_decimals_of_the_value_a_double_has(spark):
     values = [i / 1000 for i in range(0, 3000, 5)] + [-0.595, -1e-9, 0.125, 0.375, 1e12 + 0.125, 99.995, 0.9999]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", two_decimals(F.col("x")).alias("t")).collect()
     assert [r["t"] for r in rows] == [f"{r['x']:.2f}" for r in rows]
+
+
+def test_millionths_are_rounded_as_the_sql_does(spark):
+    sql = "SELECT " + base.sql_r6("(2 * i + 1) / 2e6::DOUBLE") + " AS x FROM range(20000) t(i) ORDER BY i"
+    want = [r[0] for r in duckdb.sql(sql).fetchall()]
+    got = spark.range(20000).select("id", base.r6((2 * F.col("id") + 1) / F.lit(2e6)).alias("x")).orderBy("id").collect()
+    assert [r["x"] for r in got] == want
