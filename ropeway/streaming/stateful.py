@@ -1,7 +1,7 @@
 """Custom keyed state in event-time order: rolling KPI features, the breaker machine, alarms that corroborate flags.
 
 Rows wait in the state until the watermark has passed them and are then taken in time
-order, however they were delivered.  State per key is bounded by the waiting rows and
+order, however they were delivered.  State per entity is bounded by the waiting rows and
 a memory (the last 96 readings, one breaker record) and expires in event time.
 """
 
@@ -20,78 +20,114 @@ from ropeway.operators.rules import Breaker
 
 NAMES = {"C": "closed", "O": "open", "H": "half_open"}
 LONG, SHORT = 96, 16
+#: Keys of the state, to which entities are dealt, and rows whose frames are held at once.
+SHARES, ROWS = 1024, 20_000
 
 
 def in_order(stream: DataFrame, entity: str, time: str, tie: str, value: str, memory: str, output: dict[str, str],
-             advance: Callable[[object, list, list], tuple[object, list[list]]], ttl_hours: int, delay: str) -> DataFrame:
-    """Run ``advance(memory, times, values)`` per entity over the rows behind the watermark.
-
-    It returns the new memory (None at first, of SQL type ``memory``) and one list of
-    ``output`` columns per row.  Rows later than ``delay`` are dropped by the watermark.
+             advance: Callable[[list, np.ndarray, np.ndarray, np.ndarray], tuple[list, list]], ttl_hours: int, delay: str) -> DataFrame:
+    """Run ``advance(memories, lengths, times, values)`` over the rows behind the watermark.
+
+    Entities are dealt to SHARES keys and all due entities of a share are advanced in one
+    call, as a call costs far more than a row.  ``advance`` gets one memory (None at
+    first, else of SQL type ``memory``) and one number of rows per entity, and their rows
+    one entity behind the other, each in time order; it returns the new memories and the
+    ``output`` columns of the rows.  Rows later than ``delay`` are dropped by the watermark.
     An entity without waiting rows is forgotten ``ttl_hours`` of event time after its
     last reading.
     """
     types = dict(stream.dtypes)
     schema = ", ".join([f"{entity} {types[entity]}", f"{tie} {types[tie]}", *[f"{n} {t}" for n, t in output.items()]])
-    kept = f"memory {memory}, last bigint, times array<bigint>, ties array<{types[tie]}>, vals array<{types[value]}>"
-    names = [entity, tie, *output]
+    kept = (f"entities array<{types[entity]}>, memories array<{memory}>, lasts array<bigint>, "
+            f"owners array<{types[entity]}>, times array<bigint>, ties array<{types[tie]}>, vals array<{types[value]}>")
+    ttl = ttl_hours * 3_600_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.getCurrentWatermarkMs()
-        held, last, times, ties, values = state.get if state.exists else (None, None, [], [], [])
-        rows = list(zip(times, ties, values))
+        entities, memories, lasts, *waiting = state.get if state.exists else [[] for _ in range(7)]
+        known = {e: (m, t) for e, m, t in zip(entities, memories, lasts)}
+        owners, times, ties, values = (list(w) for w in waiting)
         if not state.hasTimedOut:
             for pdf in batches:
-                rows += zip(pdf["_us"].tolist(), pdf[tie].tolist(), [None if v is None or v != v else v for v in pdf[value].tolist()])
-        rows.sort(key=lambda r: r[:2])
-        n = next((i for i, r in enumerate(rows) if r[0] // 1000 >= seen), len(rows))
-        ready, waiting = rows[:n], rows[n:]
+                owners += [None] * len(pdf) if key[0] < 0 else pdf[entity].tolist()
+                times += pdf["_us"].tolist()
+                ties += pdf[tie].tolist()
+                values += [None if v is None or v != v else v for v in pdf[value].tolist()]
+        number = {e: i for i, e in enumerate(dict.fromkeys(owners))}
+        rows = sorted(zip([number[e] for e in owners], times, ties, values), key=lambda r: r[:3])
+        ready, waiting = [r for r in rows if r[1] // 1000 < seen], [r for r in rows if r[1] // 1000 >= seen]
+        names = list(number)
         if ready:
-            held, out = advance(held, [r[0] for r in ready], [r[2] for r in ready])
-            last = ready[-1][0]
-        elif state.hasTimedOut and not waiting:
+            who, at, tied, vals = zip(*ready)
+            due, ends = np.unique(np.array(who), return_index=True)
+            lengths = np.diff(np.append(ends, len(who)))
+            held, columns = advance([known.get(names[i], (None, None))[0] for i in due], lengths, np.array(at, np.int64), np.array(vals, object))
+            for i, m, end in zip(due, held, np.cumsum(lengths)):
+                known[names[i]] = m, at[end - 1]
+        for e in names:
+            known.setdefault(e, (None, None))
+        known = {e: (m, t) for e, (m, t) in known.items() if e in number or t // 1000 + ttl >= seen}
+        if known:
+            state.update(([*known], [m for m, _ in known.values()], [t for _, t in known.values()],
+                          *([f(r) for r in waiting] for f in (lambda r: names[r[0]], lambda r: r[1], lambda r: r[2], lambda r: r[3]))))
+            open_now = {names[r[0]] for r in waiting}
+            wake = min([r[1] // 1000 for r in waiting] + [t // 1000 + ttl for e, (_, t) in known.items() if e not in open_now])
+            state.setTimeoutTimestamp(max(wake, seen + 1))
+        elif state.exists:
             state.remove()
-            return
-        state.update((held, last, [r[0] for r in waiting], [r[1] for r in waiting], [r[2] for r in waiting]))
-        wake = waiting[0][0] // 1000 if waiting else last // 1000 + ttl_hours * 3_600_000
-        state.setTimeoutTimestamp(max(wake, seen + 1))
         if ready:
-            yield pd.DataFrame([[key[0], r[1], *o] for r, o in zip(ready, out)], columns=names)
-
-    rows = stream.withWatermark(time, delay).select(entity, time, tie, value, F.unix_micros(time).alias("_us"))
-    return rows.groupBy(entity).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def rolling(held: list | None, times: list, values: list) -> tuple[list, list[list]]:
-    """Mean and deviation of the last 16 and 96 readings and the last change, for all rows at once."""
-    before = list(held or [])
-    every = np.array([np.nan if v is None else v for v in [*before, *values]], dtype=float)
-    n, columns = len(values), []
-    for w in (SHORT, LONG):
-        frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(w, np.nan), every]), w)[-n:]
-        count = (~np.isnan(frames)).sum(1)
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore", RuntimeWarning)  # frames without a reading
-            mean, deviation = np.nanmean(frames, axis=1), np.nanstd(frames, axis=1, ddof=1)
-        columns += [np.where(count > 0, mean, 0.0), np.where(count > 1, deviation, 0.0)]
-    change = np.diff(np.concatenate([[np.nan], every]))[-n:]
-    columns.append(np.where(np.isnan(change), 0.0, change))
-    return [*before, *values][-LONG:], np.column_stack(columns).tolist()
+            yield pd.DataFrame({entity: pd.Series([names[i] for i in who], dtype=object), tie: list(tied), **dict(zip(output, columns))})
+
+    share = F.when(F.col(entity).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(entity), F.lit(SHARES))).cast("int")
+    rows = stream.withWatermark(time, delay).select(entity, time, tie, value, F.unix_micros(time).alias("_us"), share.alias("_share"))
+    return rows.groupBy("_share").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rolling(held: list, lengths: np.ndarray, times: np.ndarray, values: np.ndarray) -> tuple[list, list]:
+    """Mean and deviation of the last 16 and 96 readings and the last change, for all rows of all entities at once."""
+    before = [np.frombuffer(h, float) if h is not None else np.empty(0) for h in held]
+    new = np.split(values.astype(float), np.cumsum(lengths)[:-1])
+    every = np.concatenate([np.full(LONG, np.nan), *[x for pair in zip(before, new) for x in pair]])
+    sizes = np.array([len(b) for b in before]) + lengths
+    ends = LONG + np.cumsum(sizes)
+    # places of the new rows and the readings of their entity up to them
+    place = np.concatenate([np.arange(e - n, e) for e, n in zip(ends, lengths)])
+    depth = place - np.repeat(ends - sizes, lengths) + 1
+    columns: list = [[] for _ in range(5)]
+    for begin in range(0, len(place), ROWS):
+        at, own = place[begin : begin + ROWS], depth[begin : begin + ROWS, None]
+        for i, w in enumerate((SHORT, LONG)):
+            frames = np.lib.stride_tricks.sliding_window_view(every, w)[at - w + 1]
+            frames = np.where(np.arange(w, 0, -1) <= own, frames, np.nan)
+            count = (~np.isnan(frames)).sum(1)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", RuntimeWarning)  # frames without a reading
+                mean, deviation = np.nanmean(frames, axis=1), np.nanstd(frames, axis=1, ddof=1)
+            columns[2 * i].append(np.where(count > 0, mean, 0.0))
+            columns[2 * i + 1].append(np.where(count > 1, deviation, 0.0))
+        change = np.where(own[:, 0] > 1, every[at] - every[at - 1], np.nan)
+        columns[4].append(np.where(np.isnan(change), 0.0, change))
+    kept = [every[max(e - LONG, e - n) : e].tobytes() for e, n in zip(ends, sizes)]
+    return kept, [np.concatenate(c) for c in columns]
 
 
 def rolling_stream(stream: DataFrame, entity: str, time: str, tie: str, kpi: str, ttl_hours: int = 48,
                    delay: str = "1 hour") -> DataFrame:
     """Rolling features of every reading once the watermark has passed it."""
     output = {n: "double" for n in ("mean_4h", "std_4h", "mean_24h", "std_24h", "delta_1")}
-    return in_order(stream, entity, time, tie, kpi, "array<double>", output, rolling, ttl_hours, delay)
-
-
-def breaker_steps(record: str | None, times: list, values: list) -> tuple[str, list[list]]:
-    machine, out = Breaker(record), []
-    for at, good in zip(times, values):
-        seen, used = machine.call(at / 1e6, bool(good))
-        out.append([NAMES[seen], int(used), NAMES[machine.state]])
-    return machine.dump(), out
+    return in_order(stream, entity, time, tie, kpi, "binary", output, rolling, ttl_hours, delay)
+
+
+def breaker_steps(records: list, lengths: np.ndarray, times: np.ndarray, values: np.ndarray) -> tuple[list, list]:
+    held, out, begin = [], [], 0
+    for record, n in zip(records, lengths.tolist()):
+        machine = Breaker(record)
+        for at, good in zip(times[begin : begin + n].tolist(), values[begin : begin + n].tolist()):
+            seen, used = machine.call(at / 1e6, bool(good))
+            out.append((NAMES[seen], int(used), NAMES[machine.state]))
+        held.append(machine.dump())
+        begin += n
+    return held, [list(c) for c in zip(*out)]
 
 
 def breaker_stream(stream: DataFrame, entity: str, time: str, tie: str, ok: str, ttl_hours: int = 48, delay: str = "1 hour") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ropeway.catalog import base, streams
 from ropeway.operators.documents import two_decimals
-from ropeway.streaming import jobs
+from ropeway.streaming import jobs, stateful
 
 START = datetime(2024, 1, 1)
 
@@ -56,3 +56,30 @@ def test_millionths_are_rounded_as_the_sql_does(spark):
     want = [r[0] for r in duckdb.sql(sql).fetchall()]
     got = spark.range(20000).select("id", base.r6((2 * F.col("id") + 1) / F.lit(2e6)).alias("x")).orderBy("id").collect()
     assert [r["x"] for r in got] == want
+
+
+def test_entities_share_state_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "SHARES", 4)
+    rng = random.Random(6)
+    rows = [(e, START + timedelta(seconds=rng.randrange(40_000)), i, rng.choice([None, rng.random()])) for i, e in enumerate([*range(30), None] * 6)]
+    rows.append((99, START + timedelta(days=1), 10_000, 1.0))
+    for part in range(3):
+        spark.createDataFrame(sorted(rows, key=lambda r: r[1])[part * 63 : part * 63 + 63], "cell long, ts timestamp, id long, kpi double").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "2")
+    stream = stateful.rolling_stream(jobs.file_stream(own, f"{tmp_path}/in/*", "cell long, ts timestamp, id long, kpi double", files_per_trigger=1),
+                                     "cell", "ts", "id", "kpi", delay="10 hours")
+    q = jobs.append_table(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    q.awaitTermination()
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 5  # the null entity has a key of its own
+    got = {r["id"]: (r["cell"], r["mean_4h"], r["delta_1"]) for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()}
+    want = {}
+    for e in [*range(30), None]:
+        mine = sorted((r for r in rows if r[0] == e), key=lambda r: (r[1], r[2]))
+        for i, r in enumerate(mine):
+            seen = [m[3] for m in mine[: i + 1] if m[3] is not None]
+            both = i > 0 and r[3] is not None and mine[i - 1][3] is not None
+            want[r[2]] = e, sum(seen) / len(seen) if seen else 0.0, r[3] - mine[i - 1][3] if both else 0.0
+    assert set(got) == set(want)
+    for i, (e, mean, change) in want.items():
+        assert got[i][0] == e and abs(got[i][1] - mean) < 1e-12 and abs(got[i][2] - change) < 1e-12
