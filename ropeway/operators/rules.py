@@ -149,12 +149,18 @@ def lock_decisions(proposals: DataFrame, action: str, cell: str, time: str, seco
         nxt = work.join(verdict, action, "left").select(
             action, cell, time, F.coalesce("_ok", "_new").alias("_ok"))
         nxt = durable(nxt)
-        decided.append(nxt.where("_ok = 0").select(action, F.lit(0).alias("approved")).distinct())
-        work = nxt.where("_ok IS NULL OR _ok = 1")
-        if work.where("_ok IS NULL").limit(1).count() == 0:
+        decided.append(nxt.where("_ok IS NOT NULL").select(action, F.col("_ok").alias("approved")).distinct())
+        still = nxt.where("_ok IS NULL")
+        if still.limit(1).count() == 0:
             break
-    out = work.select(action, F.lit(1).alias("approved")).distinct()
-    for part in decided:
+        # an approval can still lock an open proposal of its cell only in the same or the next span of the lock's length
+        span = F.floor(us / F.lit(max(wait, 1)))
+        reached = still.select(F.col(cell).alias("_at"), F.explode(F.array(span, span - 1)).alias("_reach")).distinct()
+        locks = nxt.where("_ok = 1").withColumn("_span", span).join(
+            reached, F.col(cell).eqNullSafe(F.col("_at")) & (F.col("_span") == F.col("_reach")), "left_semi").drop("_span")
+        work = durable(still.unionByName(locks))
+    out = decided[0]
+    for part in decided[1:]:
         out = out.unionByName(part)
     return out.distinct()
 

@@ -7,7 +7,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ropeway.catalog import base, streams
+from ropeway.operators import rules
 from ropeway.operators.documents import two_decimals
+from ropeway.session import durable
 from ropeway.streaming import jobs, stateful
 
 START = datetime(2024, 1, 1)
@@ -83,3 +85,19 @@ def test_entities_share_state_keys(spark, tmp_path, monkeypatch):
     assert set(got) == set(want)
     for i, (e, mean, change) in want.items():
         assert got[i][0] == e and abs(got[i][1] - mean) < 1e-12 and abs(got[i][2] - change) < 1e-12
+
+
+def test_approvals_out_of_reach_leave_the_lock_rounds(spark, monkeypatch):
+    sizes = []
+
+    def counted(df):
+        out = durable(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(rules, "durable", counted)
+    chain = [(i, 1, START + timedelta(seconds=200 * i)) for i in range(6)]
+    apart = [(100 + i, c, START + timedelta(hours=i)) for i in range(1, 40) for c in (1, 2)]
+    got = rules.lock_decisions(spark.createDataFrame(chain + apart, "id long, cell int, ts timestamp"), "id", "cell", "ts", 300).collect()
+    assert {r["id"]: r["approved"] for r in got} == {**{i: int(i % 2 == 0) for i in range(6)}, **{r[0]: 1 for r in apart}}
+    assert sizes[0] == 84 and max(sizes[2:]) < 10
