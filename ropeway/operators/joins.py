@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ropeway.plans.segments import last_known
-from ropeway.plans.skew import lookup_join
+from ropeway.plans.skew import broadcastable, lookup_join
+
+#: Shares of the calls over which a busy end is spread.
+NODE_SHARES = 8
 
 
 def first_of_key(dim: DataFrame, key: str) -> DataFrame:
@@ -140,10 +143,18 @@ def expand_intervals(intervals: DataFrame, start: str, end: str, minutes: int =
 
 def resolve_endpoints(calls: DataFrame, nodes: DataFrame, key: str, ends: Sequence[str]) -> DataFrame:
     """Keep the calls whose ends are all known nodes."""
-    out = calls
+    known = nodes.select(F.col(key).alias("_node")).distinct()
+    if broadcastable(known):
+        for end in ends:
+            calls = calls.join(F.broadcast(known), F.col(end) == F.col("_node"), "left_semi")
+        return calls
+    # a node in every share of the calls: a busy end is spread without counting the calls first
+    salt = F.pmod(F.xxhash64(*calls.columns), F.lit(NODE_SHARES)).cast("int")
+    copies = known.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(NODE_SHARES - 1))))
+    out = calls.withColumn("_share", salt)
     for end in ends:
-        out = lookup_join(out, nodes.select(F.col(key).alias(end)).distinct(), [end], "left_semi")
-    return out
+        out = out.join(copies, (F.col(end) == F.col("_node")) & (F.col("_share") == F.col("_copy")), "left_semi")
+    return out.drop("_share")
 
 
 def skew_check(offline: DataFrame, online: DataFrame, keys: Sequence[str], value: str,

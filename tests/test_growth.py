@@ -7,7 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ropeway.catalog import base, streams
-from ropeway.operators import rules
+from ropeway.operators import joins, rules
 from ropeway.operators.documents import two_decimals
 from ropeway.session import durable
 from ropeway.streaming import jobs, stateful
@@ -101,3 +101,11 @@ def test_approvals_out_of_reach_leave_the_lock_rounds(spark, monkeypatch):
     got = rules.lock_decisions(spark.createDataFrame(chain + apart, "id long, cell int, ts timestamp"), "id", "cell", "ts", 300).collect()
     assert {r["id"]: r["approved"] for r in got} == {**{i: int(i % 2 == 0) for i in range(6)}, **{r[0]: 1 for r in apart}}
     assert sizes[0] == 84 and max(sizes[2:]) < 10
+
+
+def test_endpoints_are_resolved_without_counting_calls(spark, monkeypatch):
+    monkeypatch.setattr(joins, "broadcastable", lambda _: False)
+    calls = [(1, i % 5, i) for i in range(60)] + [(None, 1, 0), (2, None, 0), (9, 1, 0), (2, 3, 7), (2, 3, 7)]
+    out = joins.resolve_endpoints(spark.createDataFrame(calls, "a long, b long, n int"), spark.createDataFrame([(i,) for i in (1, 2, 3, 3, None)], "k long"), "k", ["a", "b"])
+    assert sorted(map(tuple, out.collect())) == sorted(c for c in calls if c[0] in (1, 2, 3) and c[1] in (1, 2, 3))
+    assert "count(" not in out._jdf.queryExecution().optimizedPlan().toString()
