@@ -13,6 +13,8 @@ from ropeway.plans.skew import attach
 # Earth radius, reach and band weighting of a relation table.
 EARTH_KM, REACH_KM, NEIGHBOURS, BAND_WEIGHT = 6371.0, 5.0, 8, 1.5
 FINEST_KM = 1e-4
+#: Locations of a group up to which all of them are compared.
+FEW_SPOTS = 64
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -34,7 +36,8 @@ def _xyz() -> dict[str, Column]:
 
 def _cube(level: Column, side0: float) -> list[Column]:
     side = F.lit(side0) / F.pow(F.lit(2.0), level)
-    return [F.floor(F.col(a) / side).cast("long").alias(f"_c{a[1]}") for a in ("_x", "_y", "_z")]
+    at = lambda a: F.when(level < 0, F.lit(0)).otherwise(F.floor(F.col(a) / side).cast("long"))
+    return [at(a).cast("long").alias(f"_c{a[1]}") for a in ("_x", "_y", "_z")]
 
 
 def nearest_locations(
@@ -56,8 +59,16 @@ def nearest_locations(
     counts = points.groupBy(*spot).agg(F.count(F.lit(1)).alias("_here"))
     locations = counts.withColumns(_xyz())
     cube = ["_level", "_cx", "_cy", "_cz"]
-    levels = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(math.log2(reach_km / FINEST_KM))))).alias("_level")
-    leveled = locations.select("*", levels)
+    every = F.sequence(F.lit(0), F.lit(math.ceil(math.log2(reach_km / FINEST_KM))))
+    if group:
+        # the locations of a small group meet directly, in one cube of a level of its own
+        few = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_spots"))
+        locations = attach(locations, few, group, rows="_spots")
+        locations = locations.withColumn("_first", F.when(F.col("_spots") <= FEW_SPOTS, -1).otherwise(0)).drop("_spots")
+        every = F.when(F.col("_first") < 0, F.array(F.lit(-1))).otherwise(every)
+    else:
+        locations = locations.withColumn("_first", F.lit(0))
+    leveled = locations.select("*", F.explode(every).alias("_level"))
     leveled = leveled.select("*", *_cube(F.col("_level"), reach_km))
     dense = leveled.groupBy(*group, *cube).agg(
         F.sum("_here").alias("_points"), F.count(F.lit(1)).alias("_rows")
@@ -66,11 +77,12 @@ def nearest_locations(
         F.max("_level").alias("_finest")
     )
     search = locations.join(finest, spot, "left").withColumn(
-        "_level", F.greatest(F.coalesce("_finest", F.lit(0)) - 1, F.lit(0))
+        "_level", F.greatest(F.coalesce("_finest", F.lit(0)) - 1, F.col("_first"))
     )
     search = search.select(*spot, "_x", "_y", "_z", "_level", *_cube(F.col("_level"), reach_km))
     for axis in ("_cx", "_cy", "_cz"):
-        search = search.withColumn(axis, F.explode(F.array(*[F.col(axis) + d for d in (-1, 0, 1)])))
+        beside = F.array(*[F.col(axis) + d for d in (-1, 0, 1)])
+        search = search.withColumn(axis, F.explode(F.when(F.col("_level") < 0, F.array(F.col(axis))).otherwise(beside)))
     candidates = leveled.select(
         *group, *cube, F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"),
         F.col("_x").alias("_tx"), F.col("_y").alias("_ty"), F.col("_z").alias("_tz"),

@@ -1,5 +1,6 @@
 """Work that grows with the input only, and results that hold on larger tables."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -7,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ropeway.catalog import base, streams
-from ropeway.operators import joins, rules
+from ropeway.operators import geo, joins, rules
 from ropeway.operators.documents import two_decimals
 from ropeway.session import durable
 from ropeway.streaming import jobs, stateful
@@ -109,3 +110,24 @@ def test_endpoints_are_resolved_without_counting_calls(spark, monkeypatch):
     out = joins.resolve_endpoints(spark.createDataFrame(calls, "a long, b long, n int"), spark.createDataFrame([(i,) for i in (1, 2, 3, 3, None)], "k long"), "k", ["a", "b"])
     assert sorted(map(tuple, out.collect())) == sorted(c for c in calls if c[0] in (1, 2, 3) and c[1] in (1, 2, 3))
     assert "count(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_and_large_sites_meet_all_their_cells(spark):
+    rng = random.Random(9)
+    size = {1: 100, 2: 3, 3: 1}  # one site above FEW_SPOTS
+    cells = [(100 * s + i, s, i % 2, rng.uniform(-80, 80), rng.uniform(-170, 170)) for s, n in size.items() for i in range(n)]
+    out = geo.nearest_locations(spark.createDataFrame(cells, "id long, site int, band int, lat double, lon double"), 4, math.pi * geo.EARTH_KM, ["site", "band"], ["site"])
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["lat"], r["lon"]), []).append((r["distance_km"], r["target"]))
+
+    def km(a, b):
+        p, q = math.radians(a[3]), math.radians(b[3])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2
+        return 2 * geo.EARTH_KM * math.asin(math.sqrt(min(h, 1.0)))
+
+    for c in cells:
+        want = [d[0] for d in sorted((d for d in cells if d[1] == c[1]), key=lambda d: km(c, d))][:5]
+        assert [t for _, t in sorted(got[c[3], c[4]])] == want
+    levels = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "-1" in levels and f"<= {geo.FEW_SPOTS}" in levels
