@@ -212,13 +212,16 @@ def topology_signature(edges: DataFrame, snapshot: str, source: str, target: str
     """Cells, sites, edges, components and degree distribution per snapshot (``site`` is an expression on ``id``).
 
     Components are labelled over (snapshot, cell) nodes, so all snapshots share the
-    rounds; without ``labelled`` they are left out.
+    rounds; without ``labelled`` they are left out.  A source ties its targets to their
+    smallest, so only links between targets enter the rounds; a source that is
+    no target hangs on them and changes no count.
     """
     from ropeway.plans.prefix import exact_quantiles
 
+    edges = durable(edges.select(snapshot, source, target))
     pair = edges.select(snapshot, F.col(source).alias("a"), F.col(target).alias("b"))
     both = pair.union(pair.select(snapshot, "b", "a")).distinct()
-    deg = both.groupBy(snapshot, F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    deg = durable(both.groupBy(snapshot, F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree")))
     base = deg.withColumn("_site", site).groupBy(snapshot).agg(
         F.count(F.lit(1)).alias("cells"), F.countDistinct("_site").alias("sites"),
         F.avg("degree").alias("degree_mean"), F.stddev_pop("degree").alias("degree_std"))
@@ -227,7 +230,11 @@ def topology_signature(edges: DataFrame, snapshot: str, source: str, target: str
     if not labelled:
         return base.join(q, snapshot).join(n, snapshot)
     node = lambda c: F.struct(F.col(snapshot).alias("at"), F.col(c).alias("cell"))
-    labels = components(pair.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    tied = with_group_stats(pair, [snapshot, "a"], {"_hub": F.min("b")})
+    ends = pair.select(snapshot, F.col("b").alias("a")).distinct()
+    links = tied.select(snapshot, F.col("_hub").alias("a"), "b").union(
+        tied.select(snapshot, "a", F.col("_hub").alias("b")).distinct().join(ends, [snapshot, "a"], "left_semi")).distinct()
+    labels = components(durable(links.select(node("a").alias("a"), node("b").alias("b"))), "a", "b")
     roots = labels.where("id = component").groupBy(F.col("id.at").alias(snapshot)).agg(F.count(F.lit(1)).alias("components"))
     return base.join(q, snapshot).join(n, snapshot).join(roots, snapshot)
 
