@@ -9,6 +9,7 @@ from ropeway.functions.scalar import f32
 from ropeway.operators import documents as D, graph as G, privacy as K
 from ropeway.operators.aggregates import diurnal_profile
 from ropeway.operators.windows import cusum_flag
+from ropeway.session import durable
 
 DAILY = KE + f", {NRT}, dk AS (SELECT cell_id, day, avg(kpi) AS kpi FROM ke GROUP BY 1, 2)"
 
@@ -149,7 +150,8 @@ SELECT event_id, CASE WHEN std IS NOT NULL THEN c END AS d_cqi, CASE WHEN std IS
 def what_if(spark, sf):
     from ropeway.plans.skew import lookup_join
     ke = kpi_events(spark, sf)
-    prof = diurnal_profile(ke, "cell_id", "ts", "kpi").select("cell_id", "hour", "std")
+    # the join counts the profile before it reads it
+    prof = durable(diurnal_profile(ke, "cell_id", "ts", "kpi").select("cell_id", "hour", "std"))
     pr = ke.select("event_id", "cell_id", F.hour("ts").alias("hour"), F.when(F.col("event_type") == "click", "power").otherwise("tilt").alias("kind"),
                    ((F.col("kpi") - 50) / 39.7).alias("delta"), (F.col("event_type") != "signup").alias("known"))
     pr = lookup_join(pr, prof, ["cell_id", "hour"], "inner").join(

@@ -158,10 +158,11 @@ def blast_sizes(edges: DataFrame, cells: DataFrame, cell: str, site: str,
 
     Out-neighbours plus co-sited cells minus the neighbours counted twice.
     """
-    located = cells.select(cell, site).distinct()
+    # cells and links are few beside the rows they come from, and each is read several times
+    located = durable(cells.select(cell, site).distinct())
     per_site = with_group_stats(located, [site], {"_site_cells": F.count(F.lit(1))})
-    links = edges.select(F.col(source).alias(cell), F.col(target).alias("_t")).where(F.col(cell) != F.col("_t")).distinct()
-    away = lookup_join(links, located, [cell], "inner").withColumnRenamed(site, "_s1")
+    links = durable(edges.select(F.col(source).alias(cell), F.col(target).alias("_t")).where(F.col(cell) != F.col("_t")).distinct())
+    away = durable(lookup_join(links, located, [cell], "inner").withColumnRenamed(site, "_s1"))
     away = lookup_join(away.withColumnRenamed(cell, "_c").withColumnRenamed("_t", cell), located, [cell], "left")
     out = away.groupBy(F.col("_c").alias(cell)).agg(
         F.count(F.lit(1)).alias("_out"), F.count_if(F.col("_s1") == F.col(site)).alias("_same"))

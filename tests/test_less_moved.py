@@ -35,3 +35,24 @@ def test_topology_components_see_links_between_targets_only(spark, monkeypatch):
     got = G.topology_signature(spark.createDataFrame(rows, "d int, a int, b int"), "d", "a", "b", F.col("id")).collect()
     assert {r.d: (r.edges, r.components) for r in got} == {1: (43, 4), 2: (4, 2)}
     assert seen[0] <= 10
+
+
+def test_blast_sizes_read_cells_and_links_once(spark, tiny_tasks):
+    ran = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        ran.add(1)
+        return x
+
+    once = counted.asNondeterministic()
+    spark.conf.set("ropeway.broadcastRows", "3")
+    try:
+        cells = spark.range(24).select(once("id").alias("cell"), F.floor(F.col("id") / 6).alias("site"))
+        edges = spark.range(20).select(once("id").alias("source"), (F.col("id") + 3).alias("target"))
+        got = {r.cell: r.blast for r in G.blast_sizes(edges, cells, "cell", "site").collect()}
+    finally:
+        spark.conf.unset("ropeway.broadcastRows")
+    # five beside it, and the link ends at another site for the last three cells of a site
+    assert got == {c: 5 + (c < 20 and c % 6 >= 3) for c in range(24)}
+    assert ran.value == 24 + 20
