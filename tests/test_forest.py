@@ -99,3 +99,48 @@ def test_measures_score_each_row_once(spark):
     scored = frame(spark, 500).select("l", counted.asNondeterministic()("x").alias("score"))
     M.evaluate(scored, "l").first()
     assert ran.value == 500
+
+
+def test_grid_grows_once_what_forests_alone_grow(spark, monkeypatch):
+    df = frame(spark, 900)
+    grid = [{"trees": t, "depth": d, "min_leaf": m} for t in (2, 4) for d in (3, 6) for m in (3, 9)]
+    alone = {(g["depth"], g["min_leaf"]): M.fit_forest(df, ["x", "y", "z"], "l", 4, g["depth"], g["min_leaf"]) for g in grid}
+    made, passes, fitted, fit = [], [], [], M.fit_forest
+    durable, deepen = T.durable, T.Grove._deepen
+    monkeypatch.setattr(T, "durable", lambda d: made.append(1) or durable(d))
+    monkeypatch.setattr(T.Grove, "_deepen", lambda g: passes.append(g.level) or deepen(g))
+    monkeypatch.setattr(M, "fit_forest", lambda *a, **k: fitted.append((a[4:6], m := fit(*a, **k))) or m)
+    rows = M.grid_search(df, df, ["x", "y", "z"], "l", grid).collect()
+    # the rows are binned once and a level is one pass, whatever the number of settings
+    assert len(made) == 1 and passes == list(range(6))
+    assert [s for s, _ in fitted] == [(d, m) for d in (3, 6) for m in (3, 9)]
+    for shape, model in fitted:
+        one, own = alone[shape].stages[-1], model.stages[-1]
+        for a in ("feat", "cut", "counts", "gain"):
+            assert (getattr(one, a) == getattr(own, a)).all(), (shape, a)
+    # leaf sizes part on the way
+    assert (fitted[2][1].stages[-1].feat != fitted[3][1].stages[-1].feat).any()
+    for g, r in zip(grid, rows, strict=True):
+        want = M.evaluate(M.score(M.first_trees(alone[g["depth"], g["min_leaf"]], g["trees"]), df), "l").first()
+        assert (r.roc_auc, r.pr_auc) == pytest.approx((want.roc_auc, want.pr_auc), abs=1e-12)
+
+
+def test_votes_of_parts_and_strangers(spark):
+    df = frame(spark, 300)
+    deep, other = (M.fit_forest(df, ["x", "y", "z"], "l", n, d, m, seed=s).stages[-1] for n, d, m, s in ((5, 5, 3, 1), (3, 2, 20, 2)))
+    forests = [deep.part(slice(2)), other, deep, other.part(slice(1))]
+    assert forests[0].begins(deep) and not other.begins(deep) and not deep.begins(forests[0])
+    packed = VectorAssembler(inputCols=["x", "y", "z"], outputCol="_x").transform(df)
+    got = packed.select(T.votes(spark, forests)(T.vector_to_array("_x")).alias("p"), "x", "y", "z").collect()
+    for i, f in enumerate(forests):
+        share = f.counts[..., 1] * f.weights[1] / np.maximum((f.counts * np.array(f.weights)).sum(axis=-1), 1e-300)
+        for r in got[:40]:
+            bins = [np.searchsorted(c, r[k]) for c, k in zip(f.cuts, "xyz", strict=True)]
+            total = 0.0
+            for t in range(f.getNumTrees):
+                k = 0
+                while f.feat[t, k] != T.LEAF:
+                    k = 2 * k + 1 + (bins[f.feat[t, k]] > f.cut[t, k])
+                total += share[t, k]
+            assert r["p"][i] == pytest.approx(total / f.getNumTrees)
+    assert M.grid_search(df, df.where("x > 2"), ["x", "y", "z"], "l", [{"trees": 1, "depth": 2, "min_leaf": 5}]).first()["pr_auc"] is None
