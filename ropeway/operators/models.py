@@ -106,7 +106,9 @@ def grid_search(train: DataFrame, val: DataFrame, features: Sequence[str], label
     for shape, trees in most.items():
         fitted[shape] = fit_forest(train, features, label, trees, *shape, grove=grove)
     models = [first_trees(fitted[g["depth"], g["min_leaf"]], g["trees"]) for g in grid]
-    measured = {r["setting"]: r for r in areas(score_counts(score_all(models, val, label), ["setting"], "score", label), ["setting"], "score").collect()}
+    # the models run once, not once per pass over the counts
+    counts = durable(score_counts(score_all(models, val, label), ["setting"], "score", label))
+    measured = {r["setting"]: r for r in areas(counts, ["setting"], "score").collect()}
     for i, g in enumerate(grid):
         # a setting without a row has nothing to score
         roc, pr = (measured[i]["roc_auc"], measured[i]["pr_auc"]) if i in measured else (None, None)
@@ -115,7 +117,7 @@ def grid_search(train: DataFrame, val: DataFrame, features: Sequence[str], label
             best = (pr or 0.0, i, models[i])
     schema = ", ".join(["setting int", *(f"{k} int" for k in grid[0]), "roc_auc double", "pr_auc double"])
     if test is not None:
-        got = areas(score_counts(score(best[2], test), [], "score", label), [], "score").first()
+        got = areas(durable(score_counts(score(best[2], test), [], "score", label)), [], "score").first()
         rows = [[*r, *((got["roc_auc"], got["pr_auc"]) if r[0] == best[1] else (None, None))] for r in rows]
         schema += ", test_roc_auc double, test_pr_auc double"
     return train.sparkSession.createDataFrame(rows, schema)

@@ -144,3 +144,17 @@ def test_votes_of_parts_and_strangers(spark):
                 total += share[t, k]
             assert r["p"][i] == pytest.approx(total / f.getNumTrees)
     assert M.grid_search(df, df.where("x > 2"), ["x", "y", "z"], "l", [{"trees": 1, "depth": 2, "min_leaf": 5}]).first()["pr_auc"] is None
+
+
+def test_grid_scores_each_row_once(spark, monkeypatch):
+    ran, votes = spark.sparkContext.accumulator(0), M.votes
+
+    @F.udf("array<double>")
+    def counted(p):
+        ran.add(1)
+        return p
+
+    monkeypatch.setattr(M, "votes", lambda s, f: lambda c: counted.asNondeterministic()(votes(s, f)(c)))
+    df = frame(spark, 200)
+    M.grid_search(df, df, ["x", "y", "z"], "l", [{"trees": 2, "depth": d, "min_leaf": m} for d in (1, 2) for m in (5, 9)]).collect()
+    assert ran.value == 200
